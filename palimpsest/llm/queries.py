@@ -1,9 +1,17 @@
 """The registered queries of this package and their SQL."""
 
-from palimpsest.llm import bpe
+from palimpsest.llm import bpe, mixing, quality, toxicity, urls
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op5_bpe": bpe.op5,
+    "op6_toxicity": toxicity.op6,
+    "op9_mixing": mixing.op9,
+    "op10_urls": urls.op10,
 }
 
-SQL = {}
+SQL = {
+    "op1_quality": quality.SQL,
+    "op9_mixing": mixing.SQL,
+    "op10_urls": urls.SQL,
+}
