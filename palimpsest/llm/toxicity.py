@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field.
 
 Two states (clean, toxic) over the words of a text. Training: a bounded sample of labelled
-documents gives, for each word form, how often toxic and clean documents hold it; forms that
-lean to toxic documents far beyond chance label the tokens of toxic documents, and those labelled
-tokens train the field (word identity and shape of the word and identity of its neighbours; full
+documents gives, for each word form and beginning, how often toxic and clean documents hold it; those
+that lean to toxic documents far beyond chance label the tokens of toxic documents, and those labelled
+tokens train the field (the word's form, beginnings, ending and shape, and its neighbours' forms; full
 gradients from forward-backward). Scoring: forward-backward marginals of every word of every
 text; a logistic curve over their document totals, fitted on the same sample, gives the document's
 score, and words with a marginal of one half or more give the offending offsets.
@@ -52,18 +52,40 @@ def shape(word: bytes) -> int:
     return (65 <= word[0] <= 90) | (bool(re.search(rb"\d", word)) << 1) | (bool(re.search(rb"[#$%&*@=|]", word)) << 2) | ((max(word) > 127) << 3) | ((len(word) > 10) << 4)
 
 
+def keys(f: str) -> list[str]:
+    """What the field knows a form by: itself, its first three to six letters, its last three."""
+    return [f, *(f"{n}^{f[:n]}" if len(f) > n else "" for n in (3, 4, 5, 6)), f"3${f[-3:]}" if len(f) > 3 else ""]
+
+
+N_KEYS = 6
+
+
 class Features(dict):
-    """Word bytes -> identity slot * 32 + shape, a memo that forgets at ``limit``."""
+    """Word bytes -> row of ``slots`` (hashed keys) and ``shapes``; a memo, trimmed between batches."""
 
     limit = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
+    def __init__(self):
+        super().__init__()
+        self.slots, self.shapes = np.zeros((4096, N_KEYS), np.int32), np.zeros(4096, np.int8)
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
             self.clear()
-        f = form(word)
-        slot = xxhash.xxh3_64_intdigest(f) >> (64 - BITS) if f else 0
-        value = self[word] = slot * 32 + shape(word)
-        return value
+
+    def __missing__(self, word: bytes) -> int:
+        row = self[word] = len(self)
+        if row >= len(self.shapes):
+            self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
+            self.shapes = np.concatenate([self.shapes, np.zeros_like(self.shapes)])
+        self.slots[row] = [xxhash.xxh3_64_intdigest(k) >> (64 - BITS) if k else 0 for k in keys(form(word))]
+        self.shapes[row] = shape(word)
+        return row
+
+    def rows(self, split: list[list[bytes]], total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots and shapes of all words laid end to end."""
+        at = np.fromiter((i for s in split for i in map(self.__getitem__, s)), np.int64, total)
+        return self.slots[at], self.shapes[at]
 
 
 def layout(lengths: np.ndarray) -> tuple[np.ndarray, int]:
@@ -100,7 +122,7 @@ def sigmoid(x):
 
 
 class Field:
-    """Weights: identity and shape of the word, identity of the one before and after, steps."""
+    """Weights: keys and shape of the word, identity of the one before and after, steps. Slot 0 is no key."""
 
     def __init__(self):
         size = 1 << BITS
@@ -109,17 +131,17 @@ class Field:
         self.trans = np.zeros((2, 2), np.float32)
         self.start = np.float32(0)
 
-    def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        slots = ids >> 5
-        e = self.word[slots] + self.shape[ids & 31]
-        if len(ids) > 1:
+    def emissions(self, ids: tuple, lengths: np.ndarray) -> np.ndarray:
+        e = self.word[ids[0]].sum(1) + self.shape[ids[1]]
+        slots = ids[0][:, 0]
+        if len(slots) > 1:
             same = np.repeat(np.arange(len(lengths)), lengths)
             joined = same[1:] == same[:-1]
             e[1:] += self.before[slots[:-1]] * joined
             e[:-1] += self.after[slots[1:]] * joined
         return e
 
-    def log_odds(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def log_odds(self, ids: tuple, lengths: np.ndarray) -> np.ndarray:
         """Of each word's toxic state, for documents laid end to end."""
         cells, pieces = layout(lengths)
         e = np.zeros(pieces * PIECE, np.float32)
@@ -129,14 +151,15 @@ class Field:
         shape_ = (pieces, PIECE)
         return forward_backward(e.reshape(shape_), mask.reshape(shape_), self.trans, self.start)[0].reshape(-1)[cells]
 
-    def fit(self, ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> None:
+    def fit(self, ids: tuple, lengths: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> None:
         cells, pieces = layout(lengths)
-        size, n = 1 << BITS, max(1, len(ids))
+        size, n = 1 << BITS, max(1, len(y))
         mask = np.zeros(pieces * PIECE, bool)
         gold = np.zeros(pieces * PIECE, np.float32)
         mask[cells], gold[cells] = True, y
         mask, gold = mask.reshape(pieces, PIECE), gold.reshape(pieces, PIECE)
-        slots = ids >> 5
+        slots, shapes = ids[0][:, 0], ids[1]
+        flat = ids[0].reshape(-1)
         same = np.repeat(np.arange(len(lengths)), lengths)
         joined = same[1:] == same[:-1]
         steps = mask[:, 1:]
@@ -159,10 +182,11 @@ class Field:
                 for j in range(2):
                     x = a[:-1, i] + b[1:, j] + self.trans[i, j] - log_z + (e.T[1:] if j else 0)
                     expected[i, j] = (np.exp(np.minimum(x, 0)) * steps.T).sum()
-            self.word = step("word", self.word, np.bincount(slots, miss, size) / n + l2 / n * self.word)
+            self.word = step("word", self.word, np.bincount(flat, np.repeat(miss, N_KEYS), size) / n + l2 / n * self.word)
+            self.word[0] = 0
             self.before = step("before", self.before, np.bincount(slots[:-1][joined], miss[1:][joined], size) / n + 20 * l2 / n * self.before)
             self.after = step("after", self.after, np.bincount(slots[1:][joined], miss[:-1][joined], size) / n + 20 * l2 / n * self.after)
-            self.shape = step("shape", self.shape, np.bincount(ids & 31, miss, 32) / n)
+            self.shape = step("shape", self.shape, np.bincount(shapes, miss, 32) / n)
             self.trans = step("trans", self.trans, (expected - gold_steps) / n)
             self.start = step("start", self.start, (sigmoid(odds[:, 0]) - gold[:, 0]).sum() / n)
 
@@ -207,25 +231,27 @@ class Tagger:
         counts = (Counter(), Counter())
         split = [t.split() for t in texts]
         for ws, y in zip(split, toxic, strict=True):
-            counts[int(y)].update({form(w) for w in set(ws)})
+            counts[int(y)].update({k for f in {form(w) for w in ws} for k in keys(f)[:5] if k})
         share = toxic.mean()
-        bad = {f for f, a in counts[1].items() if f and a >= 3 and (n := a + counts[0][f]) and (a - n * share) / np.sqrt(n * share * (1 - share)) > 5 and a > 2.5 * n * share}
+        bad = {k for k, a in counts[1].items() if a >= 3 and (n := a + counts[0][k]) and a > 0.7 * n and (a - n * share) / np.sqrt(n * share * (1 - share)) > 5}
         features = Features()
         order = np.concatenate([np.flatnonzero(toxic)[: FIELD_SAMPLE // 2], np.flatnonzero(~toxic)[: FIELD_SAMPLE // 2]])
-        lengths = np.array([len(split[i]) for i in order], np.int64)
-        ids = np.fromiter((features[w] for i in order for w in split[i]), np.int64, lengths.sum())
-        y = np.fromiter((bool(toxic[i]) and form(w) in bad for i in order for w in split[i]), np.float32, lengths.sum())
+        chosen = [split[i] for i in order]
+        lengths = np.array([len(c) for c in chosen], np.int64)
+        ids = features.rows(chosen, lengths.sum())
+        y = np.fromiter((bool(toxic[i]) and not bad.isdisjoint(keys(form(w))[:5]) for i in order for w in split[i]), np.float32, lengths.sum())
         self.field.fit(ids, lengths, y)
-        x = np.concatenate([self.measure(texts[i : i + 256])[0] for i in range(0, len(texts), 256)])
+        x = np.concatenate([self.measure(texts[i : i + 256], features)[0] for i in range(0, len(texts), 256)])
         self.curve = logistic(x, toxic.astype(float))
 
     def measure(self, texts: list[bytes], features: Features | None = None):
         """Evidence, log odds of all words laid end to end, and words of each document."""
         features = Features() if features is None else features
+        features.trim()
         split = [t.split() for t in texts]
         lengths = np.array([len(s) for s in split], np.int64)
-        ids = np.fromiter((i for s in split for i in map(features.__getitem__, s)), np.int64, lengths.sum())
-        odds = self.field.log_odds(ids, lengths) if len(ids) else np.empty(0, np.float32)
+        ids = features.rows(split, lengths.sum())
+        odds = self.field.log_odds(ids, lengths) if len(ids[1]) else np.empty(0, np.float32)
         return evidence(odds, lengths), odds, lengths
 
     def score(self, x: np.ndarray) -> np.ndarray:
