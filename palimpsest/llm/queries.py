@@ -1,11 +1,12 @@
 """The registered queries of this package and their SQL."""
 
-from palimpsest.llm import bpe, mixing, quality, toxicity, urls
+from palimpsest.llm import bpe, mixing, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1,
     "op5_bpe": bpe.op5,
     "op6_toxicity": toxicity.op6,
+    "op8_pii": pii.op8,
     "op9_mixing": mixing.op9,
     "op10_urls": urls.op10,
 }
