@@ -7,6 +7,8 @@ work on bytes and never decode a text they only have to count.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,9 +37,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage in storage that survives lost executors."""
+    """Reliable checkpoint: cuts lineage in storage that survives lost executors.
+
+    Afterwards the garbage collectors run, so that Spark's cleaner drops the shuffle files of
+    plans that nothing holds any more, and disk use is that of a step, not of the whole job.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def in_fold(doc_id, modulus: int, remainder: int):
