@@ -33,9 +33,9 @@ PIECE = 64
 #: Bits of the hashed word identities.
 BITS = 17
 #: Labelled documents to learn from, at most (about; chosen by a hash of their id).
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Documents of the sample whose tokens train the field, at most.
-FIELD_SAMPLE = 3_000
+FIELD_SAMPLE = 2_000
 #: Evidence of a text without words.
 NONE = np.array([-9.0, -9.0, 0.0])
 
@@ -228,18 +228,21 @@ class Tagger:
     def _fit(self, texts: list[bytes], toxic: np.ndarray) -> None:
         from collections import Counter
 
-        counts = (Counter(), Counter())
-        split = [t.split() for t in texts]
-        for ws, y in zip(split, toxic, strict=True):
-            counts[int(y)].update({k for f in {form(w) for w in ws} for k in keys(f)[:5] if k})
+        # Only keys that three toxic documents hold are counted in clean ones.
+        of = lambda t: {k for f in {form(w) for w in set(t.split())} for k in keys(f)[:5] if k}
+        held = Counter(k for t, y in zip(texts, toxic, strict=True) if y for k in of(t))
+        held = Counter({k: a for k, a in held.items() if a >= 3})
+        clean = Counter(k for t, y in zip(texts, toxic, strict=True) if not y for k in of(t) if k in held)
         share = toxic.mean()
-        bad = {k for k, a in counts[1].items() if a >= 3 and (n := a + counts[0][k]) and a > 0.7 * n and (a - n * share) / np.sqrt(n * share * (1 - share)) > 5}
+        bad = {k for k, a in held.items() if a > 0.7 * (n := a + clean[k]) and (a - n * share) / np.sqrt(n * share * (1 - share)) > 5}
+        del held, clean
         features = Features()
         order = np.concatenate([np.flatnonzero(toxic)[: FIELD_SAMPLE // 2], np.flatnonzero(~toxic)[: FIELD_SAMPLE // 2]])
-        chosen = [split[i] for i in order]
+        chosen = [texts[i].split() for i in order]
         lengths = np.array([len(c) for c in chosen], np.int64)
         ids = features.rows(chosen, lengths.sum())
-        y = np.fromiter((bool(toxic[i]) and not bad.isdisjoint(keys(form(w))[:5]) for i in order for w in split[i]), np.float32, lengths.sum())
+        y = np.fromiter((bool(toxic[i]) and not bad.isdisjoint(keys(form(w))[:5]) for i, c in zip(order, chosen, strict=True) for w in c), np.float32, lengths.sum())
+        del chosen
         self.field.fit(ids, lengths, y)
         x = np.concatenate([self.measure(texts[i : i + 256], features)[0] for i in range(0, len(texts), 256)])
         self.curve = logistic(x, toxic.astype(float))
