@@ -1,9 +1,10 @@
 """The registered queries of this package and their SQL."""
 
-from palimpsest.llm import bpe, jaccard, mixing, pii, quality, toxicity, urls
+from palimpsest.llm import bpe, jaccard, mixing, pii, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1,
+    "op3_substrings": substrings.op3,
     "op4_jaccard": jaccard.op4,
     "op5_bpe": bpe.op5,
     "op6_toxicity": toxicity.op6,
