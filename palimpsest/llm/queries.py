@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from palimpsest.llm import bpe, jaccard, mixing, pii, quality, substrings, toxicity, urls
+from palimpsest.llm import bpe, jaccard, lm, mixing, pii, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_jaccard": jaccard.op4,
     "op5_bpe": bpe.op5,
     "op6_toxicity": toxicity.op6,
+    "op7_lm": lm.op7,
     "op8_pii": pii.op8,
     "op9_mixing": mixing.op9,
     "op10_urls": urls.op10,
