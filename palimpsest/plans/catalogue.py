@@ -1,17 +1,337 @@
 """The registered queries and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.parse import parse_pages
+from palimpsest.operators import annotate, candidates, diff, extract, fragments, history, maps, sparse
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "page_content_hash"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
-def _read(spark, sf_dir, table):
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_pages(read(spark, sf_dir, "pages"))
+
+
+# Pages ------------------------------------------------------------------------------------------
+
+_TEXT = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("SELECT page_id, url, sha256(html) AS html_sha256, strlen(html) AS byte_length FROM pages")
 def page_content_hash(spark, sf_dir):
-    p = _read(spark, sf_dir, "pages")
-    return p.select("page_id", "url", F.sha2("html", 256).alias("html_sha256"), F.octet_length("html").cast("long").alias("byte_length"))
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("html_sha256"), F.octet_length("html").cast("long").alias("byte_length"))
 
 
-FLAGSHIP = "page_content_hash"
-QUERIES = {"page_content_hash": page_content_hash}
-SQL = {"page_content_hash": "SELECT page_id, url, sha256(html) AS html_sha256, strlen(html) AS byte_length FROM pages"}
+@query(f"SELECT page_id, trim({_TEXT.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "doc.title")
+
+
+@query("""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<([a-z0-9]+)', 1)) AS tag FROM pages) t WHERE tag <> 'b' GROUP BY 1, 2""")
+def page_element_counts(spark, sf_dir):
+    """Elements by tag; reopened formatting elements (b) count once each in the tree, not in the source."""
+    return extract.element_counts(parsed(spark, sf_dir)).filter(F.col("tag") != "b")
+
+
+@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>')) FROM pages) t GROUP BY 1")
+def page_headings(spark, sf_dir):
+    return extract.headings(parsed(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) t GROUP BY 1")
+def page_list_items(spark, sf_dir):
+    return extract.list_items(parsed(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, original_href, text, count(*) AS n FROM (SELECT page_id, m[1] AS original_href, m[2] AS text FROM (SELECT page_id, unnest([[regexp_extract(x, 'href="([^"]*)"', 1), regexp_extract(x, '>([^<]*)</a>', 1)] FOR x IN regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')]) AS m FROM pages) s) t GROUP BY 1, 2, 3""".replace("m[1]", _TEXT.format("m[1]")).replace("m[2]", _TEXT.format("m[2]")))
+def page_links(spark, sf_dir):
+    return extract.links(parsed(spark, sf_dir)).groupBy("page_id", "original_href", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, sha256(m) AS sha256, strlen(m) AS byte_length FROM (SELECT page_id, unnest(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's')) AS m FROM pages) t")
+def page_scripts(spark, sf_dir):
+    return extract.scripts(parsed(spark, sf_dir)).select("page_id", "sha256", "byte_length")
+
+
+@query()
+def page_visible_text(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "doc.visible_text")
+
+
+@query()
+def page_paragraphs(spark, sf_dir):
+    return extract.paragraphs(parsed(spark, sf_dir))
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "doc.markdown")
+
+
+@query()
+def page_identifiers(spark, sf_dir):
+    return extract.identifiers(parsed(spark, sf_dir))
+
+
+@query()
+def page_inspection(spark, sf_dir):
+    from palimpsest.sources.sinks import inspection
+
+    return inspection(parsed(spark, sf_dir))
+
+
+@query()
+def page_json_candidates(spark, sf_dir):
+    return candidates.candidates(extract.scripts(parsed(spark, sf_dir))).drop("value")
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    return fragments.numbered_blocks(parsed(spark, sf_dir))
+
+
+_TREE = fragments.Budget(target=600, maximum=1000, minimum=80)
+
+
+@query()
+def page_fragments(spark, sf_dir):
+    return fragments.fragments(parsed(spark, sf_dir), _TREE)
+
+
+@query()
+def page_fragment_bodies(spark, sf_dir):
+    return fragments.bodies(fragments.fragments(parsed(spark, sf_dir), _TREE))
+
+
+@query()
+def page_fragment_stats(spark, sf_dir):
+    return fragments.size_stats(fragments.fragments(parsed(spark, sf_dir), _TREE))
+
+
+# Packing and splitting ----------------------------------------------------------------------------
+
+_LINES = """l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, length(line) AS len FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) t WHERE line <> '')"""
+_PACK = f"""WITH RECURSIVE {_LINES},
+p AS (
+  SELECT doc_id, n, 1 AS chunk, 1 AS blocks, CAST(len AS BIGINT) AS chars FROM l WHERE n = 1
+  UNION ALL
+  SELECT l.doc_id, l.n, CASE WHEN (chars >= 600 AND chars >= 80) OR chars + 2 + len > 1000 THEN chunk + 1 ELSE chunk END,
+    CASE WHEN (chars >= 600 AND chars >= 80) OR chars + 2 + len > 1000 THEN 1 ELSE blocks + 1 END,
+    CASE WHEN (chars >= 600 AND chars >= 80) OR chars + 2 + len > 1000 THEN len ELSE chars + 2 + len END
+  FROM p JOIN l ON l.doc_id = p.doc_id AND l.n = p.n + 1
+),
+packed AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(max(blocks) AS INTEGER) AS blocks, CAST(max(chars) AS INTEGER) AS chars FROM p GROUP BY doc_id, chunk)
+"""
+
+
+@query(_PACK + "SELECT * FROM packed")
+def doc_line_packing(spark, sf_dir):
+    return fragments.document_lines(read(spark, sf_dir, "documents"))
+
+
+@query(_PACK + "SELECT doc_id, count(*) AS chunks, min(chars) AS min_chars, max(chars) AS max_chars FROM packed GROUP BY 1")
+def doc_chunk_stats(spark, sf_dir):
+    return fragments.document_lines(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"))
+
+
+# History -----------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def doc_exact_duplicates(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return d.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT a.event_id, b.event_id AS previous_id FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts > b.ts")
+def events_previous(spark, sf_dir):
+    """The user's last event strictly before each event: as-of lookup."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return history.as_of(e, e, "ts", "event_id", "previous_id", by=["user_id"]).select("event_id", "previous_id")
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS latest_id FROM events GROUP BY 1")
+def events_latest(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_id"))
+
+
+def _snapshots(spark, sf_dir):
+    """Two captures of documents: some gone, some new, some edited, some moved."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "lang", "source")
+    common = lambda x: x.withColumn("fragment_kind", F.lit(None).cast("string")).withColumn("row_content_hash", F.lit(None).cast("string")).withColumn("item_content_hash", F.lit(None).cast("string")).withColumn("content_hash", F.sha2("text", 256)).withColumn("heading", F.col("lang")).withColumn("parent_id", F.col("source")).withColumn("source_order", F.col("doc_id"))
+    before = common(d.filter(F.col("doc_id") % 10 != 3))
+    after = common(d.filter(F.col("doc_id") % 10 != 7).withColumn("text", F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).withColumn("lang", F.when(F.col("doc_id") % 10 == 2, F.lit("xx")).otherwise(F.col("lang"))))
+    return after, before
+
+
+_SNAP = """WITH b AS (SELECT doc_id, sha256(text) AS h, lang FROM documents WHERE doc_id % 10 <> 3),
+a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 1 THEN text || ' edited' ELSE text END) AS h, CASE WHEN doc_id % 10 = 2 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 10 <> 7),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id AS ad, b.doc_id AS bd, a.h AS ah, b.h AS bh, a.lang AS al, b.lang AS bl FROM a FULL JOIN b ON a.doc_id = b.doc_id),
+c AS (SELECT doc_id, 'added' AS change, NULL AS before, NULL AS after FROM j WHERE bd IS NULL UNION ALL SELECT doc_id, 'removed', NULL, NULL FROM j WHERE ad IS NULL
+UNION ALL SELECT doc_id, 'changed', bh, ah FROM j WHERE ad IS NOT NULL AND bd IS NOT NULL AND ah <> bh UNION ALL SELECT doc_id, 'heading', bl, al FROM j WHERE ad IS NOT NULL AND bd IS NOT NULL AND al <> bl)
+"""
+
+
+@query(_SNAP + "SELECT CAST(doc_id AS VARCHAR) AS id, change, before, after FROM c")
+def snapshot_diff(spark, sf_dir):
+    return diff.fragments(*_snapshots(spark, sf_dir))
+
+
+@query(_SNAP + "SELECT change, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'unchanged', count(*) FROM j WHERE ah = bh")
+def snapshot_summary(spark, sf_dir):
+    return diff.summary(*_snapshots(spark, sf_dir))
+
+
+@query("SELECT doc_id, (doc_id % 10 NOT IN (1, 3, 5)) AS unchanged FROM documents WHERE doc_id % 10 <> 7")
+def unchanged_check(spark, sf_dir):
+    """Unchanged only where a previous capture exists and every hash is known and equal."""
+    after, before = _snapshots(spark, sf_dir)
+    shape = lambda d: d.select("doc_id", F.col("content_hash").alias("map_sha256"), F.sha2("source", 256).alias("codex_sha256"), F.when(F.col("doc_id") % 10 != 5, F.sha2("id", 256)).alias("image_digest"))
+    return history.unchanged(shape(after), shape(before), "doc_id")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT ALL SELECT DISTINCT l_orderkey FROM lineitem) x) AS only_left, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders) y) AS only_right, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT ALL SELECT DISTINCT l_orderkey FROM lineitem) x) = 0 AND (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders) y) = 0 AS equal")
+def set_equality(spark, sf_dir):
+    return history.same_set(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct())
+
+
+@query()
+def turn_text_diff(spark, sf_dir):
+    """Unified diff of each turn against the one before."""
+    c = read(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = c.withColumn("before", F.lag("text").over(w)).filter(F.col("before").isNotNull())
+    return pairs.select("conv_id", "turn", diff.unified(F.col("before"), F.col("text")).alias("diff"))
+
+
+# Records -----------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_props(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k")).filter(F.col("k").isNotNull())
+
+
+@query("""WITH r AS (SELECT p_partkey, 'part__' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base FROM part)
+SELECT p_partkey, base || CASE WHEN n = 1 THEN '' WHEN k = 1 THEN '__no-coordinates' ELSE '__no-coordinates#' || k END AS id FROM (SELECT *, count(*) OVER (PARTITION BY base) AS n, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM r) t""")
+def record_ids(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "part").select(F.lit(1).alias("capture_id"), "p_partkey", F.lit("part").alias("kind"), F.col("p_name").alias("name"), none.alias("coordinates"), none.alias("source_id"), F.col("p_partkey").alias("ord"))
+    return maps.assign_ids(rows, "capture_id").select("p_partkey", "id")
+
+
+def _candidates(spark, sf_dir):
+    """A map of each nation: its suppliers as settlements, customers as markers, with odd fields."""
+    s = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("x"), (F.col("s_suppkey") % 97).alias("y"), F.col("s_acctbal").alias("balance")))).alias("s"))
+    c = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.to_json(F.struct(F.col("c_name").alias("title"), F.array(F.col("c_custkey") % 500, F.col("c_custkey") % 300).alias("coords"), F.col("c_mktsegment").alias("type")))).alias("c"))
+    both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full_outer")
+    text = F.concat(F.lit('{"img":{"w":400,"h":250},"settlements":['), F.array_join(F.coalesce("s", F.array().cast("array<string>")), ","), F.lit('],"markers":['), F.array_join(F.coalesce("c", F.array().cast("array<string>")), ","), F.lit('],"routes":[1,2],"version":7}'))
+    return both.select(F.coalesce("s_nationkey", "c_nationkey").alias("capture_id"), F.parse_json(text).alias("value"))
+
+
+@query("""SELECT n AS capture_id, CAST(sum(s) AS BIGINT) AS settlements, CAST(sum(m) AS BIGINT) AS markers, CAST(sum(s) + sum(m) AS BIGINT) AS normalized_records, CAST(3 AS BIGINT) AS unclassified_records
+FROM (SELECT s_nationkey AS n, 1 AS s, 0 AS m FROM supplier UNION ALL SELECT c_nationkey, 0, 1 FROM customer) t GROUP BY 1""")
+def map_validation(spark, sf_dir):
+    v = maps.validation(_candidates(spark, sf_dir))
+    return v.select("capture_id", "settlements", "markers", "normalized_records", "unclassified_records")
+
+
+@query("""SELECT s_nationkey AS capture_id, 'settlements' AS collection, s_name AS name, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y FROM supplier
+UNION ALL SELECT c_nationkey, 'markers', c_name, CAST(c_custkey % 500 AS DOUBLE), CAST(c_custkey % 300 AS DOUBLE) FROM customer""")
+def map_records(spark, sf_dir):
+    r = annotate.points(maps.records(_candidates(spark, sf_dir)))
+    return r.select("capture_id", "collection", "name", "x", "y")
+
+
+@query()
+def map_annotation(spark, sf_dir):
+    """Legend of each nation's map: status, overlap and label position of every record."""
+    c = _candidates(spark, sf_dir)
+    m = maps.header(c).withColumn("image_available", F.lit(True))
+    return annotate.annotate(maps.records(c), m).select("capture_id", "ord", "id", "kind", "x", "y", "status", "overlap", "label_x", "label_y", "label_offset")
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT 'part' AS kind FROM part UNION ALL SELECT 'supplier' FROM supplier UNION ALL SELECT 'customer' FROM customer) t GROUP BY 1""")
+def kind_counts(spark, sf_dir):
+    each = [read(spark, sf_dir, t).select(F.lit(t).alias("kind")) for t in ("part", "supplier", "customer")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_PLACE = "SELECT vec_id AS ord, floor(embedding[1] * 1000 + 500) AS x, floor(embedding[2] * 1000 + 500) AS y FROM embeddings"
+
+
+def _places(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    at = lambda i: F.floor(F.get("embedding", F.lit(i)) * F.lit(1000).cast("float") + F.lit(500).cast("float")).cast("double")
+    return e.select(F.lit(1).alias("capture_id"), F.col("vec_id").alias("ord"), at(0).alias("x"), at(1).alias("y"))
+
+
+@query(f"WITH p AS ({_PLACE}) SELECT a.ord, count(b.ord) AS overlap FROM p a LEFT JOIN p b ON b.ord < a.ord AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 36 GROUP BY 1")
+def near_points(spark, sf_dir):
+    return annotate.overlaps(_places(spark, sf_dir)).select("ord", "overlap")
+
+
+@query(f"WITH p AS ({_PLACE}) SELECT CAST(count(*) - count(DISTINCT (x, y)) AS BIGINT) AS duplicate_coordinates FROM p")
+def duplicate_coordinates(spark, sf_dir):
+    return annotate.duplicate_coordinates(_places(spark, sf_dir)).select("duplicate_coordinates")
+
+
+@query(f"WITH p AS ({_PLACE}) SELECT ord, CASE WHEN x >= 0 AND x < 600 AND y >= 0 AND y < 500 THEN 'rendered' ELSE 'outside' END AS status FROM p")
+def bounds_filter(spark, sf_dir):
+    m = spark.range(1).select(F.lit(1).alias("capture_id"), F.lit(600.0).alias("width"), F.lit(500.0).alias("height"), F.lit("image-pixel").alias("system"), F.lit("top-left").alias("origin"), F.lit(True).alias("image_available"))
+    return annotate.classify(_places(spark, sf_dir).withColumn("state", F.lit("valid")), m).select("ord", "status")
+
+
+# Storage -----------------------------------------------------------------------------------------
+
+
+def _places_of(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    first = fragments.fragments(parse_pages(p), _TREE)
+    edited = p.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<p>appended</p>"))).otherwise(F.col("html")))
+    second = fragments.fragments(parse_pages(edited), _TREE)
+    empty = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
+    old = sparse.materialize(first, empty, "page_id", "c1", "2025-01-01")
+    return first, second, old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
+
+
+@query()
+def merkle_reuse(spark, sf_dir):
+    """Where each fragment of the second capture is stored."""
+    *_, new = _places_of(spark, sf_dir)
+    return new.select("page_id", "id", "materialized_capture", "materialized_path")
+
+
+@query()
+def current_view(spark, sf_dir):
+    """All fragments of the second capture, from wherever they are stored."""
+    first, second, old, new = _places_of(spark, sf_dir)
+    store = sparse.written(old, fragments.bodies(first), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(second), "page_id", "c2"))
+    return sparse.current_view(new, store)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def integrity_violations(spark, sf_dir):
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left_anti").select("o_orderkey")
