@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions.storage import cut
 from palimpsest.operators.diff import effective_hash
 
 LOCATION = ["render_signature", "materialized_capture", "materialized_path"]
@@ -46,7 +47,7 @@ def materialize(fragments: DataFrame, previous: DataFrame, key: str = "page_id",
     """
     if "dependency_hash" not in fragments.columns:
         fragments = fragments.withColumn("dependency_hash", F.lit(None).cast("string"))
-    leveled = with_levels(fragments, key)
+    leveled = cut(with_levels(fragments, key))  # every level reads it, and the one above
     old = previous.select(key, "id", *[F.col(c).alias(f"_{c}") for c in LOCATION])
     top = leveled.agg(F.max("level")).first()[0]  # one number
     done = None
@@ -63,6 +64,7 @@ def materialize(fragments: DataFrame, previous: DataFrame, key: str = "page_id",
         same = F.coalesce(F.col("render_signature") == F.col("_render_signature"), F.lit(False))
         own = F.concat(F.lit(f"captures/{capture_date}/{capture_id}/codex/"), F.col(key).cast("string"), F.lit("/"), "file")
         placed = signed.withColumn("materialized_capture", F.when(same, F.col("_materialized_capture")).otherwise(F.lit(capture_id))).withColumn("materialized_path", F.when(same, F.col("_materialized_path")).otherwise(own)).drop("_paths", *[f"_{c}" for c in LOCATION])
+        placed = cut(placed)
         done = placed if done is None else done.unionByName(placed)
     return done.drop("level")
 
