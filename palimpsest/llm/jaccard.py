@@ -3,16 +3,18 @@
 A document's set holds the 64-bit hashes of its distinct SHINGLE-word shingles (A-Z lower-cased).
 Equal sets form one class, of which one representative goes on.
 
-Tokens are ordered by hash. A set's prefix is so long that two sets with the asked similarity share
-a token of it, so only prefixes are indexed (about 15 % of the tokens at 0.85). Tokens of a single
-prefix drop out. The remaining sets are partitioned into groups of similar ones: each set joins the
-leader with which it shares most tokens, where a token's leader is the set whose tokens are most
-widespread (in a family of copies, the original), and a group is cut by size, so that its members
-are within CLASS of each other. The matrix holds each group's token union.
-
-A query counts its tokens in each group's union. With n tokens, a prefix of p and s of size m,
-overlap <= count + max(n - p, m - p_m), while a link needs (t / (1 + t)) (n + m): groups below that
-bound are not opened. As only components are asked for, a group is first matched with its leaders,
+Tokens are ordered by hash; the hash range is cut into LEVELS equal levels. A set's prefix ends with
+the level at which it is so long that two sets with the asked similarity share a token of it, so
+only prefixes are indexed (about 15 % of the tokens at 0.85). Tokens of a single prefix drop out. The
+remaining sets are partitioned into groups of similar ones: each set joins the leader with which it
+shares most tokens, where a token's leader is the set whose tokens are most widespread (in a family of
+copies, the original), and a group is cut by size and by the level at which prefixes end. The
+matrix holds each group's token union.
+
+A query counts its tokens in the unions of groups of sets no smaller than itself. Up to the lower of
+the two last levels the count bounds the overlap; beyond it, the query's own remaining tokens do. A
+link with a set of m tokens needs an overlap of (t / (1 + t)) (n + m): groups that cannot reach it are
+not opened. As only components are asked for, a group is first matched with its leaders,
 and then opened only to sets of other components; within a task a pair is left out once its ends are
 connected. Every pair that reaches the similarity is thus either verified or already connected.
 
@@ -27,17 +29,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import graph, words
 
 SHINGLE = 4
 PERCENT = 85
-#: Relative width of a size class of a group.
-CLASS = 0.04
+#: Relative width of a size class of a group; levels of the hash range (a power of two).
+CLASS, LEVELS = 0.04, 64
+#: Sets from which a token counts as widespread.
+WIDE = 64
 #: Members of an opened part of a group, and queries of one task for it.
-PART, QUERIES = 512, 2048
+PART, QUERIES = 256, 512
 
 
 def token_set(text: bytes, hashes: words.WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -67,52 +71,65 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def prefix(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix of a sorted set (as 63-bit tokens), and how many tokens it has up to each level; last of
+    these is the level at which the part ends that is enough against sets no smaller."""
+    short = tokens >> np.uint64(1)
+    level = short // np.uint64((1 << 63) // LEVELS)
+    n = prefix_length(len(tokens), percent)
+    last = int(level[n - 1]) if n else -1
+    upto = np.searchsorted(level, np.arange(last + 1, dtype=np.uint64), side="right")
+    end = [int(level[len(tokens) - -(-2 * percent * len(tokens) // (100 + percent))])] if n else []
+    return short[: upto[-1]] if n else short, np.concatenate([upto, end]).astype(np.int32)
+
+
 def _sketch(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n, key (hash of the whole set), prefix (array of long)."""
+    """doc_id, n, key (hash of the whole set), prefix, and upto (as ``prefix`` gives them)."""
 
     def run(batches):
         hashes = words.WordHashes()
         for batch in words.small_batches(batches):
             sets = [token_set(t, hashes, k) for t in words.texts(batch)]
+            cuts = [prefix(s, percent) for s in sets]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(c[1]) for c in cuts])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), words.long_lists([s[: prefix_length(len(s), percent)] for s in sets])],
-                names=["doc_id", "n", "key", "prefix"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), words.long_lists([c[0] for c in cuts]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c[1] for c in cuts])))],
+                names=["doc_id", "n", "key", "prefix", "upto"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, upto array<int>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n and set (binary) of the given nodes."""
-
-    def run(batches):
-        hashes = words.WordHashes()
-        for batch in words.small_batches(batches):
-            sets = [token_set(t, hashes, k) for t in words.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "set"])
-
-    return docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, n long, set binary")
-
-
-def _suffix(n: Column, percent: int) -> Column:
-    """n less the prefix."""
-    return F.ceil(n * percent / 100) - 1
+def _deal(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """Deal queries and members (group, node, component) out to parts of groups: a row for each node
+    with all its places (part, salt, component, member)."""
+    size = members.groupBy("group").agg(F.count("*").alias("_m"))
+    asked = queries.groupBy("group").agg(F.count("*").alias("_q"))
+    plan = size.join(asked, "group").select("group", F.ceil(F.col("_m") / PART).alias("_parts"), F.ceil(F.col("_q") / QUERIES).alias("_salts"))
+    ms = members.join(plan, "group").withColumn("_part", F.pmod(F.xxhash64("node"), "_parts")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    qs = queries.join(plan, "group").withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "node"), "_salts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    place = lambda d, member: d.select("node", F.struct(F.concat_ws("/", F.col("group").cast("string"), "_part").alias("part"), F.col("_salt").cast("long").alias("salt"), "component", F.lit(member).alias("member")).alias("place"))
+    return place(ms, True).unionByName(place(qs, False)).groupBy("node").agg(F.collect_list("place").alias("places"))
 
 
-def _bound(n: Column, low: Column, high: Column, percent: int) -> Column:
-    """Least count of common prefix tokens of a set of n tokens with some set of low to high tokens."""
-    low = F.greatest(low, F.ceil(n * percent / 100))
-    return F.greatest(F.lit(1), F.ceil((n + low) * percent / (100 + percent)) - F.greatest(_suffix(n, percent), _suffix(high, percent)))
+def _open(docs: DataFrame, places: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links between queries and members that meet in a part, without those that are redundant.
 
+    The texts of the nodes travel to their places once, sets are made there and go on to the parts:
+    at most about PART members and QUERIES queries in one.
+    """
 
-def _open(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between queries and members of the same ``part``, without those that are redundant.
+    def sets(batches):
+        hashes = words.WordHashes()
+        for batch in words.small_batches(batches):
+            found = [token_set(t, hashes, k).tobytes() for t in words.texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("places"), pa.array(found, pa.binary())], names=["node", "places", "set"])
 
-    Both sides: part, salt, node, component, set. The sets of a task are at most PART members and
-    about QUERIES queries.
-    """
+    kind = "array<struct<part:string,salt:long,component:long,member:boolean>>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places.select(F.col("node").alias("doc_id"), F.col("places").cast(kind).alias("places")), "doc_id")
+    rows = texts.mapInArrow(sets, f"node long, places {kind}, set binary").select("node", F.explode("places").alias("p"), "set").select("p.part", "p.salt", "p.component", "p.member", "node", "set")
 
-    def match(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -121,11 +138,12 @@ def _open(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             return x
 
         out = []
+        m, q = pdf[pdf["member"]], pdf[~pdf["member"]]
         targets = [(int(n), int(c), np.frombuffer(s, np.uint64)) for n, c, s in zip(m["node"], m["component"], m["set"], strict=True)]
         sizes = np.array([len(t[2]) for t in targets])
         for node, component, raw in zip(q["node"], q["component"], q["set"], strict=True):
             own = np.frombuffer(raw, np.uint64)
-            near = np.flatnonzero((100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))) if len(sizes) else []
+            near = np.flatnonzero(100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))) if targets else []
             for i in near:
                 other, their, tokens = targets[i]
                 if other == node or root(int(component)) == root(their) or not linked(own, tokens, percent):
@@ -134,72 +152,78 @@ def _open(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 out.append((int(node), other))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    keys = ["part", "salt"]
-    return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(match, "u long, v long")
-
-
-def _by_parts(queries: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Deal queries (group, node, ...) and members (group, node, ...) out to parts and salts."""
-    size = members.groupBy("group").agg(F.count("*").alias("_m"))
-    asked = queries.groupBy("group").agg(F.count("*").alias("_q"))
-    plan = size.join(asked, "group").select("group", F.ceil(F.col("_m") / PART).alias("_parts"), F.ceil(F.col("_q") / QUERIES).alias("_salts"))
-    name = F.concat_ws("/", "group", "_part").alias("part")
-    ms = members.join(plan, "group").withColumn("_part", F.pmod(F.xxhash64("node"), "_parts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    qs = queries.join(plan, "group").withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "node"), "_salts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    columns = [name, F.col("salt").cast("long").alias("salt"), *(F.col(c).alias(c) for c in ("node", "component", "set"))]
-    return qs.select(columns), ms.select(columns)
+    return rows.groupBy("part", "salt").applyInPandas(match, "u long, v long")
 
 
 def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    ids, nodes, shared = _index(docs, percent, k)
+    classes = ids.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("node"))
+    named = classes.join(_labels(docs, nodes, shared, percent, k), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _index(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n, key of all documents; node, n, upto, last and enough (levels) of
+    representatives; token, node, n, c (count) of
+    prefix tokens that several of them have."""
     sketch = words.cut(_sketch(docs, percent, k))
-    classes = sketch.filter(F.col("n") > 0).groupBy("key", "n").agg(F.min("doc_id").alias("node"))
-    labels = _labels(docs, sketch, classes, percent, k)
-    named = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return sketch.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    first = sketch.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    mine = sketch.join(first, ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "prefix", "upto")
+    tokens = mine.select("node", "n", F.explode("prefix").alias("token"))
+    shared = words.store(tokens.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter(F.col("c") > 1))
+    return words.store(sketch.select("doc_id", "n", "key")), words.store(mine.select("node", "n", "upto", (F.size("upto") - 2).alias("last"), F.element_at("upto", -1).alias("enough"))), shared
 
 
-def _labels(docs: DataFrame, sketch: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
     """node and component of the representatives that have links."""
-    first = classes.select("key", F.col("node").alias("doc_id"))
-    tokens = sketch.join(first, ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n", F.explode("prefix").alias("token"))
-    shared = words.cut(tokens.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter(F.col("c") > 1))
-
     # Groups: each node goes to the leader with which it shares most tokens.
     spread = shared.groupBy("node").agg(F.avg("c").alias("spread"))
-    leaders = shared.join(spread, "node").groupBy("token").agg(F.max(F.struct("spread", -F.col("node"))).alias("l")).select("token", (-F.col("l.col2")).alias("leader"))
+    leaders = shared.select("token", "node").join(spread, "node").groupBy("token").agg(F.max(F.struct("spread", -F.col("node"))).alias("l")).select("token", (-F.col("l.col2")).alias("leader"))
     votes = shared.select("token", "node", "n").join(leaders, "token").groupBy("node", "n", "leader").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("node", "n").agg(F.max(F.struct("votes", -F.col("leader"))).alias("l"))
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(CLASS)))
-    groups = words.cut(chosen.select("node", "n", (-F.col("l.col2")).alias("leader"), level.alias("level")))
+    groups = words.store(chosen.select("node", (-F.col("l.col2")).alias("leader"), F.col("l.votes").alias("votes"), level.alias("level")))
     del votes, leaders, spread, chosen
 
-    sets = words.cut(_sets(docs, groups, k))
-    # First each group against its leader.
-    q = groups.filter(F.col("node") != F.col("leader")).select(F.col("leader").cast("string").alias("group"), "node").join(sets, "node").withColumn("component", F.col("node"))
-    m = groups.select("leader").distinct().select(F.col("leader").cast("string").alias("group"), F.col("leader").alias("node")).join(sets, "node").withColumn("component", F.col("node"))
-    stars = words.cut(_open(*_by_parts(q, m), percent))
+    # First each group against its leader, where they share enough to be worth the look.
+    near = groups.filter(F.col("node") != F.col("leader")).join(nodes.select("node", "n"), "node").filter(F.col("votes") * (100 + percent) >= F.col("n") * (100 - percent) * 0.7)
+    q = near.select(F.col("leader").alias("group"), "node", F.col("node").alias("component"))
+    m = near.select("leader").distinct().select(F.col("leader").alias("group"), F.col("leader").alias("node"), F.col("leader").alias("component"))
+    stars = words.cut(_open(docs, _deal(q, m), percent, k))
     labels = words.cut(graph.components(stars))
 
     # Then across components, where a token has more than one.
-    state = groups.join(labels, "node", "left").select("node", "n", "leader", "level", F.coalesce("component", "node").alias("component"))
-    rows = shared.select("token", "node").join(state, "node")
+    state = groups.join(labels, "node", "left").select("node", "leader", "level", F.coalesce("component", "node").alias("component"))
+    state = state.join(nodes.select("node", "last", "enough"), "node")
+    rows = shared.select("token", "node", "n", "c").join(state, "node")
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("token")
-    rows = words.cut(rows.join(mixed, "token", "left_semi").withColumn("group", F.concat_ws(":", "leader", "level")))
+    rows = words.store(rows.join(mixed, "token", "left_semi").withColumn("group", F.xxhash64("leader", "level", "last")).drop("leader"))
     if rows.isEmpty():
         return labels
-    matrix = rows.groupBy("token", "group", "level").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
+    # The smaller of a pair asks, the larger is the member. Groups of a token that few sets have are met
+    # through the token alone, of a widespread one through the token and the sizes that fit.
     span = int(np.ceil(np.log(100 / percent) / np.log1p(CLASS))) + 1
-    probes = rows.select("token", "node", "n", "component", F.explode(F.sequence(F.col("level") - span, F.col("level"))).alias("level"))  # the smaller of a pair is the member
-    counts = probes.join(matrix, ["token", "level"]).filter((F.col("low") <= F.col("n")) & (F.col("high") * 100 >= F.col("n") * percent)).filter((F.col("a") != F.col("component")) | (F.col("b") != F.col("component")))
-    hits = counts.groupBy("node", "n", "component", "group").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
-    qualified = words.cut(hits.filter(F.col("count") >= _bound(F.col("n"), F.col("low"), F.col("high"), percent)).select("node", "component", "group"))
+    fits = (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100) & ((F.col("a") != F.col("component")) | (F.col("b") != F.col("component"))) & (F.col("t_level") <= F.col("g_last"))
+    counted = None
+    for part, keys in ((F.col("c") <= WIDE, ["token"]), (F.col("c") > WIDE, ["token", "level"])):
+        dealt = rows.filter(part).repartition("token")
+        matrix = dealt.groupBy("token", "group", "level", F.col("last").alias("g_last")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
+        asking = dealt.select("token", "node", "n", "component", "enough", F.shiftright("token", 64 - LEVELS.bit_length()).alias("t_level"), F.col("level").alias("q_level")).filter(F.col("t_level") <= F.col("enough"))
+        asking = asking if keys == ["token"] else asking.withColumn("level", F.explode(F.sequence(F.col("q_level"), F.col("q_level") + span)))
+        met = asking.join(matrix if keys != ["token"] else matrix.drop("level"), keys).filter(fits).select("node", "group", F.least("enough", "g_last").alias("upto_level"))
+        counted = met if counted is None else counted.unionByName(met)
+    hits = counted.groupBy("node", "group", "upto_level").agg(F.count("*").alias("count"))
+    sizes = rows.groupBy("group").agg(F.min("n").alias("low"))
+    info = nodes.join(state.select("node", "component"), "node")
+    need = F.ceil((F.col("n") + F.greatest("n", "low")) * percent / (100 + percent)) - (F.col("n") - F.get("upto", "upto_level"))
+    hits = hits.filter(F.col("count") > 0).join(sizes, "group").join(info, "node")
+    qualified = words.store(hits.filter(F.col("count") >= need).select("node", "component", "group"))
     opened = rows.join(qualified.select("group").distinct(), "group", "left_semi").select("node", "component", "group").distinct()
-    more = words.cut(_open(*_by_parts(qualified.join(sets.select("node", "set"), "node"), opened.join(sets.select("node", "set"), "node")), percent))
+    more = words.cut(_open(docs, _deal(qualified, opened), percent, k))
     if more.isEmpty():
         return labels
-    links = stars.unionByName(more)
-    return words.cut(graph.components(links))
+    return words.cut(graph.components(stars.unionByName(more)))
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:

@@ -8,6 +8,7 @@ work on bytes and never decode a text they only have to count.
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage in storage that survives lost executors.
 
-    Afterwards the garbage collectors run, so that Spark's cleaner drops the shuffle files of
-    plans that nothing holds any more, and disk use is that of a step, not of the whole job.
+    Before, the garbage collectors run, so that Spark's cleaner drops the shuffle files and
+    checkpoints that nothing holds any more: disk use is that of a step, not of the whole job.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the checkpoint folder: smaller where rows are many and
+    narrow. The folder's owner clears it after the job."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_fold(doc_id, modulus: int, remainder: int):
