@@ -8,7 +8,7 @@ the level at which it is so long that two sets with the asked similarity share a
 only prefixes are indexed (about 15 % of the tokens at 0.85). Tokens of a single prefix drop out. The
 remaining sets are partitioned into groups of similar ones: each set joins the leader with which it
 shares most tokens, where a token's leader is the set whose tokens are most widespread (in a family of
-copies, the original), and a group is cut by size and by the level at which prefixes end. The
+copies, the original), and a group is cut by size. The
 matrix holds each group's token union.
 
 A query counts its tokens in the unions of groups of sets no smaller than itself. Up to the lower of
@@ -37,13 +37,17 @@ from palimpsest.llm import graph, words
 SHINGLE = 4
 PERCENT = 85
 #: Relative width of a size class of a group; levels of the hash range (a power of two).
-CLASS, LEVELS = 0.04, 64
+CLASS, LEVELS = 0.18, 64
 #: Sets from which a token counts as widespread.
 WIDE = 64
 #: Members of an opened part of a group, and queries of one task for it.
 PART, QUERIES = 256, 512
 
 
+#: Hashes of words, of all parts that a Python worker opens.
+_MEMO = words.WordHashes()
+
+
 def token_set(text: bytes, hashes: words.WordHashes, k: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; of the whole sequence if it is shorter."""
     h = hashes.of(text.lower().split())
@@ -115,19 +119,11 @@ def _deal(queries: DataFrame, members: DataFrame) -> DataFrame:
 def _open(docs: DataFrame, places: DataFrame, percent: int, k: int) -> DataFrame:
     """Links between queries and members that meet in a part, without those that are redundant.
 
-    The texts of the nodes travel to their places once, sets are made there and go on to the parts:
-    at most about PART members and QUERIES queries in one.
+    The texts of the nodes travel to their places and on to the parts, where sets are made: a text
+    packs to less than half of its set. At most about PART members and QUERIES queries meet in one.
     """
-
-    def sets(batches):
-        hashes = words.WordHashes()
-        for batch in words.small_batches(batches):
-            found = [token_set(t, hashes, k).tobytes() for t in words.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("places"), pa.array(found, pa.binary())], names=["node", "places", "set"])
-
-    kind = "array<struct<part:string,salt:long,component:long,member:boolean>>"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places.select(F.col("node").alias("doc_id"), F.col("places").cast(kind).alias("places")), "doc_id")
-    rows = texts.mapInArrow(sets, f"node long, places {kind}, set binary").select("node", F.explode("places").alias("p"), "set").select("p.part", "p.salt", "p.component", "p.member", "node", "set")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places.select(F.col("node").alias("doc_id"), "places"), "doc_id")
+    rows = texts.select(F.col("doc_id").alias("node"), "text", F.explode("places").alias("p")).select("p.part", "p.salt", "p.component", "p.member", "node", "text")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict[int, int] = {}
@@ -138,11 +134,11 @@ def _open(docs: DataFrame, places: DataFrame, percent: int, k: int) -> DataFrame
             return x
 
         out = []
+        sets = lambda texts: (token_set((t or "").encode(), _MEMO, k) for t in texts)
         m, q = pdf[pdf["member"]], pdf[~pdf["member"]]
-        targets = [(int(n), int(c), np.frombuffer(s, np.uint64)) for n, c, s in zip(m["node"], m["component"], m["set"], strict=True)]
+        targets = [(int(n), int(c), s) for n, c, s in zip(m["node"], m["component"], sets(m["text"]), strict=True)]
         sizes = np.array([len(t[2]) for t in targets])
-        for node, component, raw in zip(q["node"], q["component"], q["set"], strict=True):
-            own = np.frombuffer(raw, np.uint64)
+        for node, component, own in zip(q["node"], q["component"], sets(q["text"]), strict=True):
             near = np.flatnonzero(100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))) if targets else []
             for i in near:
                 other, their, tokens = targets[i]
@@ -195,29 +191,30 @@ def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int,
 
     # Then across components, where a token has more than one.
     state = groups.join(labels, "node", "left").select("node", "leader", "level", F.coalesce("component", "node").alias("component"))
-    state = state.join(nodes.select("node", "last", "enough"), "node")
+    state = state.join(nodes.select("node", "n", "last", "enough"), "node").withColumn("group", F.xxhash64("leader", "level"))
+    sizes = state.groupBy("group").agg(F.min("n").alias("low"), F.min("last").alias("g_last"))
+    state = words.store(state.drop("leader", "last", "n").join(sizes.select("group", "g_last"), "group"))
     rows = shared.select("token", "node", "n", "c").join(state, "node")
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("token")
-    rows = words.store(rows.join(mixed, "token", "left_semi").withColumn("group", F.xxhash64("leader", "level", "last")).drop("leader"))
+    rows = words.store(rows.join(mixed, "token", "left_semi"))
     if rows.isEmpty():
         return labels
     # The smaller of a pair asks, the larger is the member. Groups of a token that few sets have are met
     # through the token alone, of a widespread one through the token and the sizes that fit.
     span = int(np.ceil(np.log(100 / percent) / np.log1p(CLASS))) + 1
-    fits = (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100) & ((F.col("a") != F.col("component")) | (F.col("b") != F.col("component"))) & (F.col("t_level") <= F.col("g_last"))
+    fits = (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100) & ((F.col("a") != F.col("component")) | (F.col("b") != F.col("component")))
     counted = None
     for part, keys in ((F.col("c") <= WIDE, ["token"]), (F.col("c") > WIDE, ["token", "level"])):
         dealt = rows.filter(part).repartition("token")
-        matrix = dealt.groupBy("token", "group", "level", F.col("last").alias("g_last")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
+        matrix = dealt.groupBy("token", "group", "level", "g_last").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
         asking = dealt.select("token", "node", "n", "component", "enough", F.shiftright("token", 64 - LEVELS.bit_length()).alias("t_level"), F.col("level").alias("q_level")).filter(F.col("t_level") <= F.col("enough"))
         asking = asking if keys == ["token"] else asking.withColumn("level", F.explode(F.sequence(F.col("q_level"), F.col("q_level") + span)))
-        met = asking.join(matrix if keys != ["token"] else matrix.drop("level"), keys).filter(fits).select("node", "group", F.least("enough", "g_last").alias("upto_level"))
+        met = asking.join(matrix if keys != ["token"] else matrix.drop("level"), keys).filter(fits).select("node", "group", F.least("enough", "g_last").alias("upto_level"), (F.col("t_level") <= F.col("g_last")).cast("int").alias("hit"))
         counted = met if counted is None else counted.unionByName(met)
-    hits = counted.groupBy("node", "group", "upto_level").agg(F.count("*").alias("count"))
-    sizes = rows.groupBy("group").agg(F.min("n").alias("low"))
+    hits = counted.groupBy("node", "group", "upto_level").agg(F.sum("hit").alias("count"))  # any common token makes a row
     info = nodes.join(state.select("node", "component"), "node")
     need = F.ceil((F.col("n") + F.greatest("n", "low")) * percent / (100 + percent)) - (F.col("n") - F.get("upto", "upto_level"))
-    hits = hits.filter(F.col("count") > 0).join(sizes, "group").join(info, "node")
+    hits = hits.join(words.store(sizes.select("group", "low")), "group").join(info, "node")
     qualified = words.store(hits.filter(F.col("count") >= need).select("node", "component", "group"))
     opened = rows.join(qualified.select("group").distinct(), "group", "left_semi").select("node", "component", "group").distinct()
     more = words.cut(_open(docs, _deal(qualified, opened), percent, k))
