@@ -57,14 +57,18 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({words.WORD})"), F.lit(1)))
     out = out.withColumn("_l", F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     out = _repeat_words(out)
-    return (
-        out.withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.char_length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long"))
-        .withColumn("n_symbols", (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("long"))
-        .withColumn("n_lines", F.size("_l").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .drop("_t", "_w", "_l")
+    measures = F.struct(
+        F.size("_w").cast("long").alias("n_words"),
+        F.char_length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.size("_l").cast("long").alias("n_lines"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        "n_repeat_words",
     )
+    # Generated columns are computed once: a filter on them is not pushed below, where each of its
+    # references would measure the text again.
+    rest = [c for c in out.columns if c not in ("_t", "_w", "_l", "n_repeat_words")]
+    return out.select(*rest, F.explode(F.array(measures)).alias("_m")).select(*rest, "_m.*")
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
@@ -88,7 +92,7 @@ def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:
     """A row for each rule of the policy: documents that fail it, that only it rejects, and that the
     policy keeps with and without it. One partial aggregation by bit pattern feeds all of them."""
     mask = POLICIES[policy]
-    patterns = book.groupBy("rule_bits").agg(F.count("*").alias("n"))
+    patterns = words.cut(book.groupBy("rule_bits").agg(F.count("*").alias("n")))  # a row for each pattern, before the arms multiply it
     rules = [(name, bit) for name, bit in BIT.items() if bit & mask]
     arms = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit")) for name, bit in rules])
     each = patterns.select("rule_bits", "n", F.explode(arms).alias("r")).select("rule_bits", "n", "r.rule", "r.bit")
