@@ -186,13 +186,13 @@ def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int,
     near = groups.filter(F.col("node") != F.col("leader")).join(nodes.select("node", "n"), "node").filter(F.col("votes") * (100 + percent) >= F.col("n") * (100 - percent) * 0.7)
     q = near.select(F.col("leader").alias("group"), "node", F.col("node").alias("component"))
     m = near.select("leader").distinct().select(F.col("leader").alias("group"), F.col("leader").alias("node"), F.col("leader").alias("component"))
-    stars = words.cut(_open(docs, _deal(q, m), percent, k))
+    stars = words.cut(_open(docs, words.store(_deal(q, m)), percent, k))
     labels = words.cut(graph.components(stars))
 
     # Then across components, where a token has more than one.
     state = groups.join(labels, "node", "left").select("node", "leader", "level", F.coalesce("component", "node").alias("component"))
     state = state.join(nodes.select("node", "n", "last", "enough"), "node").withColumn("group", F.xxhash64("leader", "level"))
-    sizes = state.groupBy("group").agg(F.min("n").alias("low"), F.min("last").alias("g_last"))
+    sizes = words.store(state.groupBy("group").agg(F.min("n").alias("low"), F.min("last").alias("g_last")))
     state = words.store(state.drop("leader", "last", "n").join(sizes.select("group", "g_last"), "group"))
     rows = shared.select("token", "node", "n", "c").join(state, "node")
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("token")
@@ -209,15 +209,16 @@ def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int,
         matrix = dealt.groupBy("token", "group", "level", "g_last").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
         asking = dealt.select("token", "node", "n", "component", "enough", F.shiftright("token", 64 - LEVELS.bit_length()).alias("t_level"), F.col("level").alias("q_level")).filter(F.col("t_level") <= F.col("enough"))
         asking = asking if keys == ["token"] else asking.withColumn("level", F.explode(F.sequence(F.col("q_level"), F.col("q_level") + span)))
-        met = asking.join(matrix if keys != ["token"] else matrix.drop("level"), keys).filter(fits).select("node", "group", F.least("enough", "g_last").alias("upto_level"), (F.col("t_level") <= F.col("g_last")).cast("int").alias("hit"))
+        met = asking.join(matrix if keys != ["token"] else matrix.drop("level"), keys).filter(fits).select("node", "group", (F.col("t_level") <= F.col("g_last")).cast("int").alias("hit"))
         counted = met if counted is None else counted.unionByName(met)
-    hits = counted.groupBy("node", "group", "upto_level").agg(F.sum("hit").alias("count"))  # any common token makes a row
+    hits = words.store(counted.groupBy("node", "group").agg(F.sum("hit").cast("int").alias("count")))  # any common token makes a row
+    del counted, met, asking, matrix, dealt, mixed
     info = nodes.join(state.select("node", "component"), "node")
-    need = F.ceil((F.col("n") + F.greatest("n", "low")) * percent / (100 + percent)) - (F.col("n") - F.get("upto", "upto_level"))
-    hits = hits.join(words.store(sizes.select("group", "low")), "group").join(info, "node")
-    qualified = words.store(hits.filter(F.col("count") >= need).select("node", "component", "group"))
+    need = F.ceil((F.col("n") + F.greatest("n", "low")) * percent / (100 + percent)) - (F.col("n") - F.get("upto", F.least("enough", "g_last")))
+    qualified = words.store(hits.join(sizes, "group").join(info, "node").filter(F.col("count") >= need).select("node", "component", "group"))
+    del hits, info
     opened = rows.join(qualified.select("group").distinct(), "group", "left_semi").select("node", "component", "group").distinct()
-    more = words.cut(_open(docs, _deal(qualified, opened), percent, k))
+    more = words.cut(_open(docs, words.store(_deal(qualified, opened)), percent, k))
     if more.isEmpty():
         return labels
     return words.cut(graph.components(stars.unionByName(more)))

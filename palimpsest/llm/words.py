@@ -8,6 +8,7 @@ work on bytes and never decode a text they only have to count.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -37,15 +38,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir("file:///tmp/palimpsest-checkpoints")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage in storage that survives lost executors.
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and checkpoints that nothing holds any more, so that disk
+    use is that of a step and not of the whole job. The cleaner works on its own: give it a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
 
-    Before, the garbage collectors run, so that Spark's cleaner drops the shuffle files and
-    checkpoints that nothing holds any more: disk use is that of a step, not of the whole job.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: cuts lineage in storage that survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _tidy(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -54,8 +59,7 @@ def store(df: DataFrame) -> DataFrame:
     narrow. The folder's owner clears it after the job."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _tidy(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
