@@ -3,10 +3,15 @@
 Counts cover all training documents. The SHORTLIST most frequent words, the end and one symbol for
 every other word are what the network predicts; the other words share that symbol's probability in
 proportion to their counts plus one, with one share for unseen words, so probabilities of a text sum
-to one over texts. The softmax is factored: first a class, then the word within it. The network is
-trained by truncated backpropagation on a bounded sample of training documents (``SAMPLE_TOKENS``);
-in training and in scoring the state is carried from one window of a document to the next, so
-every token of a text is scored behind its whole past.
+to one over texts. The softmax is factored: first a class, then the word within it; its biases start
+at the counts of all training documents.
+
+The network is trained by truncated backpropagation on every token of every training document. The
+driver starts it on a bounded sample (``START_TOKENS``). Then documents are dealt by hash into ROUNDS
+rounds and shards of about SHARD tokens; in a round every shard goes on from the same weights, and their
+average, weighted by tokens, opens the next round. Weights are averaged by piece, so that no task and
+not the driver gathers what grows with the input. In training and in scoring the state is carried from
+one window of a document to the next, so every token of a text is scored behind its whole past.
 
 The most frequent HEAD words are broadcast with their counts (a fixed size); rarer ones are
 joined to the count table by hash, after combining those of a document. Words stand for their
@@ -18,6 +23,8 @@ training documents every count is 0 and the network is untrained. Repeated rows
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,8 +37,12 @@ HEAD = 1 << 16
 CLASSES, PER_CLASS = 31, 33
 SHORTLIST = CLASSES * PER_CLASS
 HIDDEN = 24
-#: Tokens and documents of the training sample, at most.
-SAMPLE_TOKENS, SAMPLE_DOCS = 400_000, 3_000
+#: Tokens and documents on which the driver starts the network, at most, and tokens of a document among them.
+START_TOKENS, START_DOCS, START_EACH = 400_000, 3_000, 4_000
+#: Rounds over the training documents, tokens of a shard of a round, pieces in which weights are averaged.
+ROUNDS, SHARD, PIECES = 3, 1_500_000, 16
+#: Step sizes of the first and the last window of the rounds.
+RATES = 0.004, 0.0005
 #: Steps of a window; documents scored side by side.
 STEPS, SIDE = 48, 4096
 
@@ -52,11 +63,13 @@ class Network:
         draw = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
         self.w = {"x": draw(SYMBOLS, 3 * h), "u": draw(h, 3 * h), "c": draw(h, CLASSES + 2), "bc": np.zeros(CLASSES + 2, np.float32), "o": draw(SHORTLIST, h), "bo": np.zeros(SHORTLIST, np.float32)}
 
-    def run(self, ids: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States behind each step of ids (steps, rows), and the last."""
+    def run(self, ids: np.ndarray, state: np.ndarray, keep: list | None = None, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States behind each step of ids (steps, rows), and the last; where ``on`` is 0 the state before is forgotten."""
         h, x, u = HIDDEN, self.w["x"], self.w["u"]
         out = np.empty((*ids.shape, h), np.float32)
         for t in range(len(ids)):
+            if on is not None:
+                state = state * on[t]
             g, a = x[ids[t]], state @ u
             zr = _sigmoid(g[:, : 2 * h] + a[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
@@ -104,9 +117,9 @@ class Network:
                 dh[at] += d @ self.w["o"][span]
         return out, dh
 
-    def _window(self, ids, targets, mask, state) -> tuple[dict, np.ndarray, float, int]:
+    def _window(self, ids, targets, mask, state, carry=None) -> tuple[dict, np.ndarray, float, int]:
         keep: list = []
-        hs, last = self.run(ids, state, keep)
+        hs, last = self.run(ids, state, keep, carry)
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
         on = mask.ravel()
         flat = hs.reshape(-1, HIDDEN)
@@ -115,42 +128,58 @@ class Network:
         up[on] = dh
         up = up.reshape(hs.shape)
         h, back = HIDDEN, np.zeros_like(state)
-        dg = np.empty((*ids.shape, 3 * h), np.float32)
+        dg, da = np.empty((2, *ids.shape, 3 * h), np.float32)
         for t in range(len(ids) - 1, -1, -1):
             prev, z, r, n, an = keep[t]
             d = up[t] + back
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (prev - n) * z * (1 - z)
             dr = dn * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], 1)
-            dg[t] = np.concatenate([dz, dr, dn], 1)
-            grads["u"] += prev.T @ da
-            back = d * z + da @ self.w["u"].T
-        np.add.at(grads["x"], ids.ravel(), dg.reshape(-1, 3 * h))
+            dg[t, :, :h] = da[t, :, :h] = dz
+            dg[t, :, h : 2 * h] = da[t, :, h : 2 * h] = dr
+            dg[t, :, 2 * h :], da[t, :, 2 * h :] = dn, dn * r
+            back = d * z + da[t] @ self.w["u"].T
+            if carry is not None:
+                back *= carry[t]
+        grads["u"] += np.concatenate([s[0] for s in keep]).T @ da.reshape(-1, 3 * h)
+        order = np.argsort(ids.ravel(), kind="stable")
+        seen, first = np.unique(ids.ravel()[order], return_index=True)
+        grads["x"][seen] = np.add.reduceat(dg.reshape(-1, 3 * h)[order], first, axis=0)
         return grads, last, float(lp.sum()), int(on.sum())
 
-    def train(self, docs: list[np.ndarray], side: int = 32, steps: int = 24, epochs: int = 3, rate: float = 0.01) -> None:
-        """docs: symbols of each, ending in END."""
-        docs = sorted(docs, key=len)
+    def train(self, docs: list[np.ndarray], side: int = 32, steps: int = 24, epochs: int = 3, rates: tuple[float, float] = (0.01, 0.001)) -> int:
+        """docs: symbols of each, ending in END; every token counts once an epoch. Returns the tokens of an epoch.
+
+        Documents follow one another in ``side`` lanes; the state is forgotten between them."""
         m, v = ({n: np.zeros_like(w) for n, w in self.w.items()} for _ in range(2))
-        k = 0
-        r = np.random.default_rng(11)
-        batches = [docs[i : i + side] for i in range(0, len(docs), side)]
-        total = epochs * sum(-(-len(b[-1]) // steps) for b in batches)
-        for _ in range(epochs):
-            for b in r.permutation(len(batches)):
-                group = batches[b]
-                state = np.zeros((len(group), HIDDEN), np.float32)
-                for at in range(0, len(group[-1]), steps):
-                    ids, targets, mask = _lay(group, at, steps)
-                    grads, state, _, n = self._window(ids, targets, mask, state)
-                    k += 1
-                    lr = rate * (1 - 0.9 * k / total)
-                    for name, g in grads.items():
-                        g = np.clip(g / n * steps, -5, 5)
-                        m[name] = 0.9 * m[name] + 0.1 * g
-                        v[name] = 0.99 * v[name] + 0.01 * g * g
-                        self.w[name] = (self.w[name] - lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+        r, k, trained = np.random.default_rng(11), 0, 0
+        for epoch in range(epochs):
+            targets, ids, lengths = _lanes([docs[i] for i in r.permutation(len(docs))], side)
+            state, trained = np.zeros((targets.shape[1], HIDDEN), np.float32), 0
+            for at in range(0, len(targets), steps):
+                live = int((lengths > at).sum())
+                part = slice(at, at + steps), slice(0, live)
+                mask = np.arange(at, at + len(targets[part]))[:, None] < lengths[:live]
+                grads, state, _, n = self._window(ids[part], targets[part], mask, state[:live], (ids[part] != START)[..., None].astype(np.float32))
+                k, trained = k + 1, trained + n
+                done = (epoch + at / len(targets)) / epochs
+                lr = np.float32((rates[0] + (rates[1] - rates[0]) * done) * n / (steps * targets.shape[1]))  # lanes that have ended count as none
+                for name, g in grads.items():
+                    g *= np.float32(steps / n)
+                    np.clip(g, -5, 5, out=g)
+                    m[name] += np.float32(0.1) * (g - m[name])
+                    v[name] += np.float32(0.01) * (g * g - v[name])
+                    self.w[name] -= lr * (m[name] / np.float32(1 - 0.9**k)) / (np.sqrt(v[name] / np.float32(1 - 0.99**k)) + np.float32(1e-6))
+        return trained
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.w.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for name, w in self.w.items():
+            self.w[name] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document's symbols, whole."""
@@ -171,6 +200,26 @@ class Network:
         return back
 
 
+def _lanes(docs: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Targets and inputs (steps, lanes) of documents one behind the other, and the lengths of the
+    lanes, the longest first. A document goes to the lane that is shortest so far; documents longer
+    than an even share go first."""
+    lanes: list[list[np.ndarray]] = [[] for _ in range(min(side, len(docs)))]
+    heap, even = [(0, i) for i in range(len(lanes))], sum(map(len, docs)) / max(1, side)
+    for d in sorted(docs, key=lambda d: -len(d) if len(d) > even else 0):
+        n, i = heap[0]
+        lanes[i].append(d)
+        heapq.heapreplace(heap, (n + len(d), i))
+    rows = sorted((np.concatenate(x) for x in lanes), key=len, reverse=True)
+    lengths = np.array([len(x) for x in rows], np.int64)
+    shape = (int(lengths[0]) if len(rows) else 0, len(rows))
+    targets, ids = np.full(shape, END, np.int64), np.full(shape, START, np.int64)
+    for j, x in enumerate(rows):
+        targets[: len(x), j] = x
+        ids[1 : len(x), j] = np.where(x[:-1] == END, START, x[:-1])
+    return targets, ids, lengths
+
+
 def _lay(group: list[np.ndarray], at: int, steps: int):
     """Inputs, targets and mask (steps, rows) of a window from ``at``."""
     steps = min(steps, max(len(d) for d in group) - at)
@@ -204,6 +253,11 @@ class Model:
         self.inside = np.where(np.arange(len(counts)) < SHORTLIST, 0.0, np.log10((counts + 1) / self.other_total))
         self.end_base = float(np.log10((n_docs + 1) / self.base_total))
         self.network = Network()
+        if n_docs:
+            w = np.ones(SHORTLIST)
+            w[: len(short)] += short
+            self.network.w["bo"] = np.log(w).astype(np.float32)
+            self.network.w["bc"] = np.log([*w.reshape(CLASSES, PER_CLASS).sum(1), self.other_total, n_docs + 1]).astype(np.float32)
 
     def codes(self, limit: int = 400_000) -> words.WordHashes:
         """Words to their place in the head, or to their hash (never below HEAD)."""
@@ -256,17 +310,86 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     n_docs = docs.count()
     head = [(r["hash"], r["c"]) for r in counts.orderBy(F.desc("c"), "hash").limit(HEAD).collect()]
     model = Model(head, total["n"], total["v"], n_docs)
-    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).toArrow()
+    if n_docs:
+        start(docs, model, n_docs)
+        train(docs, model)
+    return model, counts
+
+
+def start(docs: DataFrame, model: Model, n_docs: int) -> None:
+    """Train the network on a bounded sample, from which the rounds go on."""
+    share = min(1.0, START_DOCS / n_docs)
+    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 16 * START_EACH)
+    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("doc_id", text.cast("binary").alias("text")).toArrow()
     codes, sample, n = model.codes(), [], 0
     for i in np.lexsort([[xxhash.xxh3_64_intdigest(str(x)) for x in chosen["doc_id"].to_pylist()]]) if chosen.num_rows else []:
-        sample.append(symbols(codes.of(chosen["text"][int(i)].as_py().lower().split())))
+        sample.append(symbols(codes.of(chosen["text"][int(i)].as_py().lower().split()[:START_EACH])))
         n += len(sample[-1])
-        if n >= SAMPLE_TOKENS:
+        if n >= START_TOKENS:
             break
     if sample:
         model.network.train(sample)
-    return model, counts
+
+
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """symbols of every document (16-bit), its place in the deal, and n."""
+    given = docs.sparkSession.sparkContext.broadcast([h for h, i in model.rank.items() if i < SHORTLIST])
+
+    def run(batches):
+        places = {h: i for i, h in enumerate(given.value)}
+
+        class Places(words.WordHashes):
+            def __missing__(self, word: bytes) -> int:
+                if len(self) >= self.limit:
+                    self.clear()
+                value = self[word] = places.get(xxhash.xxh3_64_intdigest(word), OTHER)
+                return value
+
+        codes = Places()
+        for batch in words.small_batches(batches):
+            rows = [np.append(codes.of(t.lower().split()).astype(np.int16), np.int16(END)) for t in words.texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "n", "symbols"])
+
+    ids = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    return ids.mapInArrow(run, "doc_id long, n long, symbols binary").select(F.xxhash64(F.lit(3), "doc_id", "symbols").alias("deal"), "n", "symbols")
+
+
+def _shard(given, rates):
+    def run(key, table):
+        table = table.sort_by([("deal", "ascending"), ("n", "ascending")])
+        net = Network()
+        net.load(given.value)
+        docs = [np.frombuffer(x.as_py(), np.int16) for x in table["symbols"]]
+        n = net.train(docs, side=max(16, min(256, sum(map(len, docs)) // 4096)), epochs=1, rates=rates)
+        pieces = [p.tobytes() for p in np.array_split(net.flat(), PIECES)]
+        return pa.table({"piece": pa.array(range(PIECES), pa.int64()), "shard": pa.array([key[0].as_py()] * PIECES, pa.int64()), "n": pa.array([n] * PIECES, pa.int64()), "w": pa.array(pieces, pa.binary())})
+
+    return run
+
+
+def _average(key, table):
+    """Mean of a piece of the weights over shards, by their tokens; in the order of shards, so that it repeats."""
+    total, w = sum(table["n"].to_pylist()), 0.0
+    for _, n, x in sorted(zip(table["shard"].to_pylist(), table["n"].to_pylist(), table["w"].to_pylist(), strict=True)):
+        w = w + np.frombuffer(x, np.float32).astype(np.float64) * (n / total)
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([total], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, model: Model) -> int:
+    """Train the network on all documents, each in one round; returns the tokens trained on."""
+    spark = docs.sparkSession
+    coded, trained = words.store(encode(docs, model)), 0
+    shards = -(-model.total // (ROUNDS * SHARD))
+    for k in range(ROUNDS):
+        given, rates = spark.sparkContext.broadcast(model.network.flat()), [RATES[0] * (RATES[1] / RATES[0]) ** (i / ROUNDS) for i in (k, k + 1)]
+        mine = coded.filter(F.pmod("deal", F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
+        learned = mine.groupBy("shard").applyInArrow(_shard(given, rates), "piece long, shard long, n long, w binary")
+        pieces = learned.groupBy("piece").applyInArrow(_average, "piece long, n long, w binary").collect()
+        if pieces:
+            model.network.load(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(pieces, key=lambda r: r["piece"])]))
+            trained += pieces[0]["n"]
+        given.unpersist()
+    return trained
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

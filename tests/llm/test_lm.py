@@ -70,3 +70,26 @@ def test_odd_tables(clashing, empty, docs):
     model, counts = lm.fit(split(docs))
     out = lm.score(clashing, model, counts)
     assert out.count() == clashing.count() and dict(out.dtypes)["score"] == "double" and out.select("rid").first()[0] == "theirs"
+
+
+def test_every_training_document_reaches_the_network(spark, monkeypatch):
+    from tests.llm.conftest import SCHEMA
+
+    for name, value in (("START_TOKENS", 1), ("START_DOCS", 1), ("SHARD", 8000)):
+        monkeypatch.setattr(lm, name, value)
+    texts = {i: "a b c d " * 40 if i % 2 else "d c b a " * 40 for i in range(600)} | {700: None, 701: "e " * 300}
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    model, counts = lm.fit(table)
+    assert model.total == sum(len(words_of(t)) + 1 for t in texts.values())
+    again, _ = lm.fit(table.repartition(3))
+    assert np.array_equal(model.network.flat(), again.network.flat())  # whatever the partitions
+    got = {r["doc_id"]: r for r in lm.score(table.select("doc_id", "text"), model, counts).collect()}
+    assert sum(got[i]["score"] for i in (0, 1)) > sum(got[i]["base_score"] for i in (0, 1)) + 20
+    assert lm.train(table, model) == model.total  # each token of each document once
+
+
+def test_lanes_hold_every_token_once():
+    docs = [np.append(np.arange(n) % 7, lm.END) for n in (0, 3, 900, 5, 5, 60)]
+    targets, ids, lengths = lm._lanes(docs, 3)
+    on = np.arange(len(targets))[:, None] < lengths
+    assert on.sum() == sum(map(len, docs)) and (ids[on] == lm.START).sum() == len(docs) == (targets[on] == lm.END).sum()
