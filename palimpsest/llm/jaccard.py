@@ -14,7 +14,9 @@ matrix holds each group's token union.
 A query counts its tokens in the unions of groups of sets no smaller than itself. Up to the lower of
 the two last levels the count bounds the overlap; beyond it, the query's own remaining tokens do. A
 link with a set of m tokens needs an overlap of (t / (1 + t)) (n + m): groups that cannot reach it are
-not opened. As only components are asked for, a group is first matched with its leaders,
+not opened. ``links`` and ``linked_components`` open every group that can reach it and verify each
+of its pairs once, the smaller set (of equals the smaller node) asking. ``components`` is the shortcut
+where only components are asked for: a group is first matched with its leaders,
 and then opened only to sets of other components; within a task a pair is left out once its ends are
 connected. Every pair that reaches the similarity is thus either verified or already connected.
 
@@ -25,6 +27,8 @@ and text are read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -116,8 +120,12 @@ def _deal(queries: DataFrame, members: DataFrame) -> DataFrame:
     return place(ms, True).unionByName(place(qs, False)).groupBy("node").agg(F.collect_list("place").alias("places"))
 
 
-def _open(docs: DataFrame, places: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links between queries and members that meet in a part, without those that are redundant.
+def _open(docs: DataFrame, places: DataFrame, percent: int, k: int, every: str | None = None) -> DataFrame:
+    """Links between queries and members that meet in a part: u, v and n.
+
+    every: None leaves out those that are redundant for components; "links" gives each link once
+    (all with n = 1); "counts" the links of each node as (node, node, n), and with n = 0 as many
+    links as connect what is connected in the part.
 
     The texts of the nodes travel to their places and on to the parts, where sets are made: a text
     packs to less than half of its set. At most about PART members and QUERIES queries meet in one.
@@ -133,7 +141,7 @@ def _open(docs: DataFrame, places: DataFrame, percent: int, k: int) -> DataFrame
                 parent[x] = x = parent.get(parent[x], parent[x])
             return x
 
-        out = []
+        out, counts = [], Counter()
         sets = lambda texts: (token_set((t or "").encode(), _MEMO, k) for t in texts)
         m, q = pdf[pdf["member"]], pdf[~pdf["member"]]
         targets = [(int(n), int(c), s) for n, c, s in zip(m["node"], m["component"], sets(m["text"]), strict=True)]
@@ -142,13 +150,20 @@ def _open(docs: DataFrame, places: DataFrame, percent: int, k: int) -> DataFrame
             near = np.flatnonzero(100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))) if targets else []
             for i in near:
                 other, their, tokens = targets[i]
-                if other == node or root(int(component)) == root(their) or not linked(own, tokens, percent):
+                if every and (len(own), int(node)) >= (len(tokens), other):
+                    continue  # the other one asks
+                if other == node or (not every and root(int(component)) == root(their)) or not linked(own, tokens, percent):
+                    continue
+                counts.update((int(node), other))
+                if every != "links" and root(int(component)) == root(their):
                     continue
                 parent[root(int(component))] = root(their)
-                out.append((int(node), other))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                out.append((int(node), other, int(every == "links")))
+        if every == "counts":
+            out += [(x, x, c) for x, c in counts.items()]
+        return pd.DataFrame(out, columns=["u", "v", "n"], dtype="int64")
 
-    return rows.groupBy("part", "salt").applyInPandas(match, "u long, v long")
+    return rows.groupBy("part", "salt").applyInPandas(match, "u long, v long, n long")
 
 
 def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -159,6 +174,24 @@ def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> Dat
     return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def links(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """Every pair u, v of representatives (smallest ids of equal sets) that reaches the similarity, once,
+    the smaller set first."""
+    _, nodes, shared = _index(docs, percent, k)
+    return _across(docs, nodes, shared, _groups(shared), None, percent, k, "links").select("u", "v")
+
+
+def linked_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """As ``components``, with n_links: to how many other sets the document's set is linked."""
+    ids, nodes, shared = _index(docs, percent, k)
+    found = words.store(_across(docs, nodes, shared, _groups(shared), None, percent, k, "counts"))
+    labels = graph.components(found.select("u", "v"))
+    many = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
+    classes = ids.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("node"))
+    named = classes.join(labels, "node", "left").join(many, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "n_links")
+    return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _index(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, n, key of all documents; node, n, upto, last and enough (levels) of
     representatives; token, node, n, c (count) of
@@ -171,17 +204,19 @@ def _index(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame,
     return words.store(sketch.select("doc_id", "n", "key")), words.store(mine.select("node", "n", "upto", (F.size("upto") - 2).alias("last"), F.element_at("upto", -1).alias("enough"))), shared
 
 
-def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
-    """node and component of the representatives that have links."""
-    # Groups: each node goes to the leader with which it shares most tokens.
+def _groups(shared: DataFrame) -> DataFrame:
+    """node, leader, votes, level: each node goes to the leader with which it shares most tokens."""
     spread = shared.groupBy("node").agg(F.avg("c").alias("spread"))
     leaders = shared.select("token", "node").join(spread, "node").groupBy("token").agg(F.max(F.struct("spread", -F.col("node"))).alias("l")).select("token", (-F.col("l.col2")).alias("leader"))
     votes = shared.select("token", "node", "n").join(leaders, "token").groupBy("node", "n", "leader").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("node", "n").agg(F.max(F.struct("votes", -F.col("leader"))).alias("l"))
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(CLASS)))
-    groups = words.store(chosen.select("node", (-F.col("l.col2")).alias("leader"), F.col("l.votes").alias("votes"), level.alias("level")))
-    del votes, leaders, spread, chosen
+    return words.store(chosen.select("node", (-F.col("l.col2")).alias("leader"), F.col("l.votes").alias("votes"), level.alias("level")))
+
 
+def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
+    """node and component of the representatives that have links."""
+    groups = _groups(shared)
     # First each group against its leader, where they share enough to be worth the look.
     near = groups.filter(F.col("node") != F.col("leader")).join(nodes.select("node", "n"), "node").filter(F.col("votes") * (100 + percent) >= F.col("n") * (100 - percent) * 0.7)
     q = near.select(F.col("leader").alias("group"), "node", F.col("node").alias("component"))
@@ -190,7 +225,17 @@ def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int,
     labels = words.cut(graph.components(stars))
 
     # Then across components, where a token has more than one.
-    state = groups.join(labels, "node", "left").select("node", "leader", "level", F.coalesce("component", "node").alias("component"))
+    more = words.cut(_across(docs, nodes, shared, groups, labels, percent, k))
+    if more.isEmpty():
+        return labels
+    return words.cut(graph.components(stars.unionByName(more)))
+
+
+def _across(docs: DataFrame, nodes: DataFrame, shared: DataFrame, groups: DataFrame, labels: DataFrame | None, percent: int, k: int, every: str | None = None) -> DataFrame:
+    """Open all groups to all sets that can reach the similarity with one of their sets, as ``_open``
+    does; with labels (node, component) only to sets of other components."""
+    component = F.col("node").alias("component")
+    state = groups.select("node", "leader", "level", component) if labels is None else groups.join(labels, "node", "left").select("node", "leader", "level", F.coalesce("component", "node").alias("component"))
     state = state.join(nodes.select("node", "n", "last", "enough"), "node").withColumn("group", F.xxhash64("leader", "level"))
     sizes = words.store(state.groupBy("group").agg(F.min("n").alias("low"), F.min("last").alias("g_last")))
     state = words.store(state.drop("leader", "last", "n").join(sizes.select("group", "g_last"), "group"))
@@ -198,7 +243,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int,
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("token")
     rows = words.store(rows.join(mixed, "token", "left_semi"))
     if rows.isEmpty():
-        return labels
+        return docs.sparkSession.createDataFrame([], "u long, v long, n long")
     # The smaller of a pair asks, the larger is the member. Groups of a token that few sets have are met
     # through the token alone, of a widespread one through the token and the sizes that fit.
     span = int(np.ceil(np.log(100 / percent) / np.log1p(CLASS))) + 1
@@ -218,10 +263,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int,
     qualified = words.store(hits.join(sizes, "group").join(info, "node").filter(F.col("count") >= need).select("node", "component", "group"))
     del hits, info
     opened = rows.join(qualified.select("group").distinct(), "group", "left_semi").select("node", "component", "group").distinct()
-    more = words.cut(_open(docs, words.store(_deal(qualified, opened)), percent, k))
-    if more.isEmpty():
-        return labels
-    return words.cut(graph.components(stars.unionByName(more)))
+    return _open(docs, words.store(_deal(qualified, opened)), percent, k, every)
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -232,4 +274,4 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(words.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked_components(words.read(spark, sf_dir, "documents").select("doc_id", "text"))

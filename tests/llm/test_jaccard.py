@@ -84,3 +84,23 @@ def test_components_of_a_long_chain(spark):
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_all_links_of_families(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 5)
+    monkeypatch.setattr(jaccard, "QUERIES", 4)
+    rows = families()
+    first = {}
+    for i, t, *_ in rows:
+        w = words_of(t)
+        s = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+        first.setdefault(s, i)
+    sets = {i: s for s, i in first.items()}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = [frozenset(r) for r in jaccard.links(d, 80, 5).collect()]
+    assert len(want) > len(sets) - len({c for i, (_, c) in brute(rows, 80, 5).items() if i in sets})  # more than a spanning forest
+    assert len(got) == len(set(got)) and set(got) == want
+    out = {r["doc_id"]: r for r in jaccard.linked_components(d, 80, 5).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == brute(rows, 80, 5)
+    assert all(out[i]["n_links"] == sum(i in p for p in want) for i in sets)
