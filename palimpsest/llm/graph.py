@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words
 
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node of the edges (u, v: long).
 
     Minima are combined before they are shuffled; the joins that hand them out are on a node, where
-    adaptive execution splits a hub's rows. Edges stay distributed; every round is checkpointed.
+    adaptive execution splits a hub's rows. Edges stay distributed; every round is stored.
     """
     e = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = words.cut(e)
-    for _ in range(ROUNDS):
+    while True:  # every round shortens all paths; logarithmically many in practice
         n = e.count()
         if not n or (e.select("u").distinct().count() == n and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()):
             roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
@@ -28,6 +26,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = words.cut(e)
-    raise RuntimeError(f"components need more than {ROUNDS} rounds")
+        done, e = e, words.cut(small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        words.release(done)

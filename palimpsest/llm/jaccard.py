@@ -1,27 +1,28 @@
 """Exact Jaccard self-join of documents by their n-gram sets, over a token-group matrix.
 
 A document's set holds the 64-bit hashes of its distinct SHINGLE-word shingles (A-Z lower-cased).
-Equal sets form one class, of which one representative goes on.
+Equal sets form one class, of which the smallest id is the representative that goes on.
 
-Tokens are ordered by hash; the hash range is cut into LEVELS equal levels. A set's prefix ends with
-the level at which it is so long that two sets with the asked similarity share a token of it, so
-only prefixes are indexed (about 15 % of the tokens at 0.85). Tokens of a single prefix drop out. The
-remaining sets are partitioned into groups of similar ones: each set joins the leader with which it
+Tokens are ordered from rare to widespread, equally widespread ones by hash. How widespread a token is
+comes from a count over all documents: tokens travel as the leading bits of their hashes, sorted and
+coded by their gaps, and the most widespread go, by powers of two, into a table of a fixed size
+(``CELLS`` bytes) that every task reads. Collisions in it only move a token in the order, which any
+order may be. A set's prefix is its first n - ceil(t n) + 1 tokens: two sets with the asked similarity
+share one of it, and only prefixes are indexed. Tokens of a single prefix drop out.
+
+The remaining sets are partitioned into groups of similar ones: each set joins the leader with which it
 shares most tokens, where a token's leader is the set whose tokens are most widespread (in a family of
-copies, the original), and a group is cut by size. The
-matrix holds each group's token union.
-
-A query counts its tokens in the unions of groups of sets no smaller than itself. Up to the lower of
-the two last levels the count bounds the overlap; beyond it, the query's own remaining tokens do. A
-link with a set of m tokens needs an overlap of (t / (1 + t)) (n + m): groups that cannot reach it are
-not opened. ``links`` and ``linked_components`` open every group that can reach it and verify each
-of its pairs once, the smaller set (of equals the smaller node) asking. ``components`` is the shortcut
-where only components are asked for: a group is first matched with its leaders,
-and then opened only to sets of other components; within a task a pair is left out once its ends are
-connected. Every pair that reaches the similarity is thus either verified or already connected.
+copies, the original), split by size classes of CLASS and into parts of at most about PART members
+or WEIGHT tokens. The matrix holds each group's token union.
+
+A query counts its prefix tokens in the unions of groups whose sizes fit, tokens of its own alone left out.
+Of a pair, the smaller set (of equals the smaller node) asks. With n and m tokens (n <= m) a link needs
+an overlap of t (n + m) / (1 + t), of which at most ceil(t m) - 1 lie beyond the prefixes. A group that
+cannot reach the rest with its largest fitting member is not opened. The texts of an opened group and of its queries meet in one task,
+where postings count all overlaps of a query at once: every pair that reaches the similarity is verified.
 
 Texts that are null or without words have the empty set and stay alone. Rows with equal doc_id are
-one node. A null doc_id has a null component unless its set has a document. Only the columns doc_id
+one node, with the links of each of its texts. A null doc_id has a null component unless its set has a document. Only the columns doc_id
 and text are read.
 """
 
@@ -40,15 +41,16 @@ from palimpsest.llm import graph, words
 
 SHINGLE = 4
 PERCENT = 85
-#: Relative width of a size class of a group; levels of the hash range (a power of two).
-CLASS, LEVELS = 0.18, 64
-#: Sets from which a token counts as widespread.
-WIDE = 64
-#: Members of an opened part of a group, and queries of one task for it.
-PART, QUERIES = 256, 512
+#: Relative width of a size class of a group.
+CLASS = 0.05
+#: Entries of the table of widespread tokens (a power of two), of which at most an eighth is used;
+#: count from which a token may enter it; tokens that a task counts at a time.
+CELLS, LEAST, CHUNK = 1 << 24, 4, 4_000_000
+#: Members of a group and queries of one task for it, at most about; tokens of either.
+PART, QUERIES, WEIGHT = 256, 512, 1_000_000
 
 
-#: Hashes of words, of all parts that a Python worker opens.
+#: Hashes of words, of all groups that a Python worker opens.
 _MEMO = words.WordHashes()
 
 
@@ -69,71 +71,196 @@ def prefix_length(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1 if n else 0
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def linked(both, n, m, percent: int):
+    """Whether sets of n and m tokens with this overlap are similar enough."""
+    return 100 * both >= percent * (n + m - both)
+
+
+def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a sorted set in the common order."""
+    order = np.argsort(levels[(tokens >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)], kind="stable")
+    return tokens[order[: prefix_length(len(tokens), percent)]]
+
 
+def pack(cells: np.ndarray) -> bytes:
+    """Sorted 32-bit values as their gaps, byte plane by byte plane, so that compression finds the zeros."""
+    return np.ascontiguousarray(np.diff(cells, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T).tobytes()
 
-def prefix(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix of a sorted set (as 63-bit tokens), and how many tokens it has up to each level; last of
-    these is the level at which the part ends that is enough against sets no smaller."""
-    short = tokens >> np.uint64(1)
-    level = short // np.uint64((1 << 63) // LEVELS)
-    n = prefix_length(len(tokens), percent)
-    last = int(level[n - 1]) if n else -1
-    upto = np.searchsorted(level, np.arange(last + 1, dtype=np.uint64), side="right")
-    end = [int(level[len(tokens) - -(-2 * percent * len(tokens) // (100 + percent))])] if n else []
-    return short[: upto[-1]] if n else short, np.concatenate([upto, end]).astype(np.int32)
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _counted(key, table):
+    """Places in the table of the widespread tokens of one bucket, by level (power of two of the count)."""
+    bucket, shift = key[0].as_py(), key[1].as_py()
+    cells = np.concatenate([unpack(x.as_py()) for x in table["cells"]])
+    times = np.concatenate([np.full(len(x.as_py()) // 4, n, np.int64) for x, n in zip(table["cells"], table["times"].to_pylist(), strict=True)])
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    count = np.add.reduceat(times[order], first)
+    wide = count >= LEAST
+    at = (((np.uint64(bucket) << np.uint64(32)) | cells[first][wide].astype(np.uint64)) << np.uint64(shift)) >> np.uint64(64 - (CELLS.bit_length() - 1))
+    level = np.log2(count[wide]).astype(np.int32)
+    kinds = np.unique(level)
+    places = [np.unique(at[level == x]).astype(np.uint32) for x in kinds]
+    return pa.table({"level": pa.array(kinds, pa.int32()), "n": pa.array([len(p) for p in places], pa.int64()), "places": pa.array([p.tobytes() for p in places], pa.binary())})
+
+
+def spread(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
+    """The table of widespread tokens: their levels by the leading bits of the token, 0 for all others."""
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bits = max(6, (size // 2_000_000).bit_length())
+
+    def run(batches):
+        hashes, held, n, seen = words.WordHashes(), [], 0, set()
+
+        def flush():
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            power, rows = np.log2(times).astype(np.int64), [[], [], []]
+            for p in np.unique(power).tolist():
+                some = tokens[power == p]
+                bucket = (some >> np.uint64(64 - bits)).astype(np.int64)
+                edges = np.flatnonzero(np.diff(bucket)) + 1
+                pieces = np.split((some >> np.uint64(32 - bits)).astype(np.uint32), edges)
+                rows[0] += bucket[np.concatenate([[0], edges])].tolist()
+                rows[1] += [1 << p] * len(pieces)
+                rows[2] += map(pack, pieces)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["bucket", "times", "cells"])
+
+        for batch in words.small_batches(batches):
+            for t in words.texts(batch):
+                s = token_set(t, hashes, k)
+                name = xxhash.xxh3_64_intdigest(s.tobytes())
+                if not len(s) or name in seen:  # copies close by need not count
+                    continue
+                seen.add(name)
+                held.append(s)
+                n += len(s)
+                if n >= CHUNK:
+                    yield flush()
+                    held, n = [], 0
+                    seen.clear()
+        if n:
+            yield flush()
+
+    cells = docs.select("text").mapInArrow(run, "bucket long, times long, cells binary").withColumn("shift", F.lit(32 - bits).cast("long"))
+    found = words.store(cells.groupBy("bucket", "shift").applyInArrow(_counted, "level int, n long, places binary"))
+    levels = np.zeros(CELLS, np.uint8)
+    room, least = CELLS // 8, None
+    for r in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # at most 63 rows
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["level"]
+    if least is not None:  # at most an eighth of CELLS places
+        for r in found.filter(F.col("level") >= least).select("level", "places").collect():
+            at = np.frombuffer(r["places"], np.uint32)
+            levels[at] = np.maximum(levels[at], np.uint8(r["level"]))
+    words.release(found)
+    return levels
 
 
 def _sketch(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n, key (hash of the whole set), prefix, and upto (as ``prefix`` gives them)."""
+    """doc_id, n, key (hash of the whole set) and prefix."""
+    given = docs.sparkSession.sparkContext.broadcast(spread(docs, k))
 
     def run(batches):
-        hashes = words.WordHashes()
+        hashes, levels = words.WordHashes(), given.value
         for batch in words.small_batches(batches):
             sets = [token_set(t, hashes, k) for t in words.texts(batch)]
-            cuts = [prefix(s, percent) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(c[1]) for c in cuts])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), words.long_lists([c[0] for c in cuts]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c[1] for c in cuts])))],
-                names=["doc_id", "n", "key", "prefix", "upto"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), words.long_lists([prefix(s, levels, percent) for s in sets])],
+                names=["doc_id", "n", "key", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, upto array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
 
 
-def _deal(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """Deal queries and members (group, node, component) out to parts of groups: a row for each node
-    with all its places (part, salt, component, member)."""
-    size = members.groupBy("group").agg(F.count("*").alias("_m"))
-    asked = queries.groupBy("group").agg(F.count("*").alias("_q"))
-    plan = size.join(asked, "group").select("group", F.ceil(F.col("_m") / PART).alias("_parts"), F.ceil(F.col("_q") / QUERIES).alias("_salts"))
-    ms = members.join(plan, "group").withColumn("_part", F.pmod(F.xxhash64("node"), "_parts")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    qs = queries.join(plan, "group").withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "node"), "_salts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    place = lambda d, member: d.select("node", F.struct(F.concat_ws("/", F.col("group").cast("string"), "_part").alias("part"), F.col("_salt").cast("long").alias("salt"), "component", F.lit(member).alias("member")).alias("place"))
-    return place(ms, True).unionByName(place(qs, False)).groupBy("node").agg(F.collect_list("place").alias("places"))
-
-
-def _open(docs: DataFrame, places: DataFrame, percent: int, k: int, every: str | None = None) -> DataFrame:
-    """Links between queries and members that meet in a part: u, v and n.
+def _index(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, key of all documents; token, node, n, c (count) of prefix tokens that several
+    representatives have."""
+    sketch = words.store(_sketch(docs, percent, k))
+    ids = words.store(sketch.select("doc_id", "n", "key"))
+    first = ids.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    mine = sketch.join(first, ["key", "doc_id"], "left_semi").groupBy("key", "doc_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = mine.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    shared = words.store(tokens.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter(F.col("c") > 1))
+    words.release(sketch)
+    return ids, shared
 
-    every: None leaves out those that are redundant for components; "links" gives each link once
-    (all with n = 1); "counts" the links of each node as (node, node, n), and with n = 0 as many
-    links as connect what is connected in the part.
 
-    The texts of the nodes travel to their places and on to the parts, where sets are made: a text
-    packs to less than half of its set. At most about PART members and QUERIES queries meet in one.
+def _groups(shared: DataFrame) -> DataFrame:
+    """node, n, group, low and high (least and greatest n of the group), members."""
+    spread_ = shared.groupBy("node").agg(F.avg("c").alias("spread"))
+    leaders = shared.select("token", "node").join(spread_, "node").groupBy("token").agg(F.max(F.struct("spread", -F.col("node"))).alias("l")).select("token", (-F.col("l.col2")).alias("leader"))
+    votes = shared.select("token", "node", "n").join(leaders, "token").groupBy("node", "n", "leader").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("node", "n").agg(F.max(F.struct("votes", -F.col("leader"))).alias("l")).select("node", "n", (-F.col("l.col2")).alias("leader"))
+    chosen = words.store(chosen.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(CLASS)))))
+    parts = chosen.groupBy("leader", "level").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / WEIGHT)).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), "parts")
+    dealt = words.store(chosen.join(parts, ["leader", "level"]).select("node", "n", F.xxhash64("leader", "level", part).alias("group")))
+    sizes = dealt.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"), F.sum("n").alias("weight"))
+    out = words.store(dealt.join(sizes, "group"))
+    words.release(chosen, dealt)
+    return out
+
+
+def _qualified(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """node, n and group of every query with a group that can hold a partner of it."""
+    rows = words.store(shared.select("token", "node", "n").join(groups.select("node", "n", "group", "low", "high"), ["node", "n"]))
+    matrix = rows.groupBy("token", "group", "low", "high").agg(F.count("*").alias("holders"))
+    asking = rows.select("token", "node", "n", F.col("group").alias("own"))
+    fits = (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100) & ((F.col("group") != F.col("own")) | (F.col("holders") > 1))
+    hits = asking.join(matrix, "token").filter(fits).groupBy("node", "n", "group", "low", "high").agg(F.count("*").alias("hits"))
+    largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
+    rest = (F.col("n") + largest) * percent / (100 + percent) - largest * percent / 100
+    out = words.store(hits.filter(F.col("hits") >= rest - 1e-6).select("node", "n", "group"))
+    words.release(rows)
+    return out
+
+
+def _places(groups: DataFrame, qualified: DataFrame) -> DataFrame:
+    """Deal the queries of a group and its members out to tasks (group, salt): node, group, salt, member."""
+    asked = qualified.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / QUERIES, F.sum("n") / WEIGHT)).alias("salts"))
+    members = groups.select("node", "group").join(asked, "group").select("node", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"))
+    queries = qualified.select("node", "group").join(asked, "group").select("node", "group", F.pmod(F.xxhash64(F.lit(1), "node"), "salts").alias("salt"), F.lit(False).alias("member"))
+    return members.unionByName(queries)
+
+
+def verify(members: list[np.ndarray], member_ids: np.ndarray, queries: list[np.ndarray], query_ids: np.ndarray, percent: int):
+    """Pairs (query, member: places) that are similar enough, a query with members no smaller (among
+    equals, of greater id)."""
+    sizes = np.array([len(s) for s in members])
+    tokens = np.concatenate(members)
+    order = np.argsort(tokens, kind="stable")
+    tokens, holder = tokens[order], np.repeat(np.arange(len(members)), sizes)[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    known, many = tokens[first], np.diff(np.concatenate([first, [len(tokens)]]))
+    for i, own in enumerate(queries):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = at[known[at] == own]
+        n = many[at]
+        ends = np.cumsum(n)
+        posting = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - n), n)
+        both = np.bincount(holder[posting], minlength=len(members))
+        larger = (sizes > len(own)) | ((sizes == len(own)) & (member_ids > query_ids[i]))
+        for j in np.flatnonzero(larger & linked(both, len(own), sizes, percent)):
+            yield i, int(j)
+
+
+def _open(docs: DataFrame, places: DataFrame, percent: int, k: int, every: bool) -> DataFrame:
+    """Links between the queries and members that meet in a task: u, v and n. With ``every`` each of
+    them (n is 1); else the number of links of each node, as (node, node, n), and with n = 0 as many
+    links as connect what is connected in the task.
+
+    Texts travel to the tasks, where sets are made: a text packs to less than half of its set.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places.select(F.col("node").alias("doc_id"), "places"), "doc_id")
-    rows = texts.select(F.col("doc_id").alias("node"), "text", F.explode("places").alias("p")).select("p.part", "p.salt", "p.component", "p.member", "node", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    rows = texts.join(places, "node").select("group", "salt", "member", "node", "text")
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+    def match(pdf):
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -141,50 +268,48 @@ def _open(docs: DataFrame, places: DataFrame, percent: int, k: int, every: str |
                 parent[x] = x = parent.get(parent[x], parent[x])
             return x
 
+        m, q = (pdf[pdf["member"] == x].drop_duplicates(["node", "text"]) for x in (True, False))
+        sets = lambda texts: [token_set((t or "").encode(), _MEMO, k) for t in texts]
         out, counts = [], Counter()
-        sets = lambda texts: (token_set((t or "").encode(), _MEMO, k) for t in texts)
-        m, q = pdf[pdf["member"]], pdf[~pdf["member"]]
-        targets = [(int(n), int(c), s) for n, c, s in zip(m["node"], m["component"], sets(m["text"]), strict=True)]
-        sizes = np.array([len(t[2]) for t in targets])
-        for node, component, own in zip(q["node"], q["component"], sets(q["text"]), strict=True):
-            near = np.flatnonzero(100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))) if targets else []
-            for i in near:
-                other, their, tokens = targets[i]
-                if every and (len(own), int(node)) >= (len(tokens), other):
-                    continue  # the other one asks
-                if other == node or (not every and root(int(component)) == root(their)) or not linked(own, tokens, percent):
-                    continue
-                counts.update((int(node), other))
-                if every != "links" and root(int(component)) == root(their):
-                    continue
-                parent[root(int(component))] = root(their)
-                out.append((int(node), other, int(every == "links")))
-        if every == "counts":
+        m_ids, q_ids = m["node"].to_numpy(), q["node"].to_numpy()
+        for i, j in verify(sets(m["text"]), m_ids, sets(q["text"]), q_ids, percent) if len(m) and len(q) else ():
+            u, v = int(q_ids[i]), int(m_ids[j])
+            if u == v:
+                continue
+            counts.update((u, v))
+            if every:
+                out.append((u, v, 1))
+            elif root(u) != root(v):
+                parent[root(u)] = root(v)
+                out.append((u, v, 0))
+        if not every:
             out += [(x, x, c) for x, c in counts.items()]
         return pd.DataFrame(out, columns=["u", "v", "n"], dtype="int64")
 
-    return rows.groupBy("part", "salt").applyInPandas(match, "u long, v long, n long")
+    return rows.groupBy("group", "salt").applyInPandas(match, "u long, v long, n long")
 
 
-def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    ids, nodes, shared = _index(docs, percent, k)
-    classes = ids.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("node"))
-    named = classes.join(_labels(docs, nodes, shared, percent, k), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def _links(docs: DataFrame, percent: int, k: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, key of all documents; links as ``_open`` gives them."""
+    ids, shared = _index(docs, percent, k)
+    groups = _groups(shared)
+    qualified = _qualified(shared, groups, percent)
+    places = words.store(_places(groups, qualified))
+    found = words.store(_open(docs, places, percent, k, every))
+    words.release(shared, groups, qualified, places)
+    return ids, found
 
 
 def links(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """Every pair u, v of representatives (smallest ids of equal sets) that reaches the similarity, once,
     the smaller set first."""
-    _, nodes, shared = _index(docs, percent, k)
-    return _across(docs, nodes, shared, _groups(shared), None, percent, k, "links").select("u", "v")
+    return _links(docs, percent, k, True)[1].select("u", "v")
 
 
 def linked_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """As ``components``, with n_links: to how many other sets the document's set is linked."""
-    ids, nodes, shared = _index(docs, percent, k)
-    found = words.store(_across(docs, nodes, shared, _groups(shared), None, percent, k, "counts"))
+    """doc_id, n_shingles, component_id of every document, and n_links: to how many other sets the
+    document's set is linked."""
+    ids, found = _links(docs, percent, k, False)
     labels = graph.components(found.select("u", "v"))
     many = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = ids.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("node"))
@@ -192,86 +317,14 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE)
     return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _index(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, n, key of all documents; node, n, upto, last and enough (levels) of
-    representatives; token, node, n, c (count) of
-    prefix tokens that several of them have."""
-    sketch = words.cut(_sketch(docs, percent, k))
-    first = sketch.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    mine = sketch.join(first, ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "prefix", "upto")
-    tokens = mine.select("node", "n", F.explode("prefix").alias("token"))
-    shared = words.store(tokens.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter(F.col("c") > 1))
-    return words.store(sketch.select("doc_id", "n", "key")), words.store(mine.select("node", "n", "upto", (F.size("upto") - 2).alias("last"), F.element_at("upto", -1).alias("enough"))), shared
-
-
-def _groups(shared: DataFrame) -> DataFrame:
-    """node, leader, votes, level: each node goes to the leader with which it shares most tokens."""
-    spread = shared.groupBy("node").agg(F.avg("c").alias("spread"))
-    leaders = shared.select("token", "node").join(spread, "node").groupBy("token").agg(F.max(F.struct("spread", -F.col("node"))).alias("l")).select("token", (-F.col("l.col2")).alias("leader"))
-    votes = shared.select("token", "node", "n").join(leaders, "token").groupBy("node", "n", "leader").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("node", "n").agg(F.max(F.struct("votes", -F.col("leader"))).alias("l"))
-    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(CLASS)))
-    return words.store(chosen.select("node", (-F.col("l.col2")).alias("leader"), F.col("l.votes").alias("votes"), level.alias("level")))
-
-
-def _labels(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
-    """node and component of the representatives that have links."""
-    groups = _groups(shared)
-    # First each group against its leader, where they share enough to be worth the look.
-    near = groups.filter(F.col("node") != F.col("leader")).join(nodes.select("node", "n"), "node").filter(F.col("votes") * (100 + percent) >= F.col("n") * (100 - percent) * 0.7)
-    q = near.select(F.col("leader").alias("group"), "node", F.col("node").alias("component"))
-    m = near.select("leader").distinct().select(F.col("leader").alias("group"), F.col("leader").alias("node"), F.col("leader").alias("component"))
-    stars = words.cut(_open(docs, words.store(_deal(q, m)), percent, k))
-    labels = words.cut(graph.components(stars))
-
-    # Then across components, where a token has more than one.
-    more = words.cut(_across(docs, nodes, shared, groups, labels, percent, k))
-    if more.isEmpty():
-        return labels
-    return words.cut(graph.components(stars.unionByName(more)))
-
-
-def _across(docs: DataFrame, nodes: DataFrame, shared: DataFrame, groups: DataFrame, labels: DataFrame | None, percent: int, k: int, every: str | None = None) -> DataFrame:
-    """Open all groups to all sets that can reach the similarity with one of their sets, as ``_open``
-    does; with labels (node, component) only to sets of other components."""
-    component = F.col("node").alias("component")
-    state = groups.select("node", "leader", "level", component) if labels is None else groups.join(labels, "node", "left").select("node", "leader", "level", F.coalesce("component", "node").alias("component"))
-    state = state.join(nodes.select("node", "n", "last", "enough"), "node").withColumn("group", F.xxhash64("leader", "level"))
-    sizes = words.store(state.groupBy("group").agg(F.min("n").alias("low"), F.min("last").alias("g_last")))
-    state = words.store(state.drop("leader", "last", "n").join(sizes.select("group", "g_last"), "group"))
-    rows = shared.select("token", "node", "n", "c").join(state, "node")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("token")
-    rows = words.store(rows.join(mixed, "token", "left_semi"))
-    if rows.isEmpty():
-        return docs.sparkSession.createDataFrame([], "u long, v long, n long")
-    # The smaller of a pair asks, the larger is the member. Groups of a token that few sets have are met
-    # through the token alone, of a widespread one through the token and the sizes that fit.
-    span = int(np.ceil(np.log(100 / percent) / np.log1p(CLASS))) + 1
-    fits = (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100) & ((F.col("a") != F.col("component")) | (F.col("b") != F.col("component")))
-    counted = None
-    for part, keys in ((F.col("c") <= WIDE, ["token"]), (F.col("c") > WIDE, ["token", "level"])):
-        dealt = rows.filter(part).repartition("token")
-        matrix = dealt.groupBy("token", "group", "level", "g_last").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
-        asking = dealt.select("token", "node", "n", "component", "enough", F.shiftright("token", 64 - LEVELS.bit_length()).alias("t_level"), F.col("level").alias("q_level")).filter(F.col("t_level") <= F.col("enough"))
-        asking = asking if keys == ["token"] else asking.withColumn("level", F.explode(F.sequence(F.col("q_level"), F.col("q_level") + span)))
-        met = asking.join(matrix if keys != ["token"] else matrix.drop("level"), keys).filter(fits).select("node", "group", (F.col("t_level") <= F.col("g_last")).cast("int").alias("hit"))
-        counted = met if counted is None else counted.unionByName(met)
-    hits = words.store(counted.groupBy("node", "group").agg(F.sum("hit").cast("int").alias("count")))  # any common token makes a row
-    del counted, met, asking, matrix, dealt, mixed
-    info = nodes.join(state.select("node", "component"), "node")
-    need = F.ceil((F.col("n") + F.greatest("n", "low")) * percent / (100 + percent)) - (F.col("n") - F.get("upto", F.least("enough", "g_last")))
-    qualified = words.store(hits.join(sizes, "group").join(info, "node").filter(F.col("count") >= need).select("node", "component", "group"))
-    del hits, info
-    opened = rows.join(qualified.select("group").distinct(), "group", "left_semi").select("node", "component", "group").distinct()
-    return _open(docs, words.store(_deal(qualified, opened)), percent, k, every)
+def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return linked_components(docs, percent, k).drop("n_links")
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """The documents that are the smallest of their component, with the columns of ``docs``."""
+    """The documents that are the smallest of their component, with the columns of ``docs``. Rows of one
+    id stay or go together, those of a null id stay, and so do texts without words."""
     found = components(docs, percent, k)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_components(words.read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -8,7 +8,7 @@ work on bytes and never decode a text they only have to count.
 from __future__ import annotations
 
 import gc
-import time
+import tempfile
 import uuid
 
 import numpy as np
@@ -30,39 +30,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only where it is unset."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file:///tmp/palimpsest-checkpoints")
+def folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, the context's checkpoint folder, or in
+    local mode a temporary one; on a cluster that is an error, since executors do not share one."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='palimpsest-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and checkpoints that nothing holds any more, so that disk
-    use is that of a step and not of the whole job. The cleaner works on its own: give it a moment."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+def store(df: DataFrame) -> DataFrame:
+    """Cut lineage: a Parquet table in the shared folder, which survives lost executors. ``release``
+    deletes it; what a lazy result still reads stays until the folder's owner clears it."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}.parquet"
+    # Shuffle files of earlier steps go once the driver's collector has seen that nothing holds them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage in storage that survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    _tidy(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: The same; steps that iterate name it so.
+cut = store
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table in the checkpoint folder: smaller where rows are many and
-    narrow. The folder's owner clears it after the job."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    _tidy(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_fold(doc_id, modulus: int, remainder: int):

@@ -54,6 +54,7 @@ def test_equals_brute_force(docs, rows):
 def test_chains_and_fans(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PART", 5)
     monkeypatch.setattr(jaccard, "QUERIES", 4)
+    monkeypatch.setattr(jaccard, "WEIGHT", 300)
     rows = families()
     d = spark.createDataFrame(rows, SCHEMA)
     assert {r[0]: (r[1], r[2]) for r in jaccard.components(d, 80, 5).collect()} == brute(rows, 80, 5)
@@ -68,15 +69,50 @@ def test_first_of_each_keeps_columns_and_one_of_a_group(docs, clashing, empty):
 
 
 def test_bounds_admit_every_link():
+    """Two linked sets share a prefix token, whatever the table, and as many as an opened group must."""
     r = random.Random(1)
     for _ in range(300):
-        a = {r.random() for _ in range(r.randint(1, 60))}
-        b = set(list(a)[: r.randint(1, len(a))]) | {r.random() for _ in range(r.randint(0, 5))}
-        x, y = (np.array(sorted(int(v * 2**63) for v in s), np.uint64) for s in (a, b))
-        if jaccard.linked(x, y, 85):
-            px, py = (jaccard.prefix(v, 85)[0] for v in (x, y))
-            assert len(np.intersect1d(px, py)) >= 1
-            assert 100 * len(a & b) >= 85 * len(a | b)
+        a = {r.randrange(2**64) for _ in range(r.randint(1, 90))}
+        b = set(list(a)[: r.randint(1, len(a))]) | {r.randrange(2**64) for _ in range(r.randint(0, 8))}
+        x, y = sorted((np.array(sorted(s), np.uint64) for s in (a, b)), key=len)
+        levels = np.zeros(jaccard.CELLS, np.uint8)
+        levels[(np.concatenate([x, y]) >> np.uint64(40)).astype(np.int64)[:: r.randint(1, 5)]] = r.randint(1, 9)
+        both, n, m = len(a & b), len(x), len(y)
+        if jaccard.linked(both, n, m, 85):
+            common = len(np.intersect1d(*(jaccard.prefix(v, levels, 85) for v in (x, y))))
+            assert common >= max(1, (n + m) * 85 / 185 - 0.85 * m - 1e-6)
+
+
+def test_verified_pairs_equal_sets():
+    r = random.Random(4)
+    base = [r.randrange(2**64) for _ in range(60)]
+    sets = [np.array(sorted(set(r.sample(base, r.randint(50, 60)) + [r.randrange(2**64) for _ in range(r.randint(0, 4))])), np.uint64) for _ in range(30)]
+    ids = np.arange(30)
+    got = set(jaccard.verify(sets, ids, sets, ids, 80))
+    want = {(i, j) for i in range(30) for j in range(30) if (len(sets[i]), i) < (len(sets[j]), j) and 100 * len(c := np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - len(c))}
+    assert got == want and len(want) > 20
+    assert not list(jaccard.verify(sets[:1], ids[:1], [np.array([7], np.uint64)], ids[1:2], 80))
+
+
+def test_counts_travel_as_gaps(spark, monkeypatch):
+    cells = np.sort(np.random.default_rng(3).integers(0, 2**32, 500).astype(np.uint32))
+    assert (jaccard.unpack(jaccard.pack(cells)) == cells).all()
+    texts = [f"{prose(30, i)} {'a b c d e' if i % 2 else 'b c d e f'} {'x y z x' if i % 9 == 0 else ''}" for i in range(90)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    levels = jaccard.spread(d)
+    of = lambda text: int(levels[int(jaccard.token_set(text.encode(), jaccard._MEMO)[0]) >> 40])
+    assert 5 <= of("b c d e") <= 6 and 4 <= of("a b c d") <= 5 and 2 <= of("x y z x") <= 3 and (levels > 0).sum() < 40
+    monkeypatch.setattr(jaccard, "CHUNK", 40)
+    again = jaccard.spread(d)
+    assert again.max() > 3
+
+
+def test_repeated_ids_and_long_texts(spark):
+    long = prose(60_000, "long").split(" ")
+    rows = [(1, "a b c d e f g", 0, 0, 0), (1, "a b c d e f g", 0, 0, 0), (1, "p q r s t u v", 0, 0, 0), (2, "A B c d e f g", 0, 0, 0), (3, "P q r s t u v", 0, 0, 0), (4, " ".join(long), 0, 0, 0), (5, " ".join([*long[:500], "new", *long[500:]]), 0, 0, 0), (6, "w" * 1_000_000, 0, 0, 0)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t, *_ in rows], SCHEMA)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked_components(d).collect()}
+    assert got == {(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, len(set(zip(long, long[1:], long[2:], long[3:]))), 4), (5, len(set(zip(long, long[1:], long[2:], long[3:]))) + 1, 4), (6, 1, 6)}  # noqa: B905
 
 
 def test_components_of_a_long_chain(spark):
