@@ -10,10 +10,9 @@ coded by their gaps, and the most widespread go, by powers of two, into a table
 order may be. A set's prefix is its first n - ceil(t n) + 1 tokens: two sets with the asked similarity
 share one of it, and only prefixes are indexed. Tokens of a single prefix drop out.
 
-The remaining sets are partitioned into groups of similar ones: each set joins the leader with which it
-shares most tokens, where a token's leader is the set whose tokens are most widespread (in a family of
-copies, the original), split by size classes of CLASS and into parts of at most about PART members
-or WEIGHT tokens. The matrix holds each group's token union.
+The remaining sets are partitioned into groups of similar ones: those whose prefixes have the same token as
+their most widespread (copies of one text share it), split by size classes of CLASS and into parts of at
+most about PART members or WEIGHT tokens. The matrix holds each group's token union.
 
 A query counts its prefix tokens in the unions of groups whose sizes fit, tokens of its own alone left out.
 Of a pair, the smaller set (of equals the smaller node) asks. With n and m tokens (n <= m) a link needs
@@ -193,14 +192,12 @@ def _index(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]
 
 def _groups(shared: DataFrame) -> DataFrame:
     """node, n, group, low and high (least and greatest n of the group), members."""
-    spread_ = shared.groupBy("node").agg(F.avg("c").alias("spread"))
-    leaders = shared.select("token", "node").join(spread_, "node").groupBy("token").agg(F.max(F.struct("spread", -F.col("node"))).alias("l")).select("token", (-F.col("l.col2")).alias("leader"))
-    votes = shared.select("token", "node", "n").join(leaders, "token").groupBy("node", "n", "leader").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("node", "n").agg(F.max(F.struct("votes", -F.col("leader"))).alias("l")).select("node", "n", (-F.col("l.col2")).alias("leader"))
-    chosen = words.store(chosen.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(CLASS)))))
-    parts = chosen.groupBy("leader", "level").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / WEIGHT)).alias("parts"))
+    widest = F.max(F.struct("c", "token"))["token"]
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(CLASS)))
+    chosen = words.store(shared.groupBy("node", "n").agg(widest.alias("common")).withColumn("level", level))
+    parts = chosen.groupBy("common", "level").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / WEIGHT)).alias("parts"))
     part = F.pmod(F.xxhash64("node"), "parts")
-    dealt = words.store(chosen.join(parts, ["leader", "level"]).select("node", "n", F.xxhash64("leader", "level", part).alias("group")))
+    dealt = words.store(chosen.join(parts, ["common", "level"]).select("node", "n", F.xxhash64("common", "level", part).alias("group")))
     sizes = dealt.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"), F.sum("n").alias("weight"))
     out = words.store(dealt.join(sizes, "group"))
     words.release(chosen, dealt)
@@ -258,7 +255,8 @@ def _open(docs: DataFrame, places: DataFrame, percent: int, k: int, every: bool)
     Texts travel to the tasks, where sets are made: a text packs to less than half of its set.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    rows = texts.join(places, "node").select("group", "salt", "member", "node", "text")
+    # merged, not broadcast where places are few: disk and shuffle then follow the input alike at every size
+    rows = texts.join(places.hint("merge"), "node").select("group", "salt", "member", "node", "text")
 
     def match(pdf):
         parent: dict[int, int] = {}
