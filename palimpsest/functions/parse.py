@@ -80,53 +80,61 @@ def blocks(body: H.Node) -> list[dict]:
     return out
 
 
-def document(html: str, url: str | None) -> dict:
-    """All projections of one page."""
+def document(html: str, url: str | None, fields=None) -> dict:
+    """Projections of one page: all, or those of ``fields``."""
     root = H.parse(html)
     every = [root, *root.walk()]
     body = next(n for n in root.children if isinstance(n, H.Node) and n.tag == "body")
     of = lambda *tags: [n for n in every if n.tag in tags]
-    meta = {}
-    for n in of("meta"):
-        key = n.attrs.get("name") or n.attrs.get("property") or n.attrs.get("http-equiv")
-        if key and n.attrs.get("content"):
-            meta[key] = n.attrs["content"]
-    inner = {id(x) for n in of("ul", "ol") for x in n.find("ul", "ol")}
+
+    def metadata() -> list:
+        meta = {}
+        for n in of("meta"):
+            key = n.attrs.get("name") or n.attrs.get("property") or n.attrs.get("http-equiv")
+            if key and n.attrs.get("content"):
+                meta[key] = n.attrs["content"]
+        return list(meta.items())
+
+    def lists() -> list:
+        inner = {id(x) for n in of("ul", "ol") for x in n.find("ul", "ol")}
+        return [{"ordered": n.tag == "ol", "items": items(n)} for n in of("ul", "ol") if id(n) not in inner]
+
     items = lambda n: [t for i in n.children if isinstance(i, H.Node) and i.tag == "li" and (t := clean_text("".join(c if isinstance(c, str) else c.text() for c in i.children if isinstance(c, str) or c.tag not in ("ul", "ol"))))]
     cells = lambda t: [r for row in t.find("tr") if (r := [H.page_text(c) for c in row.children if isinstance(c, H.Node) and c.tag in ("td", "th")])]
-    title = next((clean_text(n.text()) for n in of("title")), "")
-    return {
-        "title": title,
-        "metadata": list(meta.items()),
-        "headings": [{"level": int(n.tag[1]), "text": t, "id": n.attrs.get("id") or None} for n in of("h1", "h2", "h3", "h4", "h5", "h6") if (t := H.page_text(n))],
-        "paragraphs": [t for n in of("p") if (t := H.page_text(n))],
-        "lists": [{"ordered": n.tag == "ol", "items": items(n)} for n in of("ul", "ol") if id(n) not in inner],
-        "tables": [cells(n) for n in of("table")],
-        "links": [{"text": H.page_text(n), "href": absolute(n.attrs["href"], url), "original_href": n.attrs["href"]} for n in of("a") if "href" in n.attrs],
-        "images": [{"src": absolute(n.attrs.get("src"), url), "original_src": n.attrs.get("src") or None, "alt": n.attrs.get("alt", ""), "title": n.attrs.get("title") or None} for n in of("img")],
-        "svg": [{"index": i, "id": n.attrs.get("id") or None, "classes": n.attrs.get("class") or None, "view_box": n.attrs.get("viewbox") or None, "text": H.page_text(n), "child_count": sum(1 for _ in n.walk())} for i, n in enumerate(of("svg"), 1)],
-        "scripts": [{"source_order": i, "type": n.attrs.get("type") or "text/javascript", "inline": not n.attrs.get("src"), "src": absolute(n.attrs.get("src"), url), "original_src": n.attrs.get("src") or None, "content": n.text()} for i, n in enumerate(of("script"), 1)],
-        "tags": [n.tag for n in every],
-        "attributes": [{"tag": n.tag, "name": k, "value": v} for n in every for k, v in n.attrs.items()],
-        "visible_text": H.page_text(body, H.hidden),
-        "markdown": H.markdown(body) + "\n",
-        "blocks": blocks(body),
+    projections = {
+        "title": lambda: next((clean_text(n.text()) for n in of("title")), ""),
+        "metadata": metadata,
+        "headings": lambda: [{"level": int(n.tag[1]), "text": t, "id": n.attrs.get("id") or None} for n in of("h1", "h2", "h3", "h4", "h5", "h6") if (t := H.page_text(n))],
+        "paragraphs": lambda: [t for n in of("p") if (t := H.page_text(n))],
+        "lists": lists,
+        "tables": lambda: [cells(n) for n in of("table")],
+        "links": lambda: [{"text": H.page_text(n), "href": absolute(n.attrs["href"], url), "original_href": n.attrs["href"]} for n in of("a") if "href" in n.attrs],
+        "images": lambda: [{"src": absolute(n.attrs.get("src"), url), "original_src": n.attrs.get("src") or None, "alt": n.attrs.get("alt", ""), "title": n.attrs.get("title") or None} for n in of("img")],
+        "svg": lambda: [{"index": i, "id": n.attrs.get("id") or None, "classes": n.attrs.get("class") or None, "view_box": n.attrs.get("viewbox") or None, "text": H.page_text(n), "child_count": sum(1 for _ in n.walk())} for i, n in enumerate(of("svg"), 1)],
+        "scripts": lambda: [{"source_order": i, "type": n.attrs.get("type") or "text/javascript", "inline": not n.attrs.get("src"), "src": absolute(n.attrs.get("src"), url), "original_src": n.attrs.get("src") or None, "content": n.text()} for i, n in enumerate(of("script"), 1)],
+        "tags": lambda: [n.tag for n in every],
+        "attributes": lambda: [{"tag": n.tag, "name": k, "value": v} for n in every for k, v in n.attrs.items()],
+        "visible_text": lambda: H.page_text(body, H.hidden),
+        "markdown": lambda: H.markdown(body) + "\n",
+        "blocks": lambda: blocks(body),
     }
+    return {name: make() for name, make in projections.items() if not fields or name in fields}
 
 
-def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", rows: int = 128) -> DataFrame:
-    """Replace ``html`` by ``doc`` (DOCUMENT). A null page gives a null doc. No shuffle."""
+def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", rows: int = 128, fields=()) -> DataFrame:
+    """Replace ``html`` by ``doc``: DOCUMENT, or only its ``fields``, so that the others are not computed. A
+    null page gives a null doc. No shuffle."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rest = [c for c in pages.columns if c not in (html, "doc")]
-    schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("doc", DOCUMENT)])
+    schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("doc", T.StructType([f for f in DOCUMENT if not fields or f.name in fields]))])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                docs = [None if h is None else document(h, u) for h, u in zip(batch.column(html).to_pylist(), batch.column(url).to_pylist(), strict=True)]
+                docs = [None if h is None else document(h, u, fields) for h, u in zip(batch.column(html).to_pylist(), batch.column(url).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in rest] + [pa.array(docs, arrow.field("doc").type)], schema=arrow)
 
     return pages.select(*dict.fromkeys([*rest, html, url])).mapInArrow(run, schema)

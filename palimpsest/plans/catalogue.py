@@ -6,34 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.parse import parse_pages
+from palimpsest.functions.text import clean, slug, utf16_length
 from palimpsest.operators import annotate, candidates, diff, extract, fragments, history, maps, sparse
+from palimpsest.plans import made  # noqa: F401  registers its queries
+from palimpsest.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "page_content_hash"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_pages(read(spark, sf_dir, "pages"))
+def parsed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The page table with these fields of the record, or all."""
+    return parse_pages(read(spark, sf_dir, "pages"), fields=fields)
 
 
 # Pages ------------------------------------------------------------------------------------------
 
-_TEXT = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_TEXT = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
 @query("SELECT page_id, url, sha256(html) AS html_sha256, strlen(html) AS byte_length FROM pages")
@@ -41,55 +29,70 @@ def page_content_hash(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("html_sha256"), F.octet_length("html").cast("long").alias("byte_length"))
 
 
-@query(f"SELECT page_id, trim({_TEXT.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title FROM pages")
+#: Body of a page without comments; its text, as the format cleans it; plain text of a piece of markup.
+_BODY = "regexp_replace(regexp_replace(html, '^.*?<body>', '', 's'), '<!--.*?-->', '', 'gs')"
+_CLEAN = r"trim(regexp_replace(regexp_replace(replace({}, chr(160), ' '), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"
+
+
+def _plain(piece: str) -> str:
+    return _CLEAN.format(_TEXT.format(f"regexp_replace({piece}, '<[^>]*>', '', 'g')"))
+
+
+@query("SELECT page_id, " + _plain("regexp_extract(html, '<title>([^<]*)</title>', 1)") + " AS title FROM pages")
 def page_titles(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "doc.title")
+    return parsed(spark, sf_dir, "title").select("page_id", "doc.title")
 
 
-@query("""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<([a-z0-9]+)', 1)) AS tag FROM pages) t WHERE tag <> 'b' GROUP BY 1, 2""")
+_ELEMENTS = f"""WITH t AS (SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<([a-z0-9]+)', 1)) AS tag FROM pages) t GROUP BY 1, 2),
+s AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT page_id, regexp_split_to_array({_BODY}, '</?(?:p|footer|article|div|nav|ul|li|h1|body|html)(?: [^>]*)?>') AS parts FROM pages) x),
+b AS (SELECT page_id, i, len(regexp_extract_all(part, '<b>')) AS own, regexp_matches(part, '<br>|<b>') OR regexp_matches(regexp_replace(part, '<[^>]*>', '', 'g'), '\\S') AS shown FROM s),
+r AS (SELECT page_id, shown, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+more AS (SELECT page_id, sum(CASE WHEN shown THEN least(3, before) ELSE 0 END) AS n FROM r GROUP BY 1)
+SELECT t.page_id, tag, CAST(t.n + CASE WHEN tag = 'b' THEN more.n ELSE 0 END AS BIGINT) AS n FROM t JOIN more USING (page_id)"""
+
+
+@query(_ELEMENTS)
 def page_element_counts(spark, sf_dir):
-    """Elements by tag; reopened formatting elements (b) count once each in the tree, not in the source."""
-    return extract.element_counts(parsed(spark, sf_dir)).filter(F.col("tag") != "b")
+    """Elements of the tree by tag; a formatting element that nothing closes opens again in each later
+    block with content, at most three of a kind."""
+    return extract.element_counts(parsed(spark, sf_dir, "tags"))
 
 
-@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>')) FROM pages) t GROUP BY 1")
+@query("WITH h AS (SELECT page_id, regexp_extract_all(html, '<h1>(.*?)</h1>', 1, 's') AS hs FROM pages) SELECT page_id, CAST(i AS INTEGER) AS ord, 1 AS level, " + _plain("h") + " AS text, CAST(NULL AS VARCHAR) AS id FROM (SELECT page_id, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM h) t")
 def page_headings(spark, sf_dir):
-    return extract.headings(parsed(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
+    return extract.headings(parsed(spark, sf_dir, "headings"))
 
 
-@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) t GROUP BY 1")
+@query("WITH h AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1, 's') AS hs FROM pages) SELECT page_id, 0 AS list_ord, false AS ordered, CAST(i AS INTEGER) AS ord, " + _plain("h") + " AS text FROM (SELECT page_id, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM h) t")
 def page_list_items(spark, sf_dir):
-    return extract.list_items(parsed(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
+    return extract.list_items(parsed(spark, sf_dir, "lists"))
 
 
 @query("""SELECT page_id, original_href, text, count(*) AS n FROM (SELECT page_id, m[1] AS original_href, m[2] AS text FROM (SELECT page_id, unnest([[regexp_extract(x, 'href="([^"]*)"', 1), regexp_extract(x, '>([^<]*)</a>', 1)] FOR x IN regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')]) AS m FROM pages) s) t GROUP BY 1, 2, 3""".replace("m[1]", _TEXT.format("m[1]")).replace("m[2]", _TEXT.format("m[2]")))
 def page_links(spark, sf_dir):
-    return extract.links(parsed(spark, sf_dir)).groupBy("page_id", "original_href", "text").agg(F.count("*").alias("n"))
+    return extract.links(parsed(spark, sf_dir, "links")).groupBy("page_id", "original_href", "text").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, sha256(m) AS sha256, strlen(m) AS byte_length FROM (SELECT page_id, unnest(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's')) AS m FROM pages) t")
 def page_scripts(spark, sf_dir):
-    return extract.scripts(parsed(spark, sf_dir)).select("page_id", "sha256", "byte_length")
+    return extract.scripts(parsed(spark, sf_dir, "scripts")).select("page_id", "sha256", "byte_length")
 
 
-@query()
+@query(f"SELECT page_id, {_plain(_BODY)} AS visible_text FROM pages")
 def page_visible_text(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "doc.visible_text")
+    return parsed(spark, sf_dir, "visible_text").select("page_id", "doc.visible_text")
 
 
-@query()
+@query(f"""WITH s AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT page_id, string_split({_BODY}, '<p>') AS parts FROM pages) x),
+t AS (SELECT page_id, i, {_plain("regexp_extract(part, '^(.*?)(?:</p>|</?(?:article|footer|div|h1|ul|nav)|$)', 1, 's')")} AS text FROM s WHERE i > 0)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS ord, text FROM t WHERE text <> ''""")
 def page_paragraphs(spark, sf_dir):
-    return extract.paragraphs(parsed(spark, sf_dir))
+    return extract.paragraphs(parsed(spark, sf_dir, "paragraphs"))
 
 
 @query()
 def page_markdown(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "doc.markdown")
-
-
-@query()
-def page_identifiers(spark, sf_dir):
-    return extract.identifiers(parsed(spark, sf_dir))
+    return parsed(spark, sf_dir, "markdown").select("page_id", "doc.markdown")
 
 
 @query()
@@ -99,14 +102,9 @@ def page_inspection(spark, sf_dir):
     return inspection(parsed(spark, sf_dir))
 
 
-@query()
-def page_json_candidates(spark, sf_dir):
-    return candidates.candidates(extract.scripts(parsed(spark, sf_dir))).drop("value")
-
-
 @query()
 def page_blocks(spark, sf_dir):
-    return fragments.numbered_blocks(parsed(spark, sf_dir))
+    return fragments.numbered_blocks(parsed(spark, sf_dir, "blocks"))
 
 
 _TREE = fragments.Budget(target=600, maximum=1000, minimum=80)
@@ -114,17 +112,17 @@ _TREE = fragments.Budget(target=600, maximum=1000, minimum=80)
 
 @query()
 def page_fragments(spark, sf_dir):
-    return fragments.fragments(parsed(spark, sf_dir), _TREE)
+    return fragments.fragments(parsed(spark, sf_dir, "blocks"), _TREE)
 
 
 @query()
 def page_fragment_bodies(spark, sf_dir):
-    return fragments.bodies(fragments.fragments(parsed(spark, sf_dir), _TREE))
+    return fragments.bodies(fragments.fragments(parsed(spark, sf_dir, "blocks"), _TREE))
 
 
 @query()
 def page_fragment_stats(spark, sf_dir):
-    return fragments.size_stats(fragments.fragments(parsed(spark, sf_dir), _TREE))
+    return fragments.size_stats(fragments.fragments(parsed(spark, sf_dir, "blocks"), _TREE))
 
 
 # Packing and splitting ----------------------------------------------------------------------------
@@ -215,7 +213,13 @@ def set_equality(spark, sf_dir):
     return history.same_set(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct())
 
 
-@query()
+@query(r"""WITH c AS (SELECT conv_id, turn, text AS y, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations),
+l AS (SELECT *, string_split(regexp_replace(x, '\n$', ''), chr(10)) AS a, string_split(regexp_replace(y, '\n$', ''), chr(10)) AS b FROM c WHERE x IS NOT NULL),
+f AS (SELECT *, least(len(a), len(b)) AS least_, coalesce(list_position([a[i] = b[i] FOR i IN range(1, least(len(a), len(b)) + 1)], false) - 1, least(len(a), len(b))) AS first_ FROM l),
+g AS (SELECT *, least(coalesce(list_position([a[len(a) - i] = b[len(b) - i] FOR i IN range(0, least_)], false) - 1, least_), least_ - first_) AS last_ FROM f),
+h AS (SELECT *, greatest(0, first_ - 3) AS start_, least(3, last_) AS tail_ FROM g)
+SELECT conv_id, turn, CASE WHEN x = y THEN '' ELSE array_to_string(list_concat(['--- previous', '+++ current', '@@ -' || (start_ + 1) || ',' || (len(a) - last_ + tail_ - start_) || ' +' || (start_ + 1) || ',' || (len(b) - last_ + tail_ - start_) || ' @@'],
+  [' ' || z FOR z IN a[start_ + 1 : first_]], ['-' || z FOR z IN a[first_ + 1 : len(a) - last_]], ['+' || z FOR z IN b[first_ + 1 : len(b) - last_]], [' ' || z FOR z IN a[len(a) - last_ + 1 : len(a) - last_ + tail_]]), chr(10)) || chr(10) END AS diff FROM h""")
 def turn_text_diff(spark, sf_dir):
     """Unified diff of each turn against the one before."""
     c = read(spark, sf_dir, "conversations")
@@ -224,6 +228,78 @@ def turn_text_diff(spark, sf_dir):
     return pairs.select("conv_id", "turn", diff.unified(F.col("before"), F.col("text")).alias("diff"))
 
 
+def _manifests(spark, sf_dir):
+    """Every event as a capture's manifest: some of an old version, incomplete, or without a hash."""
+    e = read(spark, sf_dir, "events")
+    k = F.col("event_id")
+    return e.select(
+        F.when(k % 7 == 0, 1).otherwise(2).alias("schema_version"), F.concat(F.lit("c"), k).alias("capture_id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), F.when(k % 13 != 0, F.lit("done")).alias("completed_at"), F.when(k % 17 != 0, F.lit("m")).otherwise("").alias("map_sha256"), F.lit("x").alias("codex_sha256"),
+    )
+
+
+_VALID = "v AS (SELECT event_id, 'c' || event_id AS capture_id, user_id, date_trunc('second', ts) AS started FROM events WHERE event_id % 7 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0)"
+
+
+@query(f"WITH {_VALID} SELECT a.capture_id, b.capture_id AS previous_capture_id FROM v a ASOF LEFT JOIN (SELECT user_id, started, max(capture_id) AS capture_id FROM v GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.started > b.started")
+def valid_capture_chain(spark, sf_dir):
+    """Each complete capture of a user with the one that started before it."""
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("c"), "event_id").alias("capture_id"), "user_id")
+    v = history.valid_captures(_manifests(spark, sf_dir)).join(e, "capture_id")
+    return history.as_of(v, v, "started", "capture_id", "previous_capture_id", by=["user_id"]).select("capture_id", "previous_capture_id")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS capture_date, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') AS capture_id FROM events")
+def capture_identities(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", history.capture_identity(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("c")).select("event_id", "c.capture_date", "c.capture_id")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, 'https://i/' || l_partkey || chr(0) || l_linestatus || chr(0) || l_returnflag || chr(0) || l_suppkey || chr(0) || 'image/png' || chr(0) || chr(0) || chr(0) AS row FROM lineitem)
+SELECT l_orderkey AS capture_id, sha256(string_agg(row, chr(10) ORDER BY l_linenumber, row)) AS image_digest FROM r GROUP BY 1""")
+def image_digests(spark, sf_dir):
+    """Order lines as image rows."""
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("capture_id"), F.col("l_linenumber").alias("source_order"), F.concat(F.lit("https://i/"), "l_partkey").alias("url"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("sha256"), F.col("l_suppkey").alias("http_status"), F.lit("image/png").alias("content_type"), none.alias("byte_length"), none.alias("reason"), none.alias("error"))
+    return history.image_digest(rows)
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS source, coalesce(p_partkey % 9 = 0, false) OR p_partkey % 3 = 0 AS raw_changed, p_partkey % 9 = 0 OR p_partkey % 4 = 0 AS text_changed, p_partkey % 9 = 0 OR p_partkey % 5 = 0 AS structure_changed FROM part""")
+def change_flags(spark, sf_dir):
+    """Flags of two versions of every part: a ninth is new, others differ in one hash or more."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    base = p.select(k.alias("k"), k.cast("string").alias("source"), *[F.sha2("p_name", 256).alias(f"{n}_sha256") for n in ("raw", "text", "structure")])
+    edited = base.withColumns({f"{n}_sha256": F.when(F.col("k") % m == 0, F.sha2(f"{n}_sha256", 256)).otherwise(F.col(f"{n}_sha256")) for n, m in (("raw", 3), ("text", 4), ("structure", 5))})
+    return diff.flags(edited, base.filter("k % 9 <> 0")).select("source", "raw_changed", "text_changed", "structure_changed")
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 8 <> 1), r AS (
+SELECT id, 'added' AS change FROM c WHERE k % 8 = 2 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'removed' FROM part WHERE p_partkey % 8 = 1
+UNION ALL SELECT id, unnest(['moved', 'changed']) FROM c WHERE k % 8 = 3 UNION ALL SELECT id, unnest(['renamed', 'changed']) FROM c WHERE k % 8 = 4 UNION ALL SELECT id, unnest(['notes', 'changed']) FROM c WHERE k % 8 = 5 UNION ALL SELECT id, 'changed' FROM c WHERE k % 8 = 6) SELECT * FROM r""")
+def map_changes(spark, sf_dir):
+    """Two versions of the parts as map records: new, gone, moved, renamed, other notes, other type."""
+    p = read(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 8)
+    text = lambda c: F.col(c).cast("string")
+    before = p.select("k", text("p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), text("p_size").alias("coordinates"), F.lit("n").alias("notes"), F.lit("$").alias("source_path"), F.lit("{}").alias("source"), F.lit("{}").alias("extra"))
+    edit = lambda c, k, to: F.when(F.col("k") == k, to).otherwise(F.col(c))
+    after = before.withColumns({"coordinates": edit("coordinates", 3, F.lit("moved")), "name": edit("name", 4, F.concat("name", F.lit("!"))), "notes": edit("notes", 5, F.lit("m")), "type": edit("type", 6, F.lit("t"))})
+    return diff.maps(after.filter("k <> 1"), before.filter("k <> 2")).select("id", "change")
+
+
+_WIDE = r"\t\n\x0b\x0c\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+
+@query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), '[{_WIDE}]*\n[{_WIDE}]*', chr(10), 'g'), '^[{_WIDE}]+|[{_WIDE}]+$', '', 'g')) AS sha256 FROM documents""")
+def doc_clean_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(clean(F.col("text")), 256).alias("sha256"))
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand || ' ' || p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CAST(length(p_name) AS INTEGER) AS units FROM part""")
+def part_slugs(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", slug(F.concat_ws(" ", "p_type", "p_brand", "p_name")).alias("slug"), utf16_length(F.col("p_name")).alias("units"))
+
+
 # Records -----------------------------------------------------------------------------------------
 
 
@@ -241,24 +317,37 @@ def record_ids(spark, sf_dir):
     return maps.assign_ids(rows, "capture_id").select("p_partkey", "id")
 
 
+#: Keys of a block: a map holds the points of a nation and a block, so that maps stay small whatever the scale.
+_BLOCK = 1000
+
+
 def _candidates(spark, sf_dir):
-    """A map of each nation: its suppliers as settlements, customers as markers, with odd fields."""
-    s = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("x"), (F.col("s_suppkey") % 97).alias("y"), F.col("s_acctbal").alias("balance")))).alias("s"))
-    c = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.to_json(F.struct(F.col("c_name").alias("title"), F.array(F.col("c_custkey") % 500, F.col("c_custkey") % 300).alias("coords"), F.col("c_mktsegment").alias("type")))).alias("c"))
-    both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full_outer")
-    text = F.concat(F.lit('{"img":{"w":400,"h":250},"settlements":['), F.array_join(F.coalesce("s", F.array().cast("array<string>")), ","), F.lit('],"markers":['), F.array_join(F.coalesce("c", F.array().cast("array<string>")), ","), F.lit('],"routes":[1,2],"version":7}'))
-    return both.select(F.coalesce("s_nationkey", "c_nationkey").alias("capture_id"), F.parse_json(text).alias("value"))
+    """Maps: suppliers of a nation as settlements, customers as markers, by blocks of keys, with odd fields."""
+
+    def points(table: str, nation: str, k: str, point) -> DataFrame:
+        d = read(spark, sf_dir, table).withColumn("capture_id", (F.col(nation) + 25 * F.floor(F.col(k) / _BLOCK)).cast("long"))
+        listed = F.array_sort(F.collect_list(F.struct(k, F.to_json(point).alias("json"))))  # at most _BLOCK
+        return d.groupBy("capture_id").agg(F.array_join(F.transform(listed, lambda x: x["json"]), ",").alias(table))
+
+    s = points("supplier", "s_nationkey", "s_suppkey", F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("x"), (F.col("s_suppkey") % 97).alias("y"), F.col("s_acctbal").alias("balance")))
+    c = points("customer", "c_nationkey", "c_custkey", F.struct(F.col("c_name").alias("title"), F.array(F.col("c_custkey") % 500, F.col("c_custkey") % 300).alias("coords"), F.col("c_mktsegment").alias("type")))
+    both = s.join(c, "capture_id", "full_outer")
+    text = F.concat(F.lit('{"img":{"w":400,"h":250},"settlements":['), F.coalesce("supplier", F.lit("")), F.lit('],"markers":['), F.coalesce("customer", F.lit("")), F.lit('],"routes":[1,2],"version":7}'))
+    return both.select("capture_id", F.parse_json(text).alias("value"))
 
 
-@query("""SELECT n AS capture_id, CAST(sum(s) AS BIGINT) AS settlements, CAST(sum(m) AS BIGINT) AS markers, CAST(sum(s) + sum(m) AS BIGINT) AS normalized_records, CAST(3 AS BIGINT) AS unclassified_records
-FROM (SELECT s_nationkey AS n, 1 AS s, 0 AS m FROM supplier UNION ALL SELECT c_nationkey, 0, 1 FROM customer) t GROUP BY 1""")
+_S_MAP, _C_MAP = f"CAST(s_nationkey + 25 * (s_suppkey // {_BLOCK}) AS BIGINT)", f"CAST(c_nationkey + 25 * (c_custkey // {_BLOCK}) AS BIGINT)"
+
+
+@query(f"""SELECT n AS capture_id, CAST(sum(s) AS BIGINT) AS settlements, CAST(sum(m) AS BIGINT) AS markers, CAST(sum(s) + sum(m) AS BIGINT) AS normalized_records, CAST(3 AS BIGINT) AS unclassified_records
+FROM (SELECT {_S_MAP} AS n, 1 AS s, 0 AS m FROM supplier UNION ALL SELECT {_C_MAP}, 0, 1 FROM customer) t GROUP BY 1""")
 def map_validation(spark, sf_dir):
     v = maps.validation(_candidates(spark, sf_dir))
     return v.select("capture_id", "settlements", "markers", "normalized_records", "unclassified_records")
 
 
-@query("""SELECT s_nationkey AS capture_id, 'settlements' AS collection, s_name AS name, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y FROM supplier
-UNION ALL SELECT c_nationkey, 'markers', c_name, CAST(c_custkey % 500 AS DOUBLE), CAST(c_custkey % 300 AS DOUBLE) FROM customer""")
+@query(f"""SELECT {_S_MAP} AS capture_id, 'settlements' AS collection, s_name AS name, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y FROM supplier
+UNION ALL SELECT {_C_MAP}, 'markers', c_name, CAST(c_custkey % 500 AS DOUBLE), CAST(c_custkey % 300 AS DOUBLE) FROM customer""")
 def map_records(spark, sf_dir):
     r = annotate.points(maps.records(_candidates(spark, sf_dir)))
     return r.select("capture_id", "collection", "name", "x", "y")
@@ -272,10 +361,45 @@ def map_annotation(spark, sf_dir):
     return annotate.annotate(maps.records(c), m).select("capture_id", "ord", "id", "kind", "x", "y", "status", "overlap", "label_x", "label_y", "label_offset")
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT 'part' AS kind FROM part UNION ALL SELECT 'supplier' FROM supplier UNION ALL SELECT 'customer' FROM customer) t GROUP BY 1""")
-def kind_counts(spark, sf_dir):
-    each = [read(spark, sf_dir, t).select(F.lit(t).alias("kind")) for t in ("part", "supplier", "customer")]
-    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("kind").agg(F.count("*").alias("n"))
+_POINTS = f"""r AS (SELECT {_S_MAP} AS capture_id, 'settlement' AS kind, s_name AS name, CAST(s_suppkey AS DOUBLE) AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y, 0 AS c, s_suppkey AS k FROM supplier
+UNION ALL SELECT {_C_MAP}, 'marker', c_name, CAST(c_custkey % 500 AS DOUBLE), CAST(c_custkey % 300 AS DOUBLE), 1, c_custkey FROM customer),
+shown AS (SELECT * FROM r WHERE x >= 0 AND x < 400 AND y >= 0 AND y < 250)"""
+
+
+@query(f"""WITH {_POINTS}, o AS (SELECT a.capture_id, a.kind, a.name, a.x, a.y, count(b.k) AS overlap FROM shown a LEFT JOIN shown b ON a.capture_id = b.capture_id AND (b.c, b.k) < (a.c, a.k) AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 36 GROUP BY ALL)
+SELECT capture_id, kind, name, x, y, overlap, least(396.0, x + 9 + (overlap // 5) * 12) AS label_x, greatest(12.0, least(246.0, y - 8 + CASE WHEN overlap = 0 THEN 0 ELSE (CASE WHEN overlap % 2 = 1 THEN 1 ELSE -1 END) * ceil(overlap / 2) * 14 END)) AS label_y FROM o""")
+def map_label_anchors(spark, sf_dir):
+    """First label positions on each nation's map, before labels give way to each other."""
+    c = _candidates(spark, sf_dir)
+    m = maps.header(c).withColumn("image_available", F.lit(True))
+    shown = annotate.classify(annotate.points(maps.records(c)), m).filter("status = 'rendered'")
+    return annotate.label_anchors(shown.join(annotate.overlaps(shown), ["capture_id", "ord"])).select("capture_id", "kind", "name", "x", "y", "overlap", "label_x", "label_y")
+
+
+@query(f"WITH {_POINTS} SELECT capture_id, kind, name, CASE WHEN x >= 0 AND x < 400 AND y >= 0 AND y < 250 THEN 'rendered' ELSE 'outside' END AS status FROM r")
+def map_statuses(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    m = maps.header(c).withColumn("image_available", F.lit(True))
+    return annotate.classify(annotate.points(maps.records(c)), m).select("capture_id", "kind", "name", "status")
+
+
+@query(f"""WITH {_POINTS}, s AS (SELECT capture_id, count(*) AS rendered FROM shown GROUP BY 1) SELECT r.capture_id, coalesce(max(s.rendered), 0) AS rendered, count(*) - coalesce(max(s.rendered), 0) AS skipped, CAST(0 AS BIGINT) AS missing_coordinates, CAST(0 AS BIGINT) AS invalid_coordinates, count(*) - coalesce(max(s.rendered), 0) AS outside_bounds FROM r LEFT JOIN s USING (capture_id) GROUP BY 1""")
+def map_legend_counters(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    m = maps.header(c).withColumn("image_available", F.lit(True))
+    return annotate.validation(annotate.classify(annotate.points(maps.records(c)), m)).drop("skipped_ids")
+
+
+@query(f"WITH {_POINTS} SELECT capture_id, kind, count(*) AS n, CASE kind WHEN 'settlement' THEN 'circle' ELSE 'square' END AS symbol FROM shown GROUP BY 1, 2")
+def map_categories(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    m = maps.header(c).withColumn("image_available", F.lit(True))
+    return annotate.categories(annotate.classify(annotate.points(maps.records(c)), m).filter("status = 'rendered'"))
+
+
+@query(f"SELECT capture_id, unnest(['routes', 'version']) AS name FROM (SELECT DISTINCT {_S_MAP} AS capture_id FROM supplier UNION SELECT {_C_MAP} FROM customer) t")
+def map_unclassified(spark, sf_dir):
+    return maps.unclassified(_candidates(spark, sf_dir)).filter("name <> 'seat'").select("capture_id", "name")
 
 
 _PLACE = "SELECT vec_id AS ord, floor(embedding[1] * 1000 + 500) AS x, floor(embedding[2] * 1000 + 500) AS y FROM embeddings"
@@ -308,9 +432,9 @@ def bounds_filter(spark, sf_dir):
 
 def _places_of(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
-    first = fragments.fragments(parse_pages(p), _TREE)
+    first = fragments.fragments(parse_pages(p, fields=["blocks"]), _TREE)
     edited = p.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<p>appended</p>"))).otherwise(F.col("html")))
-    second = fragments.fragments(parse_pages(edited), _TREE)
+    second = fragments.fragments(parse_pages(edited, fields=["blocks"]), _TREE)
     empty = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
     old = sparse.materialize(first, empty, "page_id", "c1", "2025-01-01")
     return first, second, old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
@@ -331,7 +455,15 @@ def current_view(spark, sf_dir):
     return sparse.current_view(new, store)
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), m AS (SELECT o_custkey AS c, o_orderkey AS k FROM orders)
+SELECT CAST(c AS VARCHAR) AS document, CAST(k AS VARCHAR) AS id, 'missing body' AS error FROM m WHERE k NOT IN (SELECT k FROM l) UNION ALL SELECT CAST(c AS VARCHAR), CAST(k AS VARCHAR), 'hash mismatch' FROM m WHERE k IN (SELECT k FROM l) AND k % 50 = 0
+UNION ALL SELECT CAST(c AS VARCHAR), CAST(k AS VARCHAR), 'missing child' FROM m WHERE k % 40 = 3 UNION ALL SELECT NULL, 'p/' || k, 'not referenced' FROM l WHERE k NOT IN (SELECT k FROM m)""")
 def integrity_violations(spark, sf_dir):
-    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")  # noqa: E741
-    return o.join(l, o.o_orderkey == l.l_orderkey, "left_anti").select("o_orderkey")
+    """Orders as fragments of customers, stored where they have lines; a part with wrong hashes or children."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("k"))
+    path = F.concat(F.lit("p/"), F.col("k"))
+    m = o.select("page_id", F.col("k").cast("string").alias("id"), path.alias("materialized_path"), F.when(F.col("k") % 40 == 3, F.array(F.lit("none"))).otherwise(F.array(F.col("k").cast("string"))).alias("child_ids"))
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()  # noqa: E741
+    body = F.concat(F.lit("body "), F.col("k"))
+    s = l.select(path.alias("materialized_path"), body.alias("body"), F.sha2(F.when(F.col("k") % 50 == 0, F.lit("?")).otherwise(body), 256).alias("materialized_hash"))
+    return sparse.violations(m, s)

@@ -2,22 +2,24 @@ from palimpsest.functions import html as H
 from palimpsest.functions.parse import blocks, document
 from palimpsest.functions.text import clean_text, name_key_text, slug_text, units
 
-PAGE = """<!DOCTYPE html><html><head><title> A  page </title><meta name="description" content="d1"><meta name="description" content="d2">
-<style>p{}</style></head><body><h1 id="top">Head</h1><p>First <b>bold</b></p><div hidden>secret</div><p style="display:none">styled</p>
-<h2>Two</h2><ul><li>one<ul><li>in</li></ul></li><li>two</li></ul><table><thead><tr><th>a</th><td>b</td></tr></thead></table>
-<a href="../x y">link</a><img src="pic.png" alt="pic"><script>window.mapData = {"regions":[],"routes":[]};</script>
-<script type="application/json">{"locations":[]}</script><script src="/ext.js"></script></body></html>"""
+PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><meta property="og:kind" content="harbour"><meta property="og:kind" content="harbours">
+<title>Ports
+ of  call</title><template><p>spare</p></template></head><body class="wide"><main><p style="visibility:hidden">ghost</p><h2 id="north">North</h2>
+<ol start="7"><li>quay <i>one</i><ul><li>crane</li></ul></li><li></li><li>quay two</li></ol><p aria-hidden="true">whisper</p><h4>Tides</h4>
+<table><tr><td>high<td>4 m</tr><tr></tr></table><p>Seen from <a href="/ü/pier?x=1">the pier</a><img alt="" src="//cdn.test/p.webp" title="Pier"></p>
+<svg viewBox="0 0 2 2"><g><title>dot</title><circle r="1"/></g></svg><script src="//cdn.test/a.js"></script><script type="text/json">[1]</script></main></body></html>"""
 
 
 def test_document_record():
-    d = document(PAGE, "http://site.test/dir/page")
-    assert d["title"] == "A page" and d["metadata"] == [("description", "d2")]
-    assert [(h["level"], h["text"], h["id"]) for h in d["headings"]] == [(1, "Head", "top"), (2, "Two", None)]
-    assert d["paragraphs"] == ["First bold", "styled"] and d["lists"] == [{"ordered": False, "items": ["one", "two"]}]
-    assert d["tables"] == [[["a", "b"]]] and d["links"][0]["href"] == "http://site.test/x%20y" and d["images"][0]["src"] == "http://site.test/dir/pic.png"
-    assert [(s["inline"], s["type"]) for s in d["scripts"]] == [(True, "text/javascript"), (True, "application/json"), (False, "text/javascript")]
-    assert "secret" not in d["visible_text"] and "styled" not in d["visible_text"] and "Head" in d["visible_text"]
-    assert d["tags"].count("tbody") == 0 and d["tags"].count("thead") == 1
+    d = document(PAGE, "https://ports.test/list/all")
+    assert d["title"] == "Ports\nof call" and d["metadata"] == [("og:kind", "harbours")]
+    assert [(h["level"], h["text"], h["id"]) for h in d["headings"]] == [(2, "North", "north"), (4, "Tides", None)]
+    assert d["paragraphs"] == ["spare", "ghost", "whisper", "Seen from the pier"] and d["lists"] == [{"ordered": True, "items": ["quay one", "quay two"]}]
+    assert d["tables"] == [[["high", "4 m"]]] and d["links"][0]["href"] == "https://ports.test/%C3%BC/pier?x=1"
+    assert d["images"] == [{"src": "https://cdn.test/p.webp", "original_src": "//cdn.test/p.webp", "alt": "", "title": "Pier"}]
+    assert [(s["child_count"], s["view_box"], s["text"]) for s in d["svg"]] == [(3, "0 0 2 2", "dot")]
+    assert [(s["inline"], s["type"], s["src"]) for s in d["scripts"]] == [(False, "text/javascript", "https://cdn.test/a.js"), (True, "text/json", None)]
+    assert not any(w in d["visible_text"] for w in ("ghost", "whisper", "spare")) and "Seen from the pier" in d["visible_text"]
 
 
 def test_tolerance():

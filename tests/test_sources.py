@@ -14,17 +14,17 @@ def test_images(spark):
     s = "capture_id string, url string, source_order int, http_status int, content_type string, body binary, error string"
     rows = [("c", "a", 1, 200, "image/png", b"x", None), ("c", "b", 2, 404, "image/png", b"x", None), ("c", "c", 3, 200, "text/html", b"x", None), ("c", "d", 4, 200, "image/png", b"", None), ("c", "e", 5, None, None, None, "timeout")]
     got = {r["url"]: (r["status"], r["reason"], r["output_file"]) for r in pages.images(spark.createDataFrame(rows, s)).collect()}
-    assert got == {"a": ("ok", None, "image-001.png"), "b": ("failed", "http-status", None), "c": ("failed", "not-an-image", None), "d": ("failed", "empty-body", None), "e": ("failed", "fetch-error", None)}
+    assert got == {"a": ("ok", None, "001.png"), "b": ("failed", "http-status", None), "c": ("failed", "non-image content-type", None), "d": ("failed", "empty body", None), "e": ("failed", "fetch-error", None)}
 
 
 def test_embedded_and_rewritten(spark):
     html = '<img src="data:image/gif;base64,R0lG"><img src="data:,a+b%20c"><img src="data:text/plain;charset=x,no"><img src="p.png"><img src="p.png"><a href="../">up</a>'
     parsed = parse_pages(spark.createDataFrame([(1, "http://s/d/", html)], "page_id long, url string, html string"))
     got = [(r["ord"], r["mime_type"], bytes(r["body"]), r["output_file"]) for r in pages.embedded(extract.images(parsed)).orderBy("ord").collect()]
-    assert got == [(0, "image/gif", b"GIF", "embedded-001.gif"), (1, "text/plain", b"a+b c", "embedded-002.bin")]
+    assert got == [(0, "image/gif", b"GIF", "001.gif"), (1, "application/octet-stream", b"a+b c", "002.bin")]
     assert [(r["url"], r["source_order"]) for r in extract.image_urls(parsed).collect()] == [("http://s/d/p.png", 1)]
-    stored = spark.createDataFrame([(1, "http://s/d/p.png", "image-001.png")], "page_id long, url string, output_file string")
-    assert {r["target"] for r in extract.rewritten_images(parsed, stored).filter("original_src = 'p.png'").collect()} == {"../images/image-001.png"}
+    stored = spark.createDataFrame([(1, "http://s/d/p.png", "001.png")], "page_id long, url string, output_file string")
+    assert {r["target"] for r in extract.rewritten_images(parsed, stored).filter("original_src = 'p.png'").collect()} == {"../images/001.png"}
     assert extract.rewritten_links(parsed).first()["target"] == "../../map/map.md"
 
 
