@@ -7,17 +7,16 @@ work on bytes and never decode a text they only have to count.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions.storage import cut, release, store
+
 #: The word pattern, for Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,44 +29,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where it is unset, the context's checkpoint folder, or in
-    local mode a temporary one; on a cluster that is an error, since executors do not share one."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='palimpsest-')}")
-    return spark.sparkContext.getCheckpointDir()
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Cut lineage: a Parquet table in the shared folder, which survives lost executors. ``release``
-    deletes it; what a lazy result still reads stays until the folder's owner clears it."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}.parquet"
-    # Shuffle files of earlier steps go once the driver's collector has seen that nothing holds them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored = path
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
     return out
 
 
-#: The same; steps that iterate name it so.
-cut = store
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._stored)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def in_fold(doc_id, modulus: int, remainder: int):
     """True where crc32 of the id's text has this remainder. A null id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
@@ -142,11 +114,17 @@ def texts(batch: pa.RecordBatch, column: str = "text"):
         yield value.as_py() or b""
 
 
-def small_batches(batches, rows: int = 512):
-    """Slices of at most ``rows`` rows, so that a batch of long texts stays small."""
+def small_batches(batches, rows: int = 512, size: int = 4 << 20):
+    """Slices of at most ``rows`` rows and, but for a single text, ``size`` bytes of strings."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        strings = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        each = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in strings), np.zeros(batch.num_rows, np.int64))
+        ends, start = np.cumsum(each), 0
+        while start < batch.num_rows:
+            past = ends[start - 1] if start else 0
+            end = min(batch.num_rows, start + rows, max(start + 1, int(np.searchsorted(ends, past + size, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
