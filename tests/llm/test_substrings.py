@@ -36,8 +36,30 @@ def test_factors_cover_what_goes(docs):
         assert len(covered) == r["n_removed"] and all(f["reference"] < r["doc_id"] and f["length"] >= 50 for f in r["factors"])
 
 
-def test_factor_boundaries():
-    assert substrings.factors(np.array([3, 4, 5, 9]), np.array([1, 1, 2, 2]), 50) == [{"start": 3, "length": 51, "reference": 1}, {"start": 5, "length": 50, "reference": 2}, {"start": 9, "length": 50, "reference": 2}]
+def test_factors_are_substrings_of_their_references(docs):
+    out = {r["doc_id"]: r for r in substrings.dedupe(docs).collect()}
+    texts = {r["doc_id"]: words_of(r["text"]) for r in docs.collect()}
+    found = [(i, f) for i, r in out.items() for f in r["factors"]]
+    assert found
+    for i, f in found:
+        assert texts[i][f["start"] : f["start"] + f["length"]] == texts[f["reference"]][f["position"] : f["position"] + f["length"]]
+
+
+def test_parse_breaks_where_the_reference_does():
+    a = np.array
+    got = substrings.factors(a([3, 4, 5, 9, 10]), a([1, 1, 2, 2, 2]), a([7, 8, 9, 30, 40]), 50)
+    assert [(f["start"], f["length"], f["reference"], f["position"]) for f in got] == [(3, 51, 1, 7), (5, 50, 2, 9), (9, 50, 2, 30), (10, 50, 2, 40)] and substrings.factors(a([]), a([]), a([]), 50) == []
+
+
+def test_colliding_hashes_remove_nothing_unverified(docs, rows, monkeypatch):
+    """With window hashes of a few bits the parse proposes much that is wrong: none of it goes."""
+    got = {r["doc_id"]: r for r in substrings.dedupe(docs).collect()}
+    monkeypatch.setattr(substrings, "_windows", lambda d, w, real=substrings._windows: real(d, w).withColumn("hashes", F.transform("hashes", lambda h: h % 5)))
+    texts = {i: words_of(t) for i, t, *_ in rows}
+    for r in substrings.dedupe(docs).collect():
+        assert r["n_removed"] <= got[r["doc_id"]]["n_removed"]
+        for f in r["factors"]:
+            assert texts[r["doc_id"]][f["start"] : f["start"] + f["length"]] == texts[f["reference"]][f["position"] : f["position"] + f["length"]]
 
 
 def test_clashing_names_empty_table_repeated_rows(clashing, empty, docs):
