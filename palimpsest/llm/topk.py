@@ -1,25 +1,31 @@
-"""Exact top-k by inner product with sequential reads only (no random access).
-
-Vectors are integers. Rows are dealt into blocks; a block holds, for every dimension, its rows sorted
-by that component, to be read from the top (for queries with a positive weight there) and from the
-bottom (for a negative one). Reading goes on in rounds: at each depth the frontier, the last value
-read, bounds what a list has not shown yet. A row's upper score takes the frontier for unread
-components, its lower score the other end of the list. A query stops as soon as its k-th lower score
-lies above what every other row, seen or not, can still reach; rows that can still reach it are
-resolved by reading their entries in the remaining lists. The k-th score found in earlier blocks of
-a task carries over as a bound. All queries of a block take each round together, as two products of
-small matrices.
+"""Exact top-k by inner product with sequential reads of sorted lists (no random access).
+
+Vectors are integers. Rows are dealt into blocks; a block holds, for every dimension, the list of its
+rows sorted by that component, read from the top where a query's weight is positive and from the
+bottom where it is negative, so that contributions to the score only fall. Every list has its own
+frontier, the contribution at which reading stopped: what a list has not shown of a row is at most
+that. Lists of heavy weights are read deeper than light ones, where an entry lowers the bounds less.
+
+After the first reads a row's upper score is the sum of what its lists have shown and of the frontiers of
+the others; its lower score takes the other ends of these lists. The rows of the highest upper scores are
+resolved (read to the end), which lifts the k-th lower score to where it decides. Rows that cannot reach
+it are out, seen or not; for the others reading goes on, deeper in every round, until they
+are few, and these are resolved. The k-th score found in earlier blocks of a task carries over as a lower
+score.
 
 Queries and rows meet in blocks: every block of queries is dealt to every shard of row blocks, and each
 meeting returns at most k rows a query, combined by rank.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Shorter vectors
 count as padded with zeros. Rows of the query's own id are no candidates; repeated rows are candidates
-each, and repeated queries are asked once. Scores must fit 53 bits.
+each, and repeated queries are asked once. Products are exact: in floating point where it holds them,
+else in integers; a score beyond 64 bits is given as the end of their range.
 """
 
 from __future__ import annotations
 
+from math import erf, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,80 +33,95 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words
 
-#: Rows of a block; queries of a block; queries of a round together.
-ROWS, QUERIES, TOGETHER = 8192, 4096, 512
-#: Shares of the lists read by the end of each round.
-DEPTHS = (0.2, 0.5)
+#: Rows of a block; queries of a block.
+ROWS, QUERIES = 4096, 4096
+#: How far a list is read in each round: to where the entries left, times what the next one lowers
+#: the frontier by, falls below this share of the mean over lists (for normal components).
+ROUNDS = (1.0, 0.6, 0.4, 0.2)
+#: Open rows, as a multiple of k, that are resolved rather than read on in rounds.
+FEW = 8
+
+_Z = np.linspace(-4, 4, 161)
+_SHARE = np.array([(1 + erf(z / sqrt(2))) / 2 for z in _Z])
+_GAIN = _SHARE / (np.exp(-_Z * _Z / 2) / sqrt(2 * pi))
 
 
 class Lists:
-    """The sorted lists of one block of rows."""
+    """The sorted lists of one block of rows (rows, dimensions)."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x  # (rows, dimensions), the entries of the lists
-        self.order = np.argsort(x, axis=0, kind="stable")
-
-    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """After ``depth`` entries from either end: what is known of every row from the top (unread
-        components at the frontier), and from the bottom; then both frontiers."""
-        n, d = self.x.shape
-        cols = np.arange(d)
-        top, bottom = self.order[n - depth :], self.order[:depth]
-        high, low = self.x[top[0], cols], self.x[bottom[-1], cols]
-        from_top = np.repeat(high[None], n, 0)
-        from_top[top, cols] = self.x[top, cols]
-        from_bottom = np.repeat(low[None], n, 0)
-        from_bottom[bottom, cols] = self.x[bottom, cols]
-        return from_top, from_bottom, high, low
-
-    def ends(self) -> tuple[np.ndarray, np.ndarray]:
-        cols = np.arange(self.x.shape[1])
-        return self.x[self.order[0], cols], self.x[self.order[-1], cols]
-
-
-def search(lists: Lists, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray):
-    """Per query, (ids, scores) of the rows that may be in its top k.
+        self.x = x
+        self.n, self.d = x.shape
+        self.order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.ascontiguousarray(np.take_along_axis(x.T, self.order, 1))
+        self.rank = np.empty(x.shape, np.int32)  # place of an entry in its list, to tell whether it has been read
+        np.put_along_axis(self.rank, self.order.T, np.arange(self.n, dtype=np.int32)[:, None], 0)
+        self.spread = np.array([float(v) for v in x.astype(np.float64).std(0)])
+
+    def depths(self, q: np.ndarray, gain: float) -> np.ndarray:
+        """Entries of each list that a query reads in a round."""
+        weight = np.abs(q.astype(np.float64)) * self.spread
+        mean = sqrt(float((weight * weight).mean())) or 1.0
+        z = np.interp(gain * mean / np.maximum(weight, 1e-300), _GAIN, _Z)
+        read = np.ceil(self.n * (1 - np.interp(z, _Z, _SHARE))).astype(np.int64)
+        return np.where(q == 0, 0, np.maximum(read, 1))
+
+    def read(self, i: int, downwards: bool, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next entries of a list: rows and components."""
+        part = slice(self.n - end, self.n - start) if downwards else slice(start, end)
+        return self.order[i, part], self.values[i, part]
+
+    def frontier(self, i: int, downwards: bool, depth: int):
+        """The component that an unread entry does not pass."""
+        return self.values[i, max(0, self.n - 1 - depth) if downwards else min(depth, self.n - 1)]
+
+
+def search(lists: Lists, ids: np.ndarray, query: int, q: np.ndarray, k: int, floor):
+    """Places and scores of the rows that may be in the query's top k, and how many entries were read.
 
     floor: a score that k rows of earlier blocks reach, or -inf; rows below it are out.
     """
-    n = len(ids)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    live = np.arange(len(q))
-    out: list = [None] * len(q)
-    worst, best = lists.ends()
-    for share in (*DEPTHS, 1.0):
-        depth = max(1, int(np.ceil(n * share)))
-        from_top, from_bottom, high, low = lists.read(depth)
-        p, m = plus[live], minus[live]
-        upper = p @ from_top.T + m @ from_bottom.T
-        if depth < n:
-            # unread components are at least at the other end of their list
-            seen_low = p @ np.where(from_top > high, from_top, worst).T + m @ np.where(from_bottom < low, from_bottom, best).T
+    n, d = lists.x.shape
+    kind = lists.x.dtype
+    depth, shown, live, known = np.zeros(d, np.int64), np.zeros(n, kind), ids != query, np.zeros(n, bool)
+    kth, entries, down, exact = floor, 0, q > 0, {}
+
+    def resolve(rows: np.ndarray) -> None:
+        nonlocal entries
+        exact.update(zip(rows.tolist(), (lists.x[rows] @ q).tolist(), strict=True))
+        known[rows] = True
+        entries += len(rows) * d
+
+    for gain in ROUNDS:
+        if np.count_nonzero(live) <= FEW * k or not q.any():
+            break
+        upto = np.maximum(depth, lists.depths(q, gain))
+        front, parts = np.zeros(d, kind), []
+        for i in np.flatnonzero(q).tolist():
+            rows, values = lists.read(i, down[i], depth[i], upto[i])
+            parts.append((rows, values * q[i]))
+            front[i] = 0 if upto[i] >= n else lists.frontier(i, down[i], int(upto[i])) * q[i]
+        rows, gains = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if kind.kind == "f":
+            shown += np.bincount(rows, gains, n)
         else:
-            seen_low = upper
-        own = q_ids[live][:, None] == ids[None]
-        seen_low = np.where(own, -np.inf, seen_low)
-        upper = np.where(own, -np.inf, upper)
-        kth = floor[live]
-        if n > k:
-            kth = np.maximum(kth, np.partition(seen_low, n - k, axis=1)[:, n - k])
-        open_ = upper >= kth[:, None]
-        counts = open_.sum(1)
-        done = np.flatnonzero((counts <= 4 * k) | (depth == n))
-        for i in done:
-            at = np.flatnonzero(open_[i])
-            # resolve: the entries of these rows in what is left of the lists
-            scores = lists.x[at] @ q[live[i]]
-            out[live[i]] = (ids[at], scores)
-        live = np.delete(live, done)
-        if not len(live):
+            np.add.at(shown, rows, gains)
+        entries += int((upto - depth).sum())
+        depth = upto
+        at = np.flatnonzero(live & ~known)
+        unread = np.where(down, lists.rank[at] < n - depth, lists.rank[at] >= depth)
+        upper = shown[at] + unread.astype(kind) @ front
+        first = min(len(at), FEW * k // 2)
+        if first:
+            resolve(at[np.argsort(-upper, kind="stable")[:first]] if kind.kind == "O" else at[np.argpartition(-upper, first - 1)[:first]])
+        if len(exact) >= k:
+            kth = max(kth, sorted(exact.values(), reverse=True)[k - 1])
+        live[at[upper < kth]] = False
+        if np.count_nonzero(live & ~known) <= FEW * k:
             break
-    return out
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: score descending, then id."""
-    return np.lexsort([ids, -scores])[:k]
+    resolve(np.flatnonzero(live & ~known))
+    rows = np.array([r for r, score in exact.items() if score >= kth], np.int64)
+    return rows, [exact[r] for r in rows.tolist()], entries
 
 
 def _pack(rows: DataFrame, dims: int, size: int, name: str) -> DataFrame:
@@ -131,16 +152,15 @@ def quantised(v: Column, scale: int = 64) -> Column:
 def topk(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows. Both: id (long), v (array of long)."""
     rows, queries = rows.select("id", "v"), queries.select("id", "v").distinct()
-    facts = rows.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    facts = rows.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not facts["d"]:
         return rows.sparkSession.createDataFrame([], out)
-    asked = queries.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.count("*").alias("n")).first()
+    asked = queries.agg(F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most"), F.count("*").alias("n")).first()
     dims = max(facts["d"], asked["d"] or 0)
     bound = dims * facts["most"] * (asked["most"] or 0)
-    if bound >= 1 << 53:
-        raise ValueError("scores do not fit 53 bits")
-    kind = np.float32 if bound < 1 << 24 else np.float64  # exact for integers of this size
+    # exact for integers of this size
+    kind = np.float64 if bound < 1 << 51 else np.int64 if bound < 1 << 62 else object
     blocks = max(1, -(-asked["n"] // QUERIES))
     q = queries.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).repartition(blocks, "b").sortWithinPartitions("b").select("id", "v")
     q = _pack(q, dims, QUERIES, "q")
@@ -160,22 +180,16 @@ def topk(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 if key not in reached:
                     if len(reached) >= 8:
                         reached.clear()
-                    reached[key] = np.full((len(qids), k), -np.inf, kind)
-                tops = reached[key]
+                    reached[key] = [[] for _ in qids]
                 cols: list = [[], [], []]
-                for at in range(0, len(qids), TOGETHER):
-                    part = slice(at, at + TOGETHER)
-                    found = search(lists, ids, x[part], qids[part], k, tops[part].min(1))
-                    for j, (query, (vs, ss)) in enumerate(zip(qids[part], found, strict=True), at):
-                        keep = vs != query
-                        vs, ss = vs[keep], ss[keep]
-                        top = best(vs, ss, k)
-                        both = np.concatenate([tops[j], ss[top]])
-                        tops[j] = np.partition(both, len(both) - k)[len(both) - k :]
-                        cols[0].append(np.full(len(top), query))
-                        cols[1].append(vs[top])
-                        cols[2].append(ss[top].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
+                for query, q, tops in zip(qids.tolist(), x, reached[key], strict=True):
+                    rows, scores, _ = search(lists, ids, query, q, k, tops[-1] if len(tops) == k else -np.inf)
+                    found = sorted(zip((-int(v) for v in scores), ids[rows].tolist(), strict=True))[:k]
+                    tops[:] = sorted([*tops, *(-v for v, _ in found)], reverse=True)[:k]
+                    cols[0] += [query] * len(found)
+                    cols[1] += [i for _, i in found]
+                    cols[2] += [max(-(1 << 63), min((1 << 63) - 1, -v)) for v, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     pairs = r.join(q, "shard")  # blocks of the stated queries with all blocks of rows
     found = pairs.mapInArrow(meet, "query_id long, vec_id long, score long")

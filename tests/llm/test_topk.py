@@ -1,6 +1,9 @@
 import math
+import os
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import topk
@@ -37,21 +40,46 @@ def test_few_rows_and_none(spark):
     assert run(spark, []) == [] and run(spark, [(1, [0.5])]) == [] and run(spark, [(20, [0.5])]) == []
 
 
-def test_reading_stops_early():
+def test_reading_stops_early_on_the_embeddings():
+    """Of the lists' entries, less is read than there are; and the frontier bounds what is left."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    table = pq.read_table(path)
+    x, ids = np.floor(64 * np.array(table["embedding"].to_pylist(), np.float64)), table["vec_id"].to_numpy()
+    lists, shares = topk.Lists(x), []
+    for i in np.flatnonzero(ids % 20 == 0):
+        rows, scores, entries = topk.search(lists, ids, int(ids[i]), x[i], 20, -np.inf)
+        shares.append(entries / x.size)
+        full = x @ x[i]
+        want = np.array([j for j in np.lexsort([ids, -full]) if ids[j] != ids[i]][:20])
+        assert sorted(zip((-s for s in scores), ids[rows].tolist(), strict=True))[:20] == list(zip((-full[want]).tolist(), ids[want].tolist(), strict=True))
+    assert max(shares) < 0.9 and np.median(shares) < 0.75
+
+
+def test_frontiers_bound_unread_entries():
     import numpy as np
 
     r = np.random.default_rng(0)
-    x = np.zeros((4000, 16), np.float32)
-    x[:, :2] = np.round(r.standard_normal((4000, 2)) * 40)  # few lists decide
-    lists, depths = topk.Lists(x), []
-    read = lists.read
-    lists.read = lambda d: depths.append(d) or read(d)
-    q = np.zeros((4, 16), np.float32)
-    q[:, :2] = r.integers(1, 9, (4, 2))
-    found = topk.search(lists, np.arange(4000), q, np.full(4, -1), 20, np.full(4, -np.inf, np.float32))
-    assert max(depths) < 4000
-    for i in range(4):
-        ids, scores = found[i]
-        top = topk.best(ids, scores, 20)
-        full = x @ q[i]
-        assert list(ids[top]) == list(np.lexsort([np.arange(4000), -full])[:20])
+    x = np.round(r.standard_normal((300, 3)) * 5)
+    lists = topk.Lists(x)
+    for i in range(3):
+        for down in (True, False):
+            for depth in (1, 7, 150, 299):
+                rows, values = lists.read(i, down, 0, depth)
+                rest, front = np.delete(x[:, i], rows), lists.frontier(i, down, depth)
+                assert (x[rows, i] == values).all() and ((rest <= front).all() and (values >= front).all() if down else (rest >= front).all() and (values <= front).all())
+
+
+@pytest.mark.parametrize("size", [1.0, 3e7, 1e14, 3e16])
+def test_large_components(spark, size):
+    """Products beyond 53, 63 and 64 bits: exact, at last the end of the range."""
+    r = random.Random(3)
+    rows = [(i, [float(np.float32(r.uniform(-1, 1) * (size if i in (0, 3, 40) else 1))) for _ in range(3)]) for i in range(230)]
+    low, high = -(1 << 63), (1 << 63) - 1
+    want = [(q, n, i, max(low, min(high, s))) for q, n, i, s in brute(rows)]
+    got = run(spark, rows)
+    assert sorted((q, s) for q, _, _, s in got) == sorted((q, s) for q, _, _, s in want) and (size > 1e14 or got == want)
