@@ -11,10 +11,13 @@ and spelling. A name without a title is not detected.
 Collision check: over all distinct entities, replacements that two entities share, or that are
 themselves an entity of the corpus, are drawn again with a higher salt, until none is left; usually
 none is at first, then texts are rewritten where they are. Only texts that hold a redrawn entity
-need the join with the salts.
+need the join with the salts. Where a form has too few free values (the corpus itself holds most of
+them), replacements grow by a character a round beyond the first ROUNDS, so that redrawing always ends.
 
-Built-in functions only. A null text stays null, texts without entities come back unchanged, and
-repeated rows are rewritten alike.
+Built-in functions only. Patterns and replacements take time in proportion to the text, and no loop of the
+pattern recurses, so that long texts and long entities are safe. A null text stays null, texts without
+entities come back unchanged, and repeated rows are rewritten alike. All other columns come back as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from palimpsest.llm import words
 
 #: Key of the replacements where none is given; a deployment passes its own secret.
 KEY = "palimpsest"
-#: Rounds of redrawing, at most; a collision left after them is an error.
+#: Rounds of redrawing in the entity's own form; from then on a replacement is longer than its entity.
 ROUNDS = 8
 
 _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 _BY_FIRST = {
@@ -40,7 +44,10 @@ _BY_FIRST = {
         rf"(?:\d[ \-]?){{12,18}}\d{_R}",
         rf"(?<![+.\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}{_R}",
     ],
-    r"[0-9A-Fa-f]": [r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"],
+    r"[0-9A-Fa-f]": [
+        rf"(?<!:)(?:{_HEX}:){{7}}{_HEX}(?![\p{{L}}\p{{N}}:])",
+        rf"(?<!:)(?=[A-Fa-f:]{{0,35}}[0-9]){_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?(?![\p{{L}}\p{{N}}:])",
+    ],
     r"[+(]": [
         rf"(?<!\+)(?:\+\d{{1,3}}[ .\-]?)?\(\d{{2,4}}\)[ .\-]?\d{{3,4}}[ .\-]\d{{3,4}}{_R}",
         rf"(?<!\+)\+\d{{1,3}}(?:[ .\-]?\d{{1,4}}){{3,6}}{_R}",
@@ -51,11 +58,14 @@ _BY_FIRST = {
     ],
     r"[gsx]": [r"(?:ghp_|gho_|sk-|xox[bp]-)[A-Za-z0-9_\-]{16,}"],
     r"\p{Lu}": [rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?{_R}"],
-    r"[A-Za-z0-9_\-+/]": [r"(?<=(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/]{8,}"],
+    r"[A-Za-z0-9_\-+/]": [r"(?<=(?i:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/]{8,}"],
 }
 #: All of them. No entity starts inside a word, so most positions cost one look back, and an
 #: alternative is tried only where its first character stands.
-PATTERN = rf"{_L}(?:(?<![._%+\-])[\p{{L}}\p{{N}}._%+\-]++@(?:[\p{{L}}\p{{N}}\-]+\.)+\p{{L}}{{2,}}|" + "|".join(f"(?={first})(?:{'|'.join(of)})" for first, of in _BY_FIRST.items()) + ")"
+#: A host runs to its last label that two letters begin: possessive loops, for those that give back recurse.
+_LABEL = r"[\p{L}\p{N}\-]++\."
+_HOST = rf"(?:(?:{_LABEL}(?!\p{{L}}{{2}}))*+{_LABEL}(?=\p{{L}}{{2}}))++\p{{L}}{{2,}}+"
+PATTERN = rf"{_L}(?:(?<![._%+\-])[\p{{L}}\p{{N}}._%+\-]++@{_HOST}|" + "|".join(f"(?={first})(?:{'|'.join(of)})" for first, of in _BY_FIRST.items()) + ")"
 _HINTS = [*_MALE.split("|"), *_FEMALE.split("|"), "AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-"]
 
 # Fixed first names, by gender and script.
@@ -88,7 +98,7 @@ def kind(m: Column) -> Column:
         .when(m.rlike(rf"^(?:{_MALE})\.? "), "name_m")
         .when(m.rlike(rf"^(?:{_FEMALE})\.? "), "name_f")
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
-        .when(m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}"), "ipv6")
+        .when(m.rlike(r"^[0-9A-Fa-f:]++$") & m.contains(":"), "ipv6")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[0-9 \-]+$") & digits.between(13, 19), "card")
         .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
@@ -99,7 +109,7 @@ def kind(m: Column) -> Column:
 
 def canonical(m: Column, type_: Column) -> Column:
     name = F.regexp_replace(m, r"^\p{L}+\.? ", "")
-    return F.when(type_.startswith("name"), F.lower(name)).when(type_ == "ipv4", m).otherwise(F.lower(F.regexp_replace(m, r"[^\p{L}\p{N}]", "")))
+    return F.when(type_.startswith("name"), F.lower(name)).when(type_ == "ipv4", m).when(type_ == "ipv6", F.lower(m)).otherwise(F.lower(F.regexp_replace(m, r"[^\p{L}\p{N}]", "")))
 
 
 def _stream(key: str, type_: Column, canon: Column, salt: Column) -> Column:
@@ -120,14 +130,19 @@ _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 
+def _signs(m: Column) -> Column:
+    """Letters and digits only."""
+    return F.regexp_replace(m, r"[^\p{L}\p{N}]++", "")
+
+
 def _characters(m: Column, stream: Column, head: Column, tail: Column, hexes: Column) -> Column:
-    """Replace letters and digits from ``head`` up to ``tail`` by others of their class; the i-th of
-    the entity by the i-th byte."""
+    """Replace letters and digits by others of their class, the i-th by the i-th byte; but not the
+    first ``head`` and those from ``tail`` on. What stands between them is kept."""
 
-    def one(x: Column) -> Column:
-        c, i, n = x["c"], x["i"], x["n"]
+    def one(c: Column, i: Column) -> Column:
+        n = _byte(stream, i)
         return (
-            F.when((i < head) | (i >= tail) | ~c.rlike(r"[\p{L}\p{N}]"), c)
+            F.when((i < head) | (i >= tail), c)
             .when(hexes & c.rlike("[0-9a-f]"), _pick("0123456789abcdef", n))
             .when(hexes & c.rlike("[A-F]"), _pick("0123456789ABCDEF", n))
             .when(c.rlike(r"\p{N}"), _pick("0123456789", n))
@@ -137,9 +152,8 @@ def _characters(m: Column, stream: Column, head: Column, tail: Column, hexes: Co
             .otherwise(_pick(_LATIN, n))
         )
 
-    rank = lambda i: F.char_length(F.regexp_replace(F.substr(m, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-    numbered = F.transform(F.split(m, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"), _byte(stream, rank(i)).alias("n")))
-    return F.array_join(F.transform(numbered, one), "")
+    new = F.transform(F.split(_signs(m), ""), one)
+    return F.array_join(F.zip_with(F.split(m, r"[\p{L}\p{N}]", -1), F.concat(new, F.array(F.lit(""))), lambda gap, c: F.concat(gap, c)), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -176,16 +190,42 @@ def typed(found: Column) -> Column:
     return F.transform(with_type, lambda e: F.struct(e["m"].alias("m"), e["t"].alias("t"), canonical(e["m"], e["t"]).alias("c")))
 
 
+def _kept_head(m: Column, t: Column) -> Column:
+    """Letters and digits at the beginning that a replacement keeps."""
+    country = F.char_length(_signs(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-])", 0)))
+    maker = F.char_length(_signs(F.regexp_extract(m, r"^(?:AKIA|ASIA|ghp_|gho_)", 0)))
+    return F.when(t == "card", 1).when(t == "iban", 2).when(t == "secret", maker).when(t == "phone", country).otherwise(0)
+
+
+def _kept_tail(m: Column, t: Column) -> Column:
+    """Letters and digits at the end that a replacement keeps: an address's top domain."""
+    return F.when(t == "email", F.char_length(F.regexp_extract(m, r"\.(\p{L}{2,}+)$", 1))).otherwise(0)
+
+
+def _longer(new: Column, t: Column, stream: Column, salt: Column) -> Column:
+    """Beyond ROUNDS, a letter or digit more a round."""
+    more = F.substr(stream, F.lit(200), F.greatest(salt - ROUNDS, F.lit(0)))
+    return F.concat(new, F.when(t.isin("email", "name_m", "name_f"), F.translate(more, "0123456789", "ghijklmnop")).otherwise(F.translate(more, "abcdef", "012345")))
+
+
 def replaced(entities_: Column, key: str, salt) -> Column:
     """The replacements of typed entities. salt: of a struct as ``typed`` gives it."""
-    m, t = lambda e: e["m"], lambda e: e["t"]
-    head = lambda e: F.when(t(e) == "card", 1).when(t(e) == "iban", 2).when((t(e) == "secret") & m(e).rlike("^(?:AKIA|ASIA|ghp_|gho_)"), 4).when(t(e) == "phone", F.char_length(F.regexp_extract(m(e), r"^\+\d{1,3}(?=[ .\-])", 0))).otherwise(0)
-    tail = lambda e: F.char_length(m(e)) - F.when(t(e) == "email", F.char_length(F.regexp_extract(m(e), r"\.\p{L}{2,}$", 0))).otherwise(0)
-    hexes = lambda e: (t(e) == "secret") & m(e).rlike("^[0-9a-f]+$") | (t(e) == "ipv6")
-    keyed = F.transform(entities_, lambda e: F.struct(m(e).alias("m"), t(e).alias("t"), _stream(key, t(e), e["c"], salt(e)).alias("s"), head(e).alias("head"), tail(e).alias("tail"), hexes(e).alias("hexes")))
-    drawn = F.transform(keyed, lambda e: F.struct(m(e).alias("m"), t(e).alias("t"), e["s"].alias("s"), F.when(~t(e).isin("ipv4", "name_m", "name_f"), _characters(m(e), e["s"], e["head"], e["tail"], e["hexes"])).alias("d")))
-    ip = lambda e: F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (_byte(e["s"], i) % 254 + 1).cast("string")), ".")
-    return F.transform(drawn, lambda e: F.when(t(e).startswith("name"), _name(m(e), t(e), e["s"])).when(t(e) == "ipv4", ip(e)).when(t(e) == "card", _card(m(e), e["d"])).otherwise(e["d"]))
+
+    def prepare(e: Column) -> Column:
+        m, t = e["m"], e["t"]
+        return F.struct(m.alias("m"), t.alias("t"), _stream(key, t, e["c"], salt(e)).alias("s"), salt(e).alias("salt"), _kept_head(m, t).alias("head"), (F.char_length(_signs(m)) - _kept_tail(m, t)).alias("tail"), ((t == "secret") & m.rlike("^[0-9a-f]+$") | (t == "ipv6")).alias("hexes"))
+
+    def draw(e: Column) -> Column:
+        fixed = e["t"].isin("ipv4", "name_m", "name_f")
+        return F.struct(*[e[c].alias(c) for c in ("m", "t", "s", "salt")], F.when(~fixed, _characters(e["m"], e["s"], e["head"], e["tail"], e["hexes"])).alias("d"))
+
+    def finish(e: Column) -> Column:
+        m, t = e["m"], e["t"]
+        ip = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (_byte(e["s"], i) % 254 + 1).cast("string")), ".")
+        new = F.when(t.startswith("name"), _name(m, t, e["s"])).when(t == "ipv4", ip).when(t == "card", _card(m, e["d"])).otherwise(e["d"])
+        return _longer(new, t, e["s"], e["salt"])
+
+    return F.transform(F.transform(F.transform(entities_, prepare), draw), finish)
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -203,17 +243,17 @@ def salts(found: DataFrame, key: str) -> DataFrame | None:
     real = found.select("t", F.col("c").alias("drawn"), F.lit(True).alias("real"))
     current = found.select("t", "c", "m", F.lit(0).alias("salt"))
     entity = F.array(F.struct("m", "t", "c"))
-    for _ in range(ROUNDS):
+    while True:
         drawn = current.select("*", F.explode(replaced(entity, key, lambda e: F.col("salt"))).alias("x"))
         drawn = drawn.select("t", "c", canonical(F.col("x"), F.col("t")).alias("drawn"))
         first = drawn.groupBy("t", "drawn").agg(F.min("c").alias("first"), F.count("*").alias("n"))
         clash = first.join(real, ["t", "drawn"], "left").filter((F.col("n") > 1) | F.col("real"))
-        bad = words.cut(drawn.join(clash, ["t", "drawn"]).filter(F.coalesce("real", F.lit(False)) | (F.col("c") != F.col("first"))).select("t", "c"))
+        bad = words.store(drawn.join(clash, ["t", "drawn"]).filter(F.coalesce("real", F.lit(False)) | (F.col("c") != F.col("first"))).select("t", "c"))
         if bad.isEmpty():
             changed = current.filter(F.col("salt") > 0).select("t", "c", "salt")
             return None if changed.isEmpty() else changed
-        current = words.cut(current.join(bad.withColumn("bad", F.lit(1)), ["t", "c"], "left").select("t", "c", "m", (F.col("salt") + F.coalesce("bad", F.lit(0))).alias("salt")))
-    raise RuntimeError(f"replacements still collide after {ROUNDS} rounds")
+        current = words.store(current.join(bad.withColumn("bad", F.lit(1)), ["t", "c"], "left").select("t", "c", "m", (F.col("salt") + F.coalesce("bad", F.lit(0))).alias("salt")))
+        words.release(bad)
 
 
 def _rewrite(text: Column, key: str, salt) -> Column:
@@ -224,15 +264,16 @@ def _rewrite(text: Column, key: str, salt) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """The documents, personal data replaced; all other columns as they are."""
-    redrawn = salts(words.cut(entities(docs, text)), key)
+    redrawn = salts(words.store(entities(docs, text)), key)
     if redrawn is None:
         return docs.withColumn(text, _rewrite(F.col(text), key, lambda e: F.lit(0)))
     # Which texts hold a redrawn entity, by the text's own hash: equal texts are rewritten alike.
     name = lambda t, c: F.concat_ws("\u0001", t, c)
-    held = docs.select(F.xxhash64(text).alias("_x"), F.explode(typed(_matches(F.col(text)))).alias("e")).select("_x", "e.t", "e.c")
-    by_text = held.join(redrawn, ["t", "c"]).select("_x", F.struct(name(F.col("t"), F.col("c")).alias("k"), "salt").alias("e")).groupBy("_x").agg(F.map_from_entries(F.collect_set("e")).alias("_salts"))
-    joined = docs.withColumn("_x", F.xxhash64(text)).join(by_text, "_x", "left")
-    salt = lambda e: F.coalesce(F.try_element_at("_salts", name(e["t"], e["c"])), F.lit(0))
+    x, by = words.unused(docs, "x", "salts")
+    held = docs.select(F.xxhash64(text).alias(x), F.explode(typed(_matches(F.col(text)))).alias("e")).select(x, "e.t", "e.c")
+    by_text = held.join(redrawn, ["t", "c"]).select(x, F.struct(name(F.col("t"), F.col("c")).alias("k"), "salt").alias("e")).groupBy(x).agg(F.map_from_entries(F.collect_set("e")).alias(by))
+    joined = docs.withColumn(x, F.xxhash64(text)).join(by_text, x, "left")
+    salt = lambda e: F.coalesce(F.try_element_at(by, name(e["t"], e["c"])), F.lit(0))
     return joined.withColumn(text, _rewrite(F.col(text), key, salt)).select(*docs.columns)
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,7 +58,94 @@ def test_collisions_are_redrawn(spark, monkeypatch):
     assert not originals & {x for f in found for x in f}
 
 
-def test_plan_is_native_and_columns_stay(docs, clashing, empty):
+def test_long_texts_and_long_entities(spark):
+    """A megabyte of every kind neither overflows a stack nor takes quadratic time."""
+    big = 1 << 20
+    texts = {
+        "labels": "x@" + "a." * (big // 2) + "1", "host": "x@" + "a." * (big // 2) + "com end", "token": "token=" + "aB3" * (big // 3), "at": "x@" * (big // 2), "digits": "1 " * (big // 2),
+        "plus": "+1" * (big // 2), "colons": "ab:" * (big // 3), "prose": "word 10.1.2.3 and " * (big // 18), "dots": "a.b-c_d%" * (big // 8) + "@e.com", "spaces": "token = " * (big // 8),
+    }
+    began = time.time()
+    out = run(spark, texts)
+    assert time.time() - began < 120
+    assert out["labels"] == texts["labels"] and out["at"] == texts["at"] and out["spaces"] == texts["spaces"]
+    assert out["host"].endswith(".com end") and out["host"] != texts["host"] and len(out["host"]) == len(texts["host"])
+    assert re.fullmatch(r"token=([a-z][A-Z][0-9])+", out["token"]) and out["token"][:30] != texts["token"][:30]
+    assert "10.1.2.3" not in out["prose"] and len(set(re.findall(r"\d+(?:\.\d+){3}", out["prose"]))) == 1
+
+
+def test_hosts_end_at_the_last_label_of_letters(spark):
+    texts = {"a": "u@mail.example.com.", "b": "u@a.com.x9 z", "c": "u@1.2.3 z", "d": "u@h.co9 z", "e": "u@a.b.c z", "f": "u@sub-1.ex.museum, z"}
+    out = run(spark, texts)
+    assert re.fullmatch(r"\w@\w{4}\.\w{7}\.com\.", out["a"]) and out["b"].endswith(".com.x9 z") and out["b"] != texts["b"]
+    assert out["c"] == texts["c"] and out["e"] == texts["e"] and out["d"].endswith(".co9 z") and out["f"].endswith(".museum, z")
+
+
+def test_more_forms(spark):
+    texts = {"v6": "at 2001:db8::1 and fe80::1, not std::cout or ab::cd", "words": "Password: hunter2hunter2 API_KEY=abcdef123456 Token = abcd1234efgh"}
+    out = run(spark, texts)
+    assert "2001:db8::1" not in out["v6"] and "fe80::1" not in out["v6"] and "std::cout or ab::cd" in out["v6"] and re.search(r"at [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] and [0-9a-f]{4}::[0-9a-f],", out["v6"])
+    assert not any(x in out["words"] for x in ("hunter2", "abcdef123456", "abcd1234efgh")) and out["words"].startswith("Password: ")
+
+
+def test_crowded_forms_grow(spark, monkeypatch):
+    """Where the corpus holds all values of a form, replacements leave the form and stay distinct."""
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    texts = {str(i): f"+{i:04d}" for i in range(1000, 2600)}
+    real = pii._byte
+    monkeypatch.setattr(pii, "_byte", lambda s, i: real(s, i) % 2)  # few values
+    out = run(spark, texts)
+    assert len(set(out.values())) == len(texts) and not set(out.values()) & set(texts.values())
+
+
+def test_whole_table_against_brute_force(spark):
+    """Every entity and nothing else changes, one replacement for one entity, distinct and new."""
+    import os
+
+    import regex
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        return
+    d = spark.read.parquet(path)
+    pattern = regex.compile(pii.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    old = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymise(d.select("doc_id", "text")).collect()}
+    title = regex.compile(rf"(?:{pii._MALE}|{pii._FEMALE})\.? ")
+    form = lambda x: title.sub("", x).lower() if title.match(x) else x if regex.fullmatch(r"\d+(\.\d+){3}", x) else regex.sub(r"[^\p{L}\p{N}]", "", x).lower()
+    pairs, kinds = {}, lambda x: regex.sub(r"\p{Lu}", "A", regex.sub(r"\p{Ll}", "a", regex.sub(r"\p{N}", "0", x)))
+    for i, text in old.items():
+        if text is None:
+            assert new[i] is None
+            continue
+        at = 0
+        for gap, found in zip(pattern.split(text), [*pattern.findall(text), None], strict=True):
+            assert new[i].startswith(gap, at)
+            at += len(gap)
+            if found is None:
+                break
+            if title.match(found):
+                x = regex.match(title.pattern + r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?", new[i], pos=at)[0]
+            elif regex.fullmatch(r"\d+(\.\d+){3}", found):
+                x = regex.match(r"\d+(\.\d+){3}", new[i], pos=at)[0]
+            else:
+                x = new[i][at : at + len(found)]
+                assert kinds(x) == kinds(found) or regex.fullmatch("[0-9a-fA-F:]+", found)
+            pairs.setdefault(form(found), set()).add(form(x))
+            at += len(x)
+        assert at == len(new[i])
+    drawn = [y for ys in pairs.values() for y in ys]
+    assert len(pairs) > 10 and all(len(ys) == 1 for ys in pairs.values()) and len(set(drawn)) == len(drawn) and not set(drawn) & set(pairs)
+
+
+def test_plan_is_native_and_columns_stay(spark, docs, clashing, empty, monkeypatch):
     out = pii.pseudonymise(clashing)
     assert out.columns == clashing.columns and out.exceptAll(clashing).isEmpty()  # nothing personal in there
     assert "Python" not in out._jdf.queryExecution().toString() and pii.pseudonymise(empty).count() == 0
+    real = pii._stream
+    monkeypatch.setattr(pii, "_stream", lambda key, t, c, salt: F.when(salt == 0, F.lit("ab" * 128)).otherwise(real(key, t, c, salt)))  # redrawn
+    names = ["_x", "_salts", "x", "salts", "s", "m", "t", "c", "e", "k", "salt", "n", "drawn"]
+    d = frame(spark, {str(i): f"id {100 + i}-22-3333" for i in range(6)}).withColumns({n: F.concat(F.lit(f"{n}/"), "name") for n in names})
+    out = pii.pseudonymise(d)
+    assert out.columns == d.columns and sorted(map(tuple, out.drop("text").collect())) == sorted(map(tuple, d.drop("text").collect()))
+    assert len({r["text"] for r in out.collect()}) == 6 and not {r["text"] for r in out.collect()} & {r["text"] for r in d.collect()}
