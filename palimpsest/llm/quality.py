@@ -6,7 +6,8 @@ Policies are versioned sets of bits: ``apply_policy`` decides from the stored bi
 Built-in functions only; one narrow pass, no shuffle before ``ablations``.
 
 Null and empty texts have no words, fail the length rule and are rejected. Repeated rows get equal
-rows. Columns of the input that have the name of a new column are replaced.
+rows, and an empty table stays empty. Columns of the input that have the name of a new column are replaced; all others
+come back as they are.
 """
 
 from __future__ import annotations
@@ -35,40 +36,52 @@ POLICIES = {
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
+#: Whether windows x and y (hash and position packed) have the same hash, and whether the same words.
+_ALIKE = "coalesce(shiftright({x}, b) = shiftright({y}, b), false)"
+_EQUAL = " AND ".join(f"get(w, CAST({{x}} & mask AS INT) + {k}) = get(w, CAST({{y}} & mask AS INT) + {k})" for k in range(3))
+#: Whether sorted windows x and y (words and position) have the same words.
+_SAME = "coalesce(x.a = get(e, i {n}).a AND x.b = get(e, i {n}).b AND x.c = get(e, i {n}).c, false)"
+
+
 def _repeat_words(df: DataFrame) -> DataFrame:
-    """Words that lie in a 3-word window found twice or more in the text.
+    """Words that lie in a 3-word window found twice or more in the text ``w``.
 
-    A window's hash is packed with its position (in as many low bits as the text needs, so 64
-    bits less these tell windows apart); after a sort, equal windows are neighbours. The words
-    they cover follow from the gaps between their positions.
+    A window's hash is packed with its position (in as many low bits as the text needs); after a
+    sort, windows of equal hash are neighbours, and their words are compared. In the rare text where
+    different windows share a hash, the windows are sorted by their words. The words that repeated windows
+    cover follow from the gaps between their positions.
     """
-    df = df.withColumn("_b", F.expr("CAST(length(bin(size(_w))) AS INT)"))
-    df = df.withColumn("_s", F.expr("""CASE WHEN size(_w) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE sort_array(transform(sequence(0, size(_w) - 3),
-        i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | CAST(i AS BIGINT))) END"""))
-    df = df.withColumn("_p", F.expr("""sort_array(transform(filter(_s, (x, i) -> coalesce(shiftright(x, _b) = shiftright(get(_s, i - 1), _b), false) OR coalesce(shiftright(x, _b) = shiftright(get(_s, i + 1), _b), false)),
-        x -> x & (shiftleft(1L, _b) - 1L)))"""))
-    return df.withColumn("n_repeat_words", F.expr("""CASE WHEN size(_p) = 0 THEN 0L ELSE 3L + aggregate(zip_with(slice(_p, 2, size(_p)), slice(_p, 1, size(_p) - 1), (a, b) -> least(3L, a - b)), 0L, (s, x) -> s + x) END""")).drop("_b", "_s", "_p")
+    df = df.withColumn("b", F.expr("CAST(length(bin(size(w))) AS INT)")).withColumn("mask", F.expr("shiftleft(1L, b) - 1L"))
+    df = df.withColumn("p", F.expr("""CASE WHEN size(w) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE sort_array(transform(sequence(0, size(w) - 3),
+        i -> shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), b) | CAST(i AS BIGINT))) END"""))
+    alike = lambda n: _ALIKE.format(x="x", y=f"get(p, i {n})")
+    df = df.withColumn("clash", F.expr(f"exists(transform(p, (x, i) -> {alike('- 1')} AND NOT ({_EQUAL.format(x='x', y='get(p, i - 1)')})), v -> v)"))
+    df = df.withColumn("e", F.expr("CASE WHEN clash THEN array_sort(transform(sequence(0, size(w) - 3), i -> struct(get(w, i) AS a, get(w, i + 1) AS b, get(w, i + 2) AS c, CAST(i AS BIGINT) AS i))) END"))
+    df = df.withColumn("r", F.expr(f"""sort_array(CASE WHEN clash THEN transform(filter(e, (x, i) -> {_SAME.format(n='- 1')} OR {_SAME.format(n='+ 1')}), x -> x.i)
+        ELSE transform(filter(p, (x, i) -> {alike('- 1')} OR {alike('+ 1')}), x -> x & mask) END)"""))
+    return df.withColumn("n_repeat_words", F.expr("""CASE WHEN size(r) = 0 THEN 0L ELSE 3L + aggregate(zip_with(slice(r, 2, size(r)), slice(r, 1, size(r) - 1), (x, y) -> least(3L, x - y)), 0L, (s, x) -> s + x) END"""))
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by its measurements."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = df.select(*[c for c in df.columns if c not in (text, *MEASURES)], t.alias("_t"))
-    out = out.withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({words.WORD})"), F.lit(1)))
-    out = out.withColumn("_l", F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (text, *MEASURES)]
+    (own,) = words.unused(df, "own")  # a row is no empty struct
+    out = df.select(F.struct(*rest, F.lit(0).alias(own)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    out = out.withColumn("w", F.regexp_extract_all("t", F.lit(f"({words.WORD})"), F.lit(1)))
+    out = out.withColumn("lines", F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     out = _repeat_words(out)
     measures = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.size("w").cast("long").alias("n_words"),
+        F.char_length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        (F.char_length("t") - F.char_length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
     # Generated columns are computed once: a filter on them is not pushed below, where each of its
     # references would measure the text again.
-    rest = [c for c in out.columns if c not in ("_t", "_w", "_l", "n_repeat_words")]
-    return out.select(*rest, F.explode(F.array(measures)).alias("_m")).select(*rest, "_m.*")
+    out = out.select("row", F.explode(F.array(measures)).alias("m"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in (text, *MEASURES)], "m.*")
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:

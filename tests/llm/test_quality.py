@@ -50,3 +50,30 @@ def test_plan_is_native_and_names_may_clash(clashing, empty):
 def test_repeated_rows_get_equal_rows(docs):
     twice = quality.ledger(docs.unionAll(docs)).groupBy("doc_id", "rule_bits").count()
     assert {r["count"] for r in twice.filter(F.col("doc_id").isNotNull()).collect()} == {2}
+
+
+def test_windows_of_equal_hash_are_compared(spark, monkeypatch):
+    """With hashes of a bit, nearly all windows clash and are sorted by their words."""
+    texts = ["a b c a b c d", "a b c d e f g h", "x x x x", "a b c d a b c x b c d", "", "one two", " ".join("abcdefgh"[i * i % 7] for i in range(400))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real, exprs = F.expr, []
+
+    def coarse(e):
+        exprs.append(e)
+        return real(e.replace("xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))", "(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) & 1L)"))
+
+    monkeypatch.setattr(quality.F, "expr", coarse)
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.ledger(d).collect()}
+    monkeypatch.undo()
+    assert any("xxhash64" in e for e in exprs) and got == {i: brute(t)[4] for i, t in enumerate(texts)}
+
+
+def test_long_text_and_columns_keep_their_values(spark, docs):
+    long = " ".join(str(i * i % 99_991) for i in range(300_000)) + "\n" + "word " * 100_000
+    r = quality.ledger(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute(long)
+    names = ["_w", "_b", "_t", "_m", "_s", "_p", "_l", "w", "b", "t", "m", "e", "r", "p", "lines", "mask", "clash", "row", "own", "a.b"]
+    d = docs.withColumns({n: F.concat(F.lit(f"{n}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for n in names})
+    quoted = [f"`{c}`" for c in d.columns if c != "text"]
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(quality.apply_policy(quality.ledger(d)).select(*quoted).collect()) == key(d.select(*quoted).collect())
