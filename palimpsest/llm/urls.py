@@ -11,8 +11,10 @@ before they are shuffled, and the table of grams is dealt over SALT copies so th
 most URLs hold does not meet in one task.
 
 A null url, or one without ``://``, has empty host and path and fits no rule; it is scored as an
-empty string. If either class has no ruled URL, the cut is 0 and both models may be uniform: all
-are allowed. Repeated rows get equal verdicts.
+empty string. What stands behind the path (query and fragment) is no part of the rules and is not scored: it
+names a state of a page rather than a page. If either class has no ruled URL, the cut is 0 and both models may be uniform: all
+are allowed. Repeated rows get equal verdicts, and an empty table stays empty. The columns host, path, rule, verdict and
+margin are replaced where the input has them; all others come back as they are.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def _score(strings: DataFrame, model: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, url: str = "url", rules=None) -> DataFrame:
     """Add host, path, rule, verdict and margin (null where a rule decides)."""
     host, path = split_url(F.col(url))
-    base = pages.drop("host", "path", "rule", "verdict", "margin", "s").withColumn("host", host).withColumn("path", path)
+    base = pages.drop("host", "path", "rule", "verdict", "margin").withColumn("host", host).withColumn("path", path)
     name, verdict = match(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", name).withColumn("verdict", verdict)
     text = F.concat("host", "path")
@@ -101,10 +103,10 @@ def judge(pages: DataFrame, url: str = "url", rules=None) -> DataFrame:
     strings = base.select(text.alias("s"), "verdict").groupBy("s").agg(F.max("verdict").alias("verdict"), F.count("*").alias("n"))
     labelled = strings.filter(F.col("verdict").isNotNull())
     fit = _grams(labelled.filter(~_held_back(F.col("s"))))
-    seen = words.cut(fit.groupBy("gram").agg(*[F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(c) for v, c in (("allow", "a"), ("block", "r"))]))
+    seen = words.store(fit.groupBy("gram").agg(*[F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(c) for v, c in (("allow", "a"), ("block", "r"))]))
     asked = strings.filter(F.col("verdict").isNull() | _held_back(F.col("s")))
     model = _model(seen, _grams(asked).select("gram").distinct())
-    scored = words.cut(_score(asked, model))
+    scored = words.store(_score(asked, model))
 
     held = scored.join(labelled, "s").groupBy("verdict").agg(F.avg("margin").alias("m"), F.coalesce(F.stddev_pop("margin"), F.lit(0.0)).alias("d"))
     stats = {r["verdict"]: r for r in held.collect()}  # two rows
@@ -112,7 +114,8 @@ def judge(pages: DataFrame, url: str = "url", rules=None) -> DataFrame:
     if len(stats) == 2:
         (ma, da), (mr, dr) = ((stats[v]["m"], stats[v]["d"] + 1e-6) for v in ("allow", "block"))
         at = (ma * dr + mr * da) / (da + dr)
-    free = free.drop("verdict").withColumn("s", text).join(scored, "s", "left").drop("s").withColumn("verdict", F.when(F.col("margin") < at, F.lit("block")).otherwise(F.lit("allow")))
+    (own,) = words.unused(base.withColumn("margin", F.lit(0)), "s")
+    free = free.drop("verdict").withColumn(own, text).join(scored.withColumnRenamed("s", own), own, "left").drop(own).withColumn("verdict", F.when(F.col("margin") < at, F.lit("block")).otherwise(F.lit("allow")))
     order = [*base.columns, "margin"]
     return reduce(DataFrame.unionByName, [ruled.withColumn("margin", F.lit(None).cast("double")).select(order), free.select(order)])
 

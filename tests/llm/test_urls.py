@@ -31,5 +31,6 @@ def test_native_plan_names_and_empty(spark):
 
     d = frame(spark).withColumns({c: F.lit("theirs") for c in ("host", "s", "gram", "salt", "n")})
     out = urls.judge(d)
+    assert {(r["s"], r["gram"], r["salt"], r["n"]) for r in out.collect()} == {("theirs",) * 4}
     assert out.count() == len(URLS) and "theirs" not in {r["host"] for r in out.collect()}
     assert "Python" not in out._jdf.queryExecution().toString() and urls.judge(frame(spark, [])).count() == 0
