@@ -8,11 +8,13 @@ gradients from forward-backward). Scoring: forward-backward marginals of every w
 text; a logistic curve over their document totals, fitted on the same sample, gives the document's
 score, and words with a marginal of one half or more give the offending offsets.
 
-The chain is cut every ``PIECE`` words, so a very long text is many rows of one matrix.
+A text is laid out in rows of ``PIECE`` words, so that a very long one is many rows of one matrix; messages
+pass from row to row, and marginals are those of the whole text.
 Labels, language, source and id are never inputs of a score.
 
 Null and empty texts have no words: they get the curve's value for no evidence, and no spans.
-Repeated documents are scored alike. Without usable labels every score is 0.
+Repeated documents are scored alike, an empty table stays empty. Without usable labels every score is 0. The
+columns tox_score and tox_spans are replaced where the input has them; all others come back as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm import words
 
-#: Words of one chain.
+#: Words of a row of the layout.
 PIECE = 64
 #: Bits of the hashed word identities.
 BITS = 17
@@ -96,18 +98,54 @@ def layout(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     return np.arange(lengths.sum()) + np.repeat(first - starts, lengths), int(pieces.sum())
 
 
-def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: float):
-    """Marginals of the toxic state, and of the four transitions by step, for chains of one row each.
+def _first(lengths: np.ndarray) -> np.ndarray:
+    """Whether each piece begins a document."""
+    pieces = -(-lengths // PIECE)
+    out = np.zeros(int(pieces.sum()), bool)
+    out[(np.cumsum(pieces) - pieces)[pieces > 0]] = True
+    return out
+
+
+def _through(message: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A message (2, rows) behind log weights (2, 2, rows) or (2, 2), its greater part 0."""
+    weights = weights if weights.ndim == 3 else weights[..., None]
+    out = np.logaddexp(message[0] + weights[0], message[1] + weights[1])
+    return out - out.max(0)
 
-    e: score of the toxic state against the clean one; trans[a, b]: score of a step from a to b.
+
+def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: float, first: np.ndarray | None = None):
+    """Marginals of the toxic state (log odds), and both messages of every word, up to a constant a piece.
+
+    e: score of the toxic state against the clean one, a row for each piece; trans[a, b]: score of a
+    step from a to b; first: which pieces begin a document (all, if None). The others go on
+    from the piece above. What a piece does to a message is a matrix of two states by two;
+    messages pass from piece to piece through these, so that marginals are those of the whole document.
     """
     p, n = e.shape
-    a = np.zeros((n, 2, p), np.float32)
-    b = np.zeros((n, 2, p), np.float32)
-    a[0, 1] = start + e[:, 0]
+    first = np.ones(p, bool) if first is None else first
+    # from[s, t, k]: behind word t in state k, having come to the piece's first word in state s
+    come = np.full((2, n, 2, p), -1e9, np.float32)
+    come[0, 0, 0], come[1, 0, 1] = 0, e[:, 0]
     for t in range(1, n):
-        a[t, 0] = np.logaddexp(a[t - 1, 0] + trans[0, 0], a[t - 1, 1] + trans[1, 0])
-        a[t, 1] = np.logaddexp(a[t - 1, 0] + trans[0, 1], a[t - 1, 1] + trans[1, 1]) + e[:, t]
+        on = mask[:, t]
+        for s in range(2):
+            one = np.logaddexp(come[s, t - 1, 0] + trans[0, 0], come[s, t - 1, 1] + trans[1, 0])
+            two = np.logaddexp(come[s, t - 1, 0] + trans[0, 1], come[s, t - 1, 1] + trans[1, 1]) + e[:, t]
+            come[s, t, 0], come[s, t, 1] = np.where(on, one, come[s, t - 1, 0]), np.where(on, two, come[s, t - 1, 1])
+    whole = come[:, -1]  # (2, 2, pieces)
+    into, out = np.zeros((2, p), np.float32), np.zeros((2, p), np.float32)
+    into[1] = start
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.append(starts, p))
+    for r in range(1, int(counts.max(initial=0))):
+        at = starts[counts > r] + r
+        into[:, at] = _through(_through(into[:, at - 1], whole[:, :, at - 1]), trans)
+    for r in range(int(counts.max(initial=0)) - 1, 0, -1):
+        at = starts[counts > r] + r
+        out[:, at - 1] = _through(_through(out[:, at], whole[:, :, at].transpose(1, 0, 2)), trans.T)
+    a = np.logaddexp(into[0] + come[0], into[1] + come[1])
+    b = np.zeros((n, 2, p), np.float32)
+    b[-1] = out
     for t in range(n - 2, -1, -1):
         on = mask[:, t + 1]
         toxic = b[t + 1, 1] + e[:, t + 1]
@@ -149,7 +187,7 @@ class Field:
         e[cells] = self.emissions(ids, lengths)
         mask[cells] = True
         shape_ = (pieces, PIECE)
-        return forward_backward(e.reshape(shape_), mask.reshape(shape_), self.trans, self.start)[0].reshape(-1)[cells]
+        return forward_backward(e.reshape(shape_), mask.reshape(shape_), self.trans, self.start, _first(lengths))[0].reshape(-1)[cells]
 
     def fit(self, ids: tuple, lengths: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> None:
         cells, pieces = layout(lengths)
@@ -162,8 +200,12 @@ class Field:
         flat = ids[0].reshape(-1)
         same = np.repeat(np.arange(len(lengths)), lengths)
         joined = same[1:] == same[:-1]
-        steps = mask[:, 1:]
+        steps, first = mask[:, 1:], _first(lengths)
+        on = np.flatnonzero(~first)  # pieces that go on from the one above
         gold_steps = np.array([[((1 - gold[:, :-1]) * (1 - gold[:, 1:]) * steps).sum(), ((1 - gold[:, :-1]) * gold[:, 1:] * steps).sum()], [(gold[:, :-1] * (1 - gold[:, 1:]) * steps).sum(), (gold[:, :-1] * gold[:, 1:] * steps).sum()]])
+        for i in range(2):
+            for j in range(2):
+                gold_steps[i, j] += ((gold[on - 1, -1] == i) & (gold[on, 0] == j)).sum()
         squares: dict = {}
 
         def step(name: str, value, grad):
@@ -174,7 +216,7 @@ class Field:
             e = np.zeros(pieces * PIECE, np.float32)
             e[cells] = self.emissions(ids, lengths)
             e = e.reshape(pieces, PIECE)
-            odds, a, b = forward_backward(e, mask, self.trans, self.start)
+            odds, a, b = forward_backward(e, mask, self.trans, self.start, first)
             miss = (sigmoid(odds).reshape(-1)[cells] - y).astype(np.float32)
             log_z = np.logaddexp(a[0, 0] + b[0, 0], a[0, 1] + b[0, 1])
             expected = np.zeros((2, 2))
@@ -182,13 +224,15 @@ class Field:
                 for j in range(2):
                     x = a[:-1, i] + b[1:, j] + self.trans[i, j] - log_z + (e.T[1:] if j else 0)
                     expected[i, j] = (np.exp(np.minimum(x, 0)) * steps.T).sum()
+            across = np.array([[a[-1, i, on - 1] + self.trans[i, j] + (e[on, 0] if j else 0) + b[0, j, on] for j in range(2)] for i in range(2)])
+            expected += np.exp(across - np.logaddexp.reduce(across.reshape(4, -1), 0)).sum(2)
             self.word = step("word", self.word, np.bincount(flat, np.repeat(miss, N_KEYS), size) / n + l2 / n * self.word)
             self.word[0] = 0
             self.before = step("before", self.before, np.bincount(slots[:-1][joined], miss[1:][joined], size) / n + 20 * l2 / n * self.before)
             self.after = step("after", self.after, np.bincount(slots[1:][joined], miss[:-1][joined], size) / n + 20 * l2 / n * self.after)
             self.shape = step("shape", self.shape, np.bincount(shapes, miss, 32) / n)
             self.trans = step("trans", self.trans, (expected - gold_steps) / n)
-            self.start = step("start", self.start, (sigmoid(odds[:, 0]) - gold[:, 0]).sum() / n)
+            self.start = step("start", self.start, (sigmoid(odds[first, 0]) - gold[first, 0]).sum() / n)
 
 
 def evidence(log_odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -237,7 +281,8 @@ class Tagger:
         bad = {k for k, a in held.items() if a > 0.7 * (n := a + clean[k]) and (a - n * share) / np.sqrt(n * share * (1 - share)) > 5}
         del held, clean
         features = Features()
-        order = np.concatenate([np.flatnonzero(toxic)[: FIELD_SAMPLE // 2], np.flatnonzero(~toxic)[: FIELD_SAMPLE // 2]])
+        by_hash = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
+        order = np.concatenate([by_hash[toxic[by_hash] == y][: FIELD_SAMPLE // 2] for y in (True, False)])
         chosen = [texts[i].split() for i in order]
         lengths = np.array([len(c) for c in chosen], np.int64)
         ids = features.rows(chosen, lengths.sum())

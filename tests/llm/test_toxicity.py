@@ -43,6 +43,26 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(np.log(weight[:, 1] / weight[:, 0]), odds[i, :n], atol=1e-4)
 
 
+def test_messages_cross_the_rows_of_a_text(monkeypatch):
+    """Marginals of texts of many rows are those of one chain."""
+    r = np.random.default_rng(5)
+    trans, start = r.standard_normal((2, 2)).astype(np.float32) * 2, 0.7
+    lengths = np.array([200, 3, 0, 64, 65, 1])
+    e = [r.standard_normal(n).astype(np.float32) * 2 for n in lengths]
+    cells, pieces = toxicity.layout(lengths)
+    flat, mask = np.zeros(pieces * toxicity.PIECE, np.float32), np.zeros(pieces * toxicity.PIECE, bool)
+    flat[cells], mask[cells] = np.concatenate(e), True
+    shape = (pieces, toxicity.PIECE)
+    first = toxicity._first(lengths)
+    assert first.sum() == 5
+    odds = toxicity.forward_backward(flat.reshape(shape), mask.reshape(shape), trans, start, first)[0].reshape(-1)[cells]
+    ends = np.cumsum(lengths)
+    for x, n, end in zip(e, lengths, ends, strict=True):
+        if n:
+            whole = toxicity.forward_backward(x[None].astype(np.float64), np.ones((1, n), bool), trans, start)[0][0]
+            assert np.allclose(whole, odds[end - n : end], atol=2e-3)
+
+
 def test_odd_rows(docs, clashing, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["tox_score"] for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
