@@ -43,8 +43,8 @@ START_TOKENS, START_DOCS, START_EACH = 400_000, 3_000, 4_000
 ROUNDS, SHARD, PIECES = 3, 1_500_000, 16
 #: Step sizes of the first and the last window of the rounds.
 RATES = 0.004, 0.0005
-#: Steps of a window; documents scored side by side.
-STEPS, SIDE = 48, 4096
+#: Steps of a window; documents scored side by side, and bytes of them.
+STEPS, SIDE, SIDE_BYTES = 48, 4096, 16 << 20
 
 OTHER, END, START = SHORTLIST, SHORTLIST + 1, SHORTLIST + 2
 SYMBOLS = SHORTLIST + 3
@@ -403,7 +403,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches):
         m = given.value
         codes = m.codes()
-        for batch in words.small_batches(batches, SIDE):
+        for batch in words.small_batches(batches, SIDE, SIDE_BYTES):
             rows = [codes.of(t.lower().split()) for t in words.texts(batch)]
             lm = m.network.score([symbols(r) for r in rows]) / np.log(10)
             known, base, tails, times = [], [], [], []

@@ -64,6 +64,41 @@ def test_state_is_carried_and_training_helps(monkeypatch):
     assert after > before + 50 and abs(net.score([docs[0], docs[0][:9]])[0] - after) < 1e-2
 
 
+def test_score_equals_plain_steps():
+    """Word by word, with whole softmaxes, as the model is defined."""
+    r, net = np.random.default_rng(6), lm.Network()
+    docs = [np.append(r.integers(0, lm.OTHER + 1, n), lm.END) for n in (0, 1, 130, 60, 49)]
+    net.train(docs[2:], epochs=1)
+    w, h_, sig = {k: v.astype(np.float64) for k, v in net.w.items()}, lm.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for doc, got in zip(docs, net.score(docs), strict=True):
+        h, before, total = np.zeros(h_), lm.START, 0.0
+        for s in doc:
+            g, a = w["x"][before], h @ w["u"]
+            z, reset = sig(g[:h_] + a[:h_]), sig(g[h_ : 2 * h_] + a[h_ : 2 * h_])
+            n = np.tanh(g[2 * h_ :] + reset * a[2 * h_ :])
+            h = (1 - z) * n + z * h
+            classes = softmax(h @ w["c"] + w["bc"])
+            if s >= lm.OTHER:
+                total += np.log(classes[lm.CLASSES + (s == lm.END)])
+            else:
+                c, at = divmod(int(s), lm.PER_CLASS)
+                part = slice(c * lm.PER_CLASS, (c + 1) * lm.PER_CLASS)
+                total += np.log(classes[c]) + np.log(softmax(w["o"][part] @ h + w["bo"][part])[at])
+            before = s
+        assert abs(total - got) < 1e-3 * max(1, abs(total))
+
+
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * 100, "", "c" * 30, "d" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["i", "text"])
+    parts = [b.column("text").to_pylist() for b in words.small_batches([batch], 3, 50)]
+    assert parts == [["a" * 10, None], ["b" * 100], ["", "c" * 30], ["d" * 30]] and [x for p in parts for x in p] == texts
+    assert list(words.small_batches([batch.slice(0, 0)])) == []
+
+
 def test_odd_tables(clashing, empty, docs):
     model, counts = lm.fit(split(empty))
     assert lm.score(empty, model, counts).count() == 0 and model.total == 0
