@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, near duplicates, personal data, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a DataFrame; all but
-the last keep the columns of ``documents``. Empty tables pass through as empty.
+the last keep the columns of ``documents``. Empty tables pass through as empty. A null text is an empty one
+that stays null until it is encoded, to no tokens; a null id stays in every stage; repeated rows with
+an id are copies of each other only in their texts, and stay or go together.
 """
 
 from __future__ import annotations
@@ -30,13 +32,17 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: written files follow it from first to last."""
+    """All documents, in the order of the mixture: written files follow it from first to last. A null
+    source is one of its own."""
     return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) and the hash of the text that they decode to."""
-    return bpe.tokenized(docs).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    """Token ids (little-endian unsigned 32-bit) and the hash of the text that they decode to, with the
+    document's ``position`` in the mixture: a table that is read again has no order of its own. A null text
+    has no tokens."""
+    placed = mixing.schedule(docs).drop("block", "slot").withColumnRenamed("seq", "position")
+    return bpe.tokenized(placed).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -52,8 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is checkpointed before the next reads it."""
+    """All stages over ``documents``; each but the last is stored before the next reads it."""
     docs = words.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = words.cut(stage(spark, docs, sf_dir))
+        docs = words.store(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
