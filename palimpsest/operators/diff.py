@@ -84,12 +84,14 @@ def unified(before: Column, after: Column, before_name: str = "previous", after_
 
 
 def flags(current: DataFrame, previous: DataFrame, key: str = "source") -> DataFrame:
-    """Per source: whether raw bytes, text and structure changed; all true without a previous row.
+    """Per source: whether raw bytes, text, structure, images and data changed; all true without a previous row.
 
-    Both: key, raw_sha256, text_sha256, structure_sha256.
+    Both: key, and of raw_sha256, text_sha256, structure_sha256, images_sha256, data_sha256 those that apply;
+    a hash that the previous row lacks counts as changed.
     """
-    names = ["raw", "text", "structure"]
-    p = previous.select(key, F.lit(True).alias("_p"), *[F.col(f"{n}_sha256").alias(f"p_{n}") for n in names])
+    names = [n for n in ("raw", "text", "structure", "images", "data") if f"{n}_sha256" in current.columns]
+    had = [F.col(f"{n}_sha256") if f"{n}_sha256" in previous.columns else F.lit(None).cast("string") for n in names]
+    p = previous.select(key, F.lit(True).alias("_p"), *[c.alias(f"p_{n}") for n, c in zip(names, had, strict=True)])
     return current.join(p, key, "left").select(key, *[(F.col("_p").isNull() | ~F.col(f"{n}_sha256").eqNullSafe(F.col(f"p_{n}"))).alias(f"{n}_changed") for n in names], F.struct(F.col("p_raw").alias("before"), F.col("raw_sha256").alias("after")).alias("raw_hashes"))
 
 

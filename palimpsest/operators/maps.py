@@ -32,6 +32,11 @@ def _text(v: Column) -> Column:
     return F.nullif(trim(v.cast("string")), F.lit(""))
 
 
+def text_of(v: Column) -> Column:
+    """A value's text; null for none."""
+    return _text(_known(v))
+
+
 def _type(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 

@@ -376,6 +376,13 @@ def map_label_anchors(spark, sf_dir):
     return annotate.label_anchors(shown.join(annotate.overlaps(shown), ["capture_id", "ord"])).select("capture_id", "kind", "name", "x", "y", "overlap", "label_x", "label_y")
 
 
+@query(f"""WITH {_POINTS}, m AS (SELECT DISTINCT capture_id FROM r) SELECT capture_id, kind, name, 'point' AS place FROM r UNION ALL SELECT capture_id, 'unclassified', unnest(['version', NULL, NULL]), unnest(['$.version', '$.routes[0]', '$.routes[1]']) FROM m""")
+def map_all_records(spark, sf_dir):
+    """All that may be drawn, unclassified values included."""
+    r = annotate.all_records(_candidates(spark, sf_dir))
+    return r.select("capture_id", "kind", "name", F.when(F.col("coordinates").isNotNull(), "point").otherwise(F.col("source_path")).alias("place"))
+
+
 @query(f"WITH {_POINTS} SELECT capture_id, kind, name, CASE WHEN x >= 0 AND x < 400 AND y >= 0 AND y < 250 THEN 'rendered' ELSE 'outside' END AS status FROM r")
 def map_statuses(spark, sf_dir):
     c = _candidates(spark, sf_dir)

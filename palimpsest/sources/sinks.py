@@ -41,24 +41,50 @@ def read_fetches(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(FETCHES).json(inside(root, "fetches"))
 
 
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _pointers(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Versions that have been published, the newest last. A pointer is a file whose name says all."""
+    path, fs = _files(spark, root)
+    folder = path(inside(root, f"{name}.pointers"))
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n for n in names if n[0].isdigit())
+
+
 def publish(df: DataFrame, root: str, name: str = "current") -> str:
-    """Write a new version of the view, then point to it; a failed write leaves the old one in place."""
+    """Write a new version of the view, then point to it by one rename, so that readers see the old one
+    or the new one at any time. A version whose write or pointer fails is taken back."""
     spark = df.sparkSession
+    path, fs = _files(spark, root)
     version = f"{name}-{uuid.uuid4().hex}"
-    df.write.parquet(inside(root, version))
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(root).getFileSystem(conf)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(inside(root, f"{name}.next"))
-    fs.delete(Path(inside(root, f"{name}.pointer")), True)
-    if not fs.rename(Path(inside(root, f"{name}.next")), Path(inside(root, f"{name}.pointer"))):
-        raise OSError(f"cannot publish {version}")
+    data, staged = path(inside(root, version)), path(inside(root, f"{name}.pointers/.{version}"))
+    try:
+        df.write.parquet(data.toString())
+        done = _pointers(spark, root, name)
+        fs.create(staged, True).close()
+        number = int(done[-1].split("-")[0]) + 1 if done else 1
+        if not fs.rename(staged, path(inside(root, f"{name}.pointers/{number:012d}-{version}"))):
+            raise OSError(f"cannot publish {version}")
+    except Exception:
+        fs.delete(staged, False)
+        fs.delete(data, True)
+        raise
     return version
 
 
+def rollback(spark: SparkSession, root: str, name: str = "current") -> None:
+    """Take back the newest version; readers see the one before."""
+    path, fs = _files(spark, root)
+    newest = _pointers(spark, root, name)[-1]
+    fs.delete(path(inside(root, f"{name}.pointers/{newest}")), False)
+    fs.delete(path(inside(root, newest.split("-", 1)[1])), True)
+
+
 def current(spark: SparkSession, root: str, name: str = "current") -> DataFrame:
-    version = spark.read.text(inside(root, f"{name}.pointer")).first()[0]
-    return spark.read.parquet(inside(root, version))
+    return spark.read.parquet(inside(root, _pointers(spark, root, name)[-1].split("-", 1)[1]))
 
 
 def pretty_json(df: DataFrame, root: str, name: str) -> None:

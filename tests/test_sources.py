@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -40,6 +41,11 @@ def test_publish_log_and_manifests(spark, tmp_path):
     sinks.publish(first, root)
     sinks.publish(second, root)
     assert sinks.current(spark, root).first()["v"] == 2
+    with pytest.raises(Exception):  # noqa: B017  a failed write leaves the old version and no traces
+        sinks.publish(first.select(F.raise_error(F.lit("broken")).alias("v")), root)
+    assert sinks.current(spark, root).first()["v"] == 2 and len([n for n in os.listdir(root) if n.startswith("current-")]) == 2
+    sinks.rollback(spark, root)
+    assert sinks.current(spark, root).first()["v"] == 1
     sinks.append_fetches(spark.createDataFrame([("t", "c", "failed", "boom")], "attempted_at string, capture_id string, status string, error string"), root)
     sinks.append_fetches(spark.createDataFrame([("t", "c", "captured", "m")], "attempted_at string, capture_id string, status string, map_sha256 string"), root)
     assert {(r["status"], r["error"], r["map_sha256"]) for r in sinks.read_fetches(spark, root).collect()} == {("failed", "boom", None), ("captured", None, "m")}
@@ -64,9 +70,16 @@ def test_capture_twice(spark, tmp_path):
     assert {r["status"] for r in one["fetches"].collect()} == {"captured"} and one["records"].first()["name"] == "N"
     collect.save(one, str(tmp_path), "2025-07-25T00-00-00Z", "2025-07-25")
     assert spark.read.parquet(f"{tmp_path}/fragments").filter("capture_date = '2025-07-25'").count() == 2
+    saved = {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in ("documents", "written", "records", "scripts", "candidates", "statistics")}
+    assert saved == {"documents": 2, "written": 2, "records": 1, "scripts": 1, "candidates": 1, "statistics": 2}
     before = one["fragments"].join(p.select("page_id", F.sha2("html", 256).alias("page_sha256")), "page_id")
     changed = p.withColumn("html", F.when(F.col("page_id") == 2, F.lit("<p>z</p>")).otherwise(F.col("html")))
-    two = collect.capture(spark, changed, "2025-07-26T00:00:00Z", str(tmp_path), before)
+    body = bytearray(b"PNG")
+    attempts = spark.createDataFrame([(1, "http://a/i", 1, 200, "image/PNG; q", body, None), (1, "http://a/j", 2, 404, "image/png", body, None)], "page_id long, url string, source_order int, http_status int, content_type string, body binary, error string")
+    two = collect.capture(spark, changed, "2025-07-26T00:00:00Z", str(tmp_path), before, images=attempts)
+    sha = hashlib.sha256(b"PNG").hexdigest()
+    rows = [("http://a/i", "ok", sha, "200", "image/png", "3", "", ""), ("http://a/j", "failed", "", "404", "", "", "", "")]
+    assert {r["page_id"]: r["image_digest"] for r in two["fetches"].collect()} == {1: hashlib.sha256("\n".join(map("\0".join, rows)).encode()).hexdigest(), 2: None}
     assert {r["page_id"]: r["status"] for r in two["fetches"].collect()} == {1: "unchanged", 2: "captured"} and {r["page_id"] for r in two["written"].collect()} == {2}
 
 
