@@ -170,7 +170,7 @@ def events_previous(spark, sf_dir):
 @query("SELECT user_id, max_by(event_id, (ts, event_id)) AS latest_id FROM events GROUP BY 1")
 def events_latest(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_id"))
+    return history.first_of(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("event_id").alias("latest_id"))
 
 
 def _snapshots(spark, sf_dir):

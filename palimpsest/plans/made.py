@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.parse import parse_pages
-from palimpsest.operators import candidates, extract
+from palimpsest.operators import candidates, extract, fragments, sparse
 from palimpsest.plans.registry import query, read
 from palimpsest.sources import pages
 
@@ -156,3 +156,88 @@ def made_visible_text(spark, sf_dir):
 SELECT page_id, tag, CAST(CASE tag WHEN 'meta' THEN 3 WHEN 'p' THEN 3 WHEN 'tr' THEN n + 1 WHEN 'th' THEN 2 WHEN 'td' THEN 2 * n WHEN 'li' THEN 2 * n WHEN 'ul' THEN n WHEN 'img' THEN 2 * n + 2 WHEN 'a' THEN n WHEN 'script' THEN 3 ELSE 1 END AS BIGINT) AS n FROM g, t""")
 def made_element_counts(spark, sf_dir):
     return extract.element_counts(_parsed(spark, sf_dir, "tags"))
+
+
+# Fragments and their storage ---------------------------------------------------------------------
+
+_SIZES = fragments.Budget(target=60, maximum=90, minimum=20)
+
+
+def _articles(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """A heading and a paragraph for each part; in the edited version every fifth page has one more."""
+    g = read(spark, sf_dir, "part").withColumn("page_id", F.floor(F.col("p_partkey") / PER_PAGE).cast("long")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_brand", "p_type"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: F.concat(F.lit("<p>"), x["p_name"], F.lit(" of "), x["p_brand"], F.lit(", "), x["p_type"], F.lit("</p>"))), "")
+    more = F.when((F.col("page_id") % 5 == 0) & F.lit(edited), F.lit("<p>appended</p>")).otherwise("")
+    html = F.concat(F.lit("<h1>Block "), "page_id", F.lit("</h1>"), text, more)
+    return parse_pages(g.select("page_id", F.lit("https://parts.example.com/").alias("url"), html.alias("html")), fields=["blocks"])
+
+
+def _fragments(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    return fragments.fragments(_articles(spark, sf_dir, edited), _SIZES)
+
+
+def _packed(v: int, edited: bool) -> str:
+    """Chunks of one version: c{v} (page_id, chunk, chars, content, n), and f{v}, the fragments with bodies."""
+    more = f" UNION ALL SELECT page_id, 'appended', count(*) FROM p WHERE page_id % 5 = 0 GROUP BY 1" if edited else ""  # noqa: F541
+    new = f"(chars >= {_SIZES.target} AND chars >= {_SIZES.minimum}) OR chars + 2 + length(l{v}.t) > {_SIZES.maximum}"
+    return f"""l{v} AS (SELECT page_id, p_name || ' of ' || p_brand || ', ' || p_type AS t, i FROM p{more}),
+w{v} AS (SELECT page_id, i, 1 AS chunk, length(t) AS chars FROM l{v} WHERE i = 0 UNION ALL SELECT l{v}.page_id, l{v}.i, CASE WHEN {new} THEN chunk + 1 ELSE chunk END, CASE WHEN {new} THEN length(l{v}.t) ELSE chars + 2 + length(l{v}.t) END FROM w{v} JOIN l{v} ON l{v}.page_id = w{v}.page_id AND l{v}.i = w{v}.i + 1),
+c{v} AS (SELECT w{v}.page_id, chunk, max(chars) AS chars, string_agg(t, chr(10) || chr(10) ORDER BY w{v}.i) AS content, max(max(chunk)) OVER (PARTITION BY w{v}.page_id) AS n FROM w{v} JOIN l{v} ON l{v}.page_id = w{v}.page_id AND l{v}.i = w{v}.i GROUP BY 1, 2),
+f{v} AS (SELECT page_id, 'block-' || page_id AS id, CASE WHEN n = 1 THEN 'leaf' ELSE 'aggregate' END AS kind, CAST(NULL AS VARCHAR) AS fragment_kind, CASE WHEN n = 1 THEN chars ELSE 0 END AS chars, CASE WHEN n = 1 THEN content ELSE '' END AS content, CAST(NULL AS VARCHAR) AS parent_id, 1 AS source_order, 'fragments/001-block-' || page_id || '.md' AS file,
+    '# Block ' || page_id || chr(10) || chr(10) || CASE WHEN n = 1 THEN content ELSE array_to_string(['![[' || lpad(CAST(k + 1 AS VARCHAR), 3, '0') || '-part-' || k || '.md]]' FOR k IN range(1, n + 1)], chr(10) || chr(10)) END AS body FROM c{v} WHERE chunk = 1
+  UNION ALL SELECT page_id, 'block-' || page_id || '__part-' || chunk, 'leaf', 'content-chunk', chars, content, 'block-' || page_id, chunk + 1, 'fragments/' || lpad(CAST(chunk + 1 AS VARCHAR), 3, '0') || '-part-' || chunk || '.md', '# Block ' || page_id || ' (part ' || chunk || ')' || chr(10) || chr(10) || content FROM c{v} WHERE n > 1)"""
+
+
+_ONE = f"WITH RECURSIVE {_P}, {_packed(1, False)}"
+_BOTH = f"""{_ONE}, {_packed(2, True)},
+s AS (SELECT f2.*, coalesce(f1.body = f2.body AND f1.kind = f2.kind AND NOT (f2.parent_id IS NULL AND f2.page_id % 5 = 0), false) AS same FROM f2 LEFT JOIN f1 USING (page_id, id)),
+places AS (SELECT *, CASE WHEN same THEN 'c1' ELSE 'c2' END AS capture, 'captures/' || CASE WHEN same THEN '2025-01-01/c1' ELSE '2025-01-02/c2' END || '/codex/' || page_id || '/' || file AS path FROM s)"""
+
+
+@query(f"{_ONE} SELECT page_id, id, kind, fragment_kind, CAST(chars AS INTEGER) AS character_count, sha256(content) AS content_hash, parent_id, CAST(source_order AS INTEGER) AS source_order, file FROM f1")
+def made_fragments(spark, sf_dir):
+    return _fragments(spark, sf_dir).select("page_id", "id", "kind", "fragment_kind", "character_count", "content_hash", "parent_id", "source_order", "file")
+
+
+@query(f"{_ONE} SELECT page_id, id, file, CAST(source_order AS INTEGER) AS source_order, body FROM f1")
+def made_bodies(spark, sf_dir):
+    return fragments.bodies(_fragments(spark, sf_dir))
+
+
+@query(f"{_ONE} SELECT page_id, count(*) AS fragments, CAST(min(chars) AS INTEGER) AS min_characters, CAST(max(chars) AS INTEGER) AS max_characters, count(*) FILTER (kind = 'leaf') AS leaves FROM f1 GROUP BY 1")
+def made_fragment_sizes(spark, sf_dir):
+    return fragments.size_stats(_fragments(spark, sf_dir))
+
+
+@query(f"WITH {_P}, b AS (SELECT page_id, 1 AS block_index, 'h1' AS tag, 1 AS heading_level, 'Block ' || page_id AS heading_text, '# Block ' || page_id AS markdown FROM g UNION ALL SELECT page_id, CAST(i + 2 AS INTEGER), 'p', NULL, NULL, p_name || ' of ' || p_brand || ', ' || p_type FROM p) SELECT * FROM b")
+def made_blocks(spark, sf_dir):
+    return fragments.numbered_blocks(_articles(spark, sf_dir)).select("page_id", "block_index", "tag", "heading_level", "heading_text", "markdown")
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """Places and store behind two captures."""
+    first, second = (_fragments(spark, sf_dir, edited) for edited in (False, True))
+    none = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
+    old = sparse.materialize(first, none, "page_id", "c1", "2025-01-01")
+    new = sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
+    store = sparse.written(old, fragments.bodies(first), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(second), "page_id", "c2"))
+    return new, store
+
+
+@query(f"{_BOTH} SELECT page_id, id, capture AS materialized_capture, path AS materialized_path FROM places")
+def made_reuse(spark, sf_dir):
+    """Where each fragment of the second capture is stored."""
+    new, _ = _stored(spark, sf_dir)
+    return new.select("page_id", "id", "materialized_capture", "materialized_path")
+
+
+@query(f"{_BOTH} SELECT page_id, id, path AS materialized_path, sha256(body) AS materialized_hash, body FROM places")
+def made_current_view(spark, sf_dir):
+    """All fragments of the second capture, from wherever they are stored."""
+    return sparse.current_view(*_stored(spark, sf_dir)).select("page_id", "id", "materialized_path", "materialized_hash", "body")
+
+
+@query(f"{_BOTH} SELECT page_id, '![[' || path || ']]' AS pointers FROM places WHERE parent_id IS NULL")
+def made_pointers(spark, sf_dir):
+    """Pointers to the root fragments of every page."""
+    return sparse.composite(_stored(spark, sf_dir)[0]).select("page_id", F.array_join("pointers", "\n").alias("pointers"))
