@@ -6,6 +6,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,13 +247,39 @@ def title(parsed: DataFrame, fragments_: DataFrame, key: str = "page_id") -> Dat
     return parsed.select(key, "doc.title").join(first, key, "left").select(key, F.coalesce(F.nullif("title", F.lit("")), "h", F.lit("Codex")).alias("title"))
 
 
+#: Fields of the head of an exported fragment, in the order of the format (fixed values), with the field of the
+#: record that holds each; those marked True are left out where they do not apply.
+FRONT_MATTER = [
+    ("generated", None, False), ("capture_id", None, False), ("capture_date", None, False), ("source_key", None, False), ("fragment_id", "id", False), ("parent_id", "parent_id", False), ("fragment_kind", None, False),
+    ("table_index", "table_index", True), ("source_row_start", "row_start", True), ("source_row_end", "row_end", True), ("list_index", "list_index", True), ("list_type", "list_type", True),
+    ("source_item_start", "item_start", True), ("source_item_end", "item_end", True), ("source_block_start", "block_start", True), ("source_block_end", "block_end", True),
+    ("source_order", "source_order", False), ("heading_path", "heading_path", False), ("content_sha256", "content_hash", False),
+]
+
+
 def front_matter(r: dict, capture_id: str | None, capture_date: str | None) -> str:
-    """The YAML head of an exported fragment; fields that do not apply are left out."""
-    always = {"generated": True, "capture_id": capture_id, "capture_date": capture_date, "source_key": "codex", "fragment_id": r["id"], "parent_id": r["parent_id"], "fragment_kind": r["fragment_kind"] or r["kind"]}
-    maybe = {"table_index": r["table_index"], "source_row_start": r["row_start"], "source_row_end": r["row_end"], "list_index": r["list_index"], "list_type": r["list_type"], "source_item_start": r["item_start"], "source_item_end": r["item_end"], "source_block_start": r["block_start"], "source_block_end": r["block_end"]}
-    rest = {"source_order": r["source_order"], "heading_path": r["heading_path"], "content_sha256": r["content_hash"]}
-    fields = always | {k: v for k, v in maybe.items() if v is not None} | rest
-    return "---\n" + "".join(f"{k}: {yaml_scalar(v)}\n" for k, v in fields.items()) + "---\n\n"
+    """The YAML head of an exported fragment."""
+    given = {"generated": True, "capture_id": capture_id, "capture_date": capture_date, "source_key": "codex", "fragment_kind": r["fragment_kind"] or r["kind"]}
+    lines = []
+    for name, own, optional in FRONT_MATTER:
+        value = r[own] if own else given[name]
+        if value is not None or not optional:
+            lines.append(f"{name}: {yaml_scalar(value)}\n")
+    return f"---\n{''.join(lines)}---\n\n"
+
+
+def exported(fragments_: DataFrame, capture_id: str, capture_date: str, key: str = "page_id") -> DataFrame:
+    """key, id, file and the text of each fragment's file: front matter and body."""
+    fields = ["id", "kind", *dict.fromkeys(own for _, own, _ in FRONT_MATTER if own and own != "id"), "fragment_kind"]
+
+    @F.pandas_udf(_S)
+    def head(rows: pd.DataFrame) -> pd.Series:
+        plain = lambda v: v.tolist() if hasattr(v, "tolist") else None if v is None or v != v else v
+        whole = lambda v: int(v) if isinstance(v, float) else v
+        return pd.Series([front_matter({c: whole(plain(v)) for c, v in zip(fields, r, strict=True)}, capture_id, capture_date) for r in rows.itertuples(index=False)], dtype="object")
+
+    heads = fragments_.select(key, "id", head(F.struct(*fields)).alias("head"))
+    return bodies(fragments_, key).join(heads, [key, "id"]).select(key, "id", "file", F.concat("head", "body", F.lit("\n")).alias("text"))
 
 
 def bodies(fragments_: DataFrame, key: str = "page_id") -> DataFrame:
@@ -300,4 +327,4 @@ def numbered_blocks(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     return b.withColumn("table_index", F.when(is_table, count(is_table))).withColumn("list_index", F.when(is_list, count(is_list)))
 
 
-__all__ = ["Budget", "FRAGMENT", "STATS", "bodies", "clean_text", "document_lines", "fragment", "fragments", "front_matter", "numbered_blocks", "packed_lines", "size_stats", "split_list", "split_table", "statistics", "title"]
+__all__ = ["Budget", "FRAGMENT", "STATS", "bodies", "clean_text", "document_lines", "exported", "fragment", "fragments", "front_matter", "numbered_blocks", "packed_lines", "size_stats", "split_list", "split_table", "statistics", "title"]

@@ -214,6 +214,17 @@ def made_blocks(spark, sf_dir):
     return fragments.numbered_blocks(_articles(spark, sf_dir)).select("page_id", "block_index", "tag", "heading_level", "heading_text", "markdown")
 
 
+@query(f"""{_ONE}, h AS (SELECT page_id, '["Block ' || page_id || '"' AS path FROM g),
+span AS (SELECT page_id, chunk, min(i) + 2 AS b0, max(i) + 2 AS b1 FROM w1 GROUP BY 1, 2), whole AS (SELECT page_id, min(b0) AS b0, max(b1) AS b1 FROM span GROUP BY 1)
+SELECT f1.page_id, id, file, '---' || chr(10) || 'generated: true' || chr(10) || 'capture_id: "c1"' || chr(10) || 'capture_date: "2025-01-01"' || chr(10) || 'source_key: "codex"' || chr(10) || 'fragment_id: "' || id || '"' || chr(10)
+  || 'parent_id: ' || coalesce('"' || parent_id || '"', 'null') || chr(10) || 'fragment_kind: "' || coalesce(fragment_kind, kind) || '"' || chr(10) || 'source_block_start: ' || coalesce(span.b0, whole.b0) || chr(10) || 'source_block_end: ' || coalesce(span.b1, whole.b1) || chr(10)
+  || 'source_order: ' || source_order || chr(10) || 'heading_path: ' || h.path || CASE WHEN parent_id IS NULL THEN '' ELSE ', "Part ' || (source_order - 1) || '"' END || ']' || chr(10) || 'content_sha256: "' || sha256(content) || '"' || chr(10) || '---' || chr(10) || chr(10) || body || chr(10) AS text
+FROM f1 JOIN h USING (page_id) JOIN whole ON whole.page_id = f1.page_id LEFT JOIN span ON span.page_id = f1.page_id AND f1.parent_id IS NOT NULL AND span.chunk = f1.source_order - 1""")
+def made_exported(spark, sf_dir):
+    """Whole files of fragments, with their front matter."""
+    return fragments.exported(_fragments(spark, sf_dir), "c1", "2025-01-01")
+
+
 def _stored(spark: SparkSession, sf_dir: str):
     """Places and store behind two captures."""
     first, second = (_fragments(spark, sf_dir, edited) for edited in (False, True))
