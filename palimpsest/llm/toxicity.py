@@ -106,53 +106,55 @@ def _first(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _through(message: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A message (2, rows) behind log weights (2, 2, rows) or (2, 2), its greater part 0."""
-    weights = weights if weights.ndim == 3 else weights[..., None]
-    out = np.logaddexp(message[0] + weights[0], message[1] + weights[1])
-    return out - out.max(0)
-
-
 def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: float, first: np.ndarray | None = None):
-    """Marginals of the toxic state (log odds), and both messages of every word, up to a constant a piece.
+    """Marginals of the toxic state (log odds), and both messages of every word, each up to a factor.
 
     e: score of the toxic state against the clean one, a row for each piece; trans[a, b]: score of a
     step from a to b; first: which pieces begin a document (all, if None). The others go on
     from the piece above. What a piece does to a message is a matrix of two states by two;
     messages pass from piece to piece through these, so that marginals are those of the whole document.
+    Messages are kept as shares, scaled word by word.
     """
     p, n = e.shape
     first = np.ones(p, bool) if first is None else first
-    # from[s, t, k]: behind word t in state k, having come to the piece's first word in state s
-    come = np.full((2, n, 2, p), -1e9, np.float32)
-    come[0, 0, 0], come[1, 0, 1] = 0, e[:, 0]
+    t_, w = np.exp(trans).astype(np.float32), np.exp(np.clip(e, -30, 30)).astype(np.float32).T
+    # come[t, s, k]: behind word t in state k, having come to the piece's first word in state s
+    come = np.zeros((n, 2, 2, p), np.float32)
+    come[0, 0, 0], come[0, 1, 1] = 1, w[0]
+    short = np.flatnonzero(~mask.all(1))
     for t in range(1, n):
-        on = mask[:, t]
-        for s in range(2):
-            one = np.logaddexp(come[s, t - 1, 0] + trans[0, 0], come[s, t - 1, 1] + trans[1, 0])
-            two = np.logaddexp(come[s, t - 1, 0] + trans[0, 1], come[s, t - 1, 1] + trans[1, 1]) + e[:, t]
-            come[s, t, 0], come[s, t, 1] = np.where(on, one, come[s, t - 1, 0]), np.where(on, two, come[s, t - 1, 1])
-    whole = come[:, -1]  # (2, 2, pieces)
-    into, out = np.zeros((2, p), np.float32), np.zeros((2, p), np.float32)
-    into[1] = start
+        before, now = come[t - 1], come[t]
+        now[:, 0] = before[:, 0] * t_[0, 0] + before[:, 1] * t_[1, 0]
+        now[:, 1] = (before[:, 0] * t_[0, 1] + before[:, 1] * t_[1, 1]) * w[t]
+        now /= now.sum((0, 1))
+        past = short[~mask[short, t]]  # behind the end of a text nothing changes
+        now[..., past] = before[..., past]
+    whole = come[-1]  # (2, 2, pieces)
+    into, out = np.ones((2, p), np.float32), np.ones((2, p), np.float32)
+    into[1] = np.exp(start)
     starts = np.flatnonzero(first)
     counts = np.diff(np.append(starts, p))
     for r in range(1, int(counts.max(initial=0))):
         at = starts[counts > r] + r
-        into[:, at] = _through(_through(into[:, at - 1], whole[:, :, at - 1]), trans)
+        behind = into[0, at - 1] * whole[0][:, at - 1] + into[1, at - 1] * whole[1][:, at - 1]
+        into[:, at] = t_.T @ behind
+        into[:, at] /= into[:, at].sum(0)
     for r in range(int(counts.max(initial=0)) - 1, 0, -1):
         at = starts[counts > r] + r
-        out[:, at - 1] = _through(_through(out[:, at], whole[:, :, at].transpose(1, 0, 2)), trans.T)
-    a = np.logaddexp(into[0] + come[0], into[1] + come[1])
-    b = np.zeros((n, 2, p), np.float32)
+        ahead = whole[:, 0, at] * out[0, at] + whole[:, 1, at] * out[1, at]
+        out[:, at - 1] = t_ @ ahead
+        out[:, at - 1] /= out[:, at - 1].sum(0)
+    a = into[0] * come[:, 0] + into[1] * come[:, 1]
+    b = np.ones((n, 2, p), np.float32)
     b[-1] = out
     for t in range(n - 2, -1, -1):
-        on = mask[:, t + 1]
-        toxic = b[t + 1, 1] + e[:, t + 1]
-        b[t, 0] = np.where(on, np.logaddexp(b[t + 1, 0] + trans[0, 0], toxic + trans[0, 1]), 0)
-        b[t, 1] = np.where(on, np.logaddexp(b[t + 1, 0] + trans[1, 0], toxic + trans[1, 1]), 0)
-    log_odds = (a[:, 1] + b[:, 1] - a[:, 0] - b[:, 0]).T
-    return log_odds, a, b
+        toxic = b[t + 1, 1] * w[t + 1]
+        b[t, 0] = b[t + 1, 0] * t_[0, 0] + toxic * t_[0, 1]
+        b[t, 1] = b[t + 1, 0] * t_[1, 0] + toxic * t_[1, 1]
+        b[t] /= b[t].sum(0)
+        b[t][:, ~mask[:, t + 1]] = 1
+    share = np.maximum(a * b, np.float32(1e-37))
+    return np.log(share[:, 1] / share[:, 0]).T, a, b
 
 
 def sigmoid(x):
@@ -218,14 +220,10 @@ class Field:
             e = e.reshape(pieces, PIECE)
             odds, a, b = forward_backward(e, mask, self.trans, self.start, first)
             miss = (sigmoid(odds).reshape(-1)[cells] - y).astype(np.float32)
-            log_z = np.logaddexp(a[0, 0] + b[0, 0], a[0, 1] + b[0, 1])
-            expected = np.zeros((2, 2))
-            for i in range(2):
-                for j in range(2):
-                    x = a[:-1, i] + b[1:, j] + self.trans[i, j] - log_z + (e.T[1:] if j else 0)
-                    expected[i, j] = (np.exp(np.minimum(x, 0)) * steps.T).sum()
-            across = np.array([[a[-1, i, on - 1] + self.trans[i, j] + (e[on, 0] if j else 0) + b[0, j, on] for j in range(2)] for i in range(2)])
-            expected += np.exp(across - np.logaddexp.reduce(across.reshape(4, -1), 0)).sum(2)
+            t_, w = np.exp(self.trans), np.exp(np.clip(e, -30, 30)).T
+            inner = np.array([[a[:-1, i] * t_[i, j] * b[1:, j] * (w[1:] if j else 1) for j in range(2)] for i in range(2)])
+            across = np.array([[a[-1, i, on - 1] * t_[i, j] * b[0, j, on] * (w[0, on] if j else 1) for j in range(2)] for i in range(2)])
+            expected = (inner / np.maximum(inner.sum((0, 1)), 1e-37) * steps.T).sum((2, 3)) + (across / np.maximum(across.sum((0, 1)), 1e-37)).sum(2)
             self.word = step("word", self.word, np.bincount(flat, np.repeat(miss, N_KEYS), size) / n + l2 / n * self.word)
             self.word[0] = 0
             self.before = step("before", self.before, np.bincount(slots[:-1][joined], miss[1:][joined], size) / n + 20 * l2 / n * self.before)
