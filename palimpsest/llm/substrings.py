@@ -152,7 +152,9 @@ def _answers(rows: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                 ps = [p for p in ps if p + window <= len(ws)]
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(ps), pa.int64()), pa.array(ps, pa.int32()), pa.array([digest(ws, p, window) for p in ps], pa.binary())], names=["reference", "position", "digest"])
 
-    given = rows.select("doc_id", "text").join(asked.groupBy(F.col("reference").alias("doc_id")).agg(F.collect_list("position").alias("positions")), "doc_id")
+    positions = asked.groupBy(F.col("reference").alias("doc_id")).agg(F.collect_list("position").alias("positions"))
+    # merged, not broadcast where little is asked: disk and shuffle then follow the input alike at every size
+    given = rows.select("doc_id", "text").join(positions.hint("merge"), "doc_id")
     return given.mapInArrow(run, "reference long, position int, digest binary").groupBy("reference", "position").agg(F.collect_set("digest").alias("digests"))
 
 
