@@ -83,3 +83,38 @@ def test_large_components(spark, size):
     want = [(q, n, i, max(low, min(high, s))) for q, n, i, s in brute(rows)]
     got = run(spark, rows)
     assert sorted((q, s) for q, _, _, s in got) == sorted((q, s) for q, _, _, s in want) and (size > 1e14 or got == want)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64, np.int64, object])
+def test_queries_of_a_block_read_its_lists_together(monkeypatch, kind):
+    """Reads do not grow with the queries; all of a query's best rows are found, behind the score carried over."""
+    r, reads = np.random.default_rng(4), []
+    x = np.round(r.standard_normal((1200, 32)) * 8).astype(np.int64)
+    x[700:760] = x[20]
+    ids = r.integers(0, 1100, 1200)  # some repeated
+    asked = np.arange(0, 1200, 6)
+    full = x[asked] @ x.T
+    for_real = topk.Lists.read
+    monkeypatch.setattr(topk.Lists, "read", lambda *a: reads.append(a[1:]) or for_real(*a))
+    floors = np.full(len(asked), topk._least(np.dtype(kind))).astype(kind)
+    for start in (0, 600):
+        block = slice(start, start + 600)
+        one = topk.Search(topk.Lists(x[block].astype(kind)), ids[block], ids[asked], x[asked].astype(kind), 20)
+        parts = [one.run(slice(i, i + 64), floors[i : i + 64]) for i in range(0, len(asked), 64)]
+        of, rows, scores = (np.concatenate(p) for p in zip(*parts, strict=True))
+        found = sorted(zip(of.tolist(), rows.tolist(), map(int, scores), strict=True))
+        for i in range(len(asked)):
+            want = [(int(s), j) for j, s in enumerate(full[i, block]) if ids[block][j] != ids[asked[i]]]
+            bound = max(int(floors[i]) if start else -(1 << 62), sorted(want, reverse=True)[19][0])
+            assert {(j, s) for o, j, s in found if o == i} >= {(j, s) for s, j in want if s >= bound}
+            floors[i] = bound
+    assert len(reads) <= 2 * len(topk.ROUNDS) * 2 * 32
+
+
+def test_tasks_are_not_joined(spark):
+    """Work follows the pairs of blocks, not their bytes, so small partitions stay apart."""
+    rows = spark.range(400).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(64)) for i in range(4)]).alias("v"))
+    out = topk.topk(rows, rows.filter(F.col("id") % 20 == 0))
+    assert out.count() == 400
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
