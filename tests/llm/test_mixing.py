@@ -81,3 +81,54 @@ def test_deviation_from_the_weights_asked_for(spark):
     for s, p in given.items():
         for t in range(q + 1):
             assert abs(sum(x < t for x in slots[s]) - t * p / q) < 1
+
+
+def plain(weights, blocks):
+    """Slot of every block, slot by slot."""
+    left, done, out, t, now = dict(blocks), Counter(), {}, 0, Counter()
+    while any(left.values()):
+        q = sum(weights[s] for s in left if left[s])
+        s = min((-(-(now[s] + 1) * q // weights[s]), s) for s in left if left[s] and now[s] * q // weights[s] <= t)[1]
+        out[s, done[s]] = len(out)
+        done[s], now[s], left[s], t = done[s] + 1, now[s] + 1, left[s] - 1, t + 1
+        if not left[s]:
+            t, now = 0, Counter()
+    return out
+
+
+def test_phases_equal_the_plain_schedule():
+    r = random.Random(5)
+    for n in (1, 2, 3, 9, 40, 120):
+        for top in (1, 2, 12, 60):
+            w, b = ({f"s{i}": r.randint(1, x) for i in range(n)} for x in (top, r.choice([1, 3, 50])))
+            got = {}
+            for x in mixing.phases(w, b):
+                for j in range(x["n_blocks"]):
+                    got[x["source"], x["first_block"] + j] = x["base"] + x["q"] * (j // len(x["slots"])) + x["slots"][j % len(x["slots"])]
+            assert got == plain(w, b)
+
+
+@pytest.mark.parametrize("limit", [4, 500])
+def test_every_source_has_a_schedule_of_its_own(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "WIDE", limit)
+    counts = {"a": 900, "b": 60, "c": 30, "": 11} | {f"x{i}": 5 + i % 3 for i in range(9)}
+    out = mixing.schedule(frame(spark, counts), block=3).collect()
+    want = plain(mixing.default_weights(counts), {s: -(-n // 3) for s, n in counts.items()})
+    assert {(r["source"], r["block"]): r["slot"] for r in out} == want
+    assert sorted(Counter(r["slot"] for r in out).values())[-1] == 3 and len({r["seq"] for r in out}) == len(out) == sum(counts.values())
+
+
+def test_many_sources_are_laid_out_in_proportion():
+    """Twenty thousand sources of a few blocks: rows of the plan stay within the blocks."""
+    r = random.Random(6)
+    blocks = {f"s{i}": r.randint(1, 6) for i in range(20000)}
+    plan = mixing.phases(dict.fromkeys(blocks, 1) | {"s0": 9, "s7": 4}, blocks)
+    assert sum(x["n_blocks"] for x in plan) == sum(blocks.values()) and len(plan) <= sum(blocks.values())
+    assert sum(len(x["slots"]) for x in plan) <= sum(blocks.values())
+
+
+def test_more_than_five_hundred_sources(spark):
+    counts = {f"x{i}": 1 + i % 5 for i in range(700)}
+    out = mixing.schedule(frame(spark, counts), block=2).collect()
+    want = plain(mixing.default_weights(counts), {s: -(-n // 2) for s, n in counts.items()})
+    assert {(r["source"], r["block"]): r["slot"] for r in out} == want and len(out) == sum(counts.values())
