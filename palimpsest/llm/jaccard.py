@@ -43,14 +43,14 @@ PERCENT = 85
 #: Relative width of a size class of a group.
 CLASS = 0.05
 #: Entries of the table of widespread tokens (a power of two), of which at most an eighth is used;
-#: count from which a token may enter it; tokens that a task counts at a time.
-CELLS, LEAST, CHUNK = 1 << 24, 4, 4_000_000
+#: count from which a token may enter it; tokens that a task counts at a time, and handles at a time.
+CELLS, LEAST, CHUNK, SOME = 1 << 24, 4, 4_000_000, 250_000
 #: Members of a group and queries of one task for it, at most about; tokens of either.
 PART, QUERIES, WEIGHT = 256, 512, 1_000_000
 
 
-#: Hashes of words, of all groups that a Python worker opens.
-_MEMO = words.WordHashes()
+#: Hashes of words, of all groups that a Python worker opens. It outlives the query, so it is small.
+_MEMO = words.WordHashes(100_000)
 
 
 def token_set(text: bytes, hashes: words.WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -90,6 +90,34 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
+def tally(held: np.ndarray, bits: int):
+    """Batches (bucket, times, cells) of tokens by their leading bits and, in powers of two, by how often they
+    occur. The tokens are sorted in place and taken in parts, so that little memory is needed beside them."""
+    held.sort()
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    edges = np.append(np.searchsorted(held, starts), len(held))
+    first = 0
+    while first < len(starts):
+        # buckets of about SOME tokens, at least one bucket
+        past = max(first + 1, int(np.searchsorted(edges, edges[first] + SOME, side="right")) - 1)
+        part = held[edges[first] : edges[past]]
+        first = past
+        if not len(part):
+            continue
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        tokens, power = part[at], np.log2(np.diff(at, append=len(part))).astype(np.int8)
+        rows: list[list] = [[], [], []]
+        for p in np.unique(power).tolist():
+            some = tokens[power == p]
+            bucket = (some >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            pieces = np.split((some >> np.uint64(32 - bits)).astype(np.uint32), cuts)
+            rows[0] += bucket[np.concatenate([[0], cuts])].tolist()
+            rows[1] += [1 << p] * len(pieces)
+            rows[2] += map(pack, pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["bucket", "times", "cells"])
+
+
 def _counted(key, table):
     """Places in the table of the widespread tokens of one bucket, by level (power of two of the count)."""
     bucket, shift = key[0].as_py(), key[1].as_py()
@@ -114,36 +142,24 @@ def spread(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     bits = max(6, (size // 2_000_000).bit_length())
 
     def run(batches):
-        hashes, held, n, seen = words.WordHashes(), [], 0, set()
-
-        def flush():
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            power, rows = np.log2(times).astype(np.int64), [[], [], []]
-            for p in np.unique(power).tolist():
-                some = tokens[power == p]
-                bucket = (some >> np.uint64(64 - bits)).astype(np.int64)
-                edges = np.flatnonzero(np.diff(bucket)) + 1
-                pieces = np.split((some >> np.uint64(32 - bits)).astype(np.uint32), edges)
-                rows[0] += bucket[np.concatenate([[0], edges])].tolist()
-                rows[1] += [1 << p] * len(pieces)
-                rows[2] += map(pack, pieces)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["bucket", "times", "cells"])
-
+        hashes, held, n, seen = words.WordHashes(), np.empty(CHUNK, np.uint64), 0, set()
         for batch in words.small_batches(batches):
             for t in words.texts(batch):
                 s = token_set(t, hashes, k)
                 name = xxhash.xxh3_64_intdigest(s.tobytes())
                 if not len(s) or name in seen:  # copies close by need not count
                     continue
+                if n and n + len(s) > CHUNK:
+                    yield from tally(held[:n], bits)
+                    n = 0
+                    seen.clear()
                 seen.add(name)
-                held.append(s)
+                if len(s) > len(held):
+                    held = np.empty(len(s), np.uint64)
+                held[n : n + len(s)] = s
                 n += len(s)
-                if n >= CHUNK:
-                    yield flush()
-                    held, n = [], 0
-                    seen.clear()
         if n:
-            yield flush()
+            yield from tally(held[:n], bits)
 
     cells = docs.select("text").mapInArrow(run, "bucket long, times long, cells binary").withColumn("shift", F.lit(32 - bits).cast("long"))
     found = words.store(cells.groupBy("bucket", "shift").applyInArrow(_counted, "level int, n long, places binary"))

@@ -140,3 +140,36 @@ def test_all_links_of_families(spark, monkeypatch):
     out = {r["doc_id"]: r for r in jaccard.linked_components(d, 80, 5).collect()}
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in out.items()} == brute(rows, 80, 5)
     assert all(out[i]["n_links"] == sum(i in p for p in want) for i in sets)
+
+
+def test_tally_needs_little_memory_beside_its_tokens():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    held = np.concatenate([r.integers(0, 1 << 64, 1_500_000, np.uint64), np.repeat(r.integers(0, 1 << 64, 100_000, np.uint64), 5)])
+    tokens, times = np.unique(held, return_counts=True)
+    got, size = {}, 0
+    tracemalloc.start()
+    try:
+        for batch in jaccard.tally(held, 8):
+            size += batch.nbytes
+            for bucket, n, cells in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                assert (bucket, n) not in got
+                got[bucket, n] = cells
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak - size < held.nbytes  # np.unique alone takes four times the tokens
+    for (bucket, n), cells in got.items():
+        mine = tokens[(tokens >> np.uint64(56) == bucket) & (np.log2(times).astype(int) == n.bit_length() - 1)]
+        assert (jaccard.unpack(cells) == (mine >> np.uint64(24)).astype(np.uint32)).all()
+    assert sum(len(c) // 4 for c in got.values()) == len(tokens)
+
+
+def test_tokens_of_many_flushes_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 50)
+    monkeypatch.setattr(jaccard, "SOME", 7)
+    rows = families()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, *_ in rows], SCHEMA)
+    want = brute(rows, 85, 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs).collect()} == want
