@@ -45,14 +45,24 @@ ROUNDS, SHARD, PIECES = 3, 1_500_000, 16
 RATES = 0.004, 0.0005
 #: Steps of a window; documents scored side by side, and bytes of them.
 STEPS, SIDE, SIDE_BYTES = 48, 4096, 16 << 20
+#: Documents that are scored in step, and tokens whose softmax is in memory at once.
+LANES, TOGETHER = 1024, 8192
 
 OTHER, END, START = SHORTLIST, SHORTLIST + 1, SHORTLIST + 2
 SYMBOLS = SHORTLIST + 3
-_CLASS = np.concatenate([np.arange(SHORTLIST) // PER_CLASS, [CLASSES, CLASSES + 1]]).astype(np.int64)
+_CLASS = np.concatenate([np.arange(SHORTLIST) // PER_CLASS, [CLASSES, CLASSES + 1]]).astype(np.int8)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _softmax(logits: np.ndarray, pick: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of each row's pick; exponentials of the logits, in their place, and their sums by row.
+
+    spread: how far a row's greatest logit may be from 0, beyond which rows are moved to it."""
+    if not spread < 80:
+        logits -= logits.max(1, keepdims=True)
+    chosen = logits[np.arange(len(pick)), pick]
+    e = np.exp(logits, out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    return chosen - np.log(total), e, total
 
 
 class Network:
@@ -64,57 +74,86 @@ class Network:
         self.w = {"x": draw(SYMBOLS, 3 * h), "u": draw(h, 3 * h), "c": draw(h, CLASSES + 2), "bc": np.zeros(CLASSES + 2, np.float32), "o": draw(SHORTLIST, h), "bo": np.zeros(SHORTLIST, np.float32)}
 
     def run(self, ids: np.ndarray, state: np.ndarray, keep: list | None = None, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States behind each step of ids (steps, rows), and the last; where ``on`` is 0 the state before is forgotten."""
-        h, x, u = HIDDEN, self.w["x"], self.w["u"]
-        out = np.empty((*ids.shape, h), np.float32)
-        for t in range(len(ids)):
-            if on is not None:
-                state = state * on[t]
-            g, a = x[ids[t]], state @ u
-            zr = _sigmoid(g[:, : 2 * h] + a[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(g[:, 2 * h :] + r * a[:, 2 * h :])
-            if keep is not None:
-                keep.append((state, z, r, n, a[:, 2 * h :]))
-            state = out[t] = n + z * (state - n)
+        """States behind each step of ids (steps, rows), and the last; where ``on`` is 0 the state before is forgotten.
+
+        ``keep`` takes the states before, gates (z, r), candidates and their recurrent inputs of all steps."""
+        h, kind, (steps, rows) = HIDDEN, self.w["x"].dtype, ids.shape
+        # by gate; of z and r negated, as the sigmoid needs them
+        x, u = (np.ascontiguousarray(self.w[k].reshape(-1, 3, h).transpose(1, 0, 2)) * np.array([-1, -1, 1], kind)[:, None, None] for k in ("x", "u"))
+        out = np.empty((steps, rows, h), kind)
+        if keep is not None:
+            keep += [np.empty((steps, rows, h), kind), np.empty((steps, 2, rows, h), kind), np.empty((steps, rows, h), kind), np.empty((steps, rows, h), kind)]
+        g, a = np.empty((2, 3, rows, h), kind)
+        with np.errstate(over="ignore"):  # 1 / inf is 0
+            for t in range(steps):
+                if on is not None:
+                    state = state * on[t]
+                np.take(x, ids[t], axis=1, out=g, mode="clip")
+                np.matmul(state, u, out=a)
+                zr = a[:2] if keep is None else keep[1][t]
+                np.add(a[:2], g[:2], out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                n = g[2]
+                if keep is not None:
+                    keep[0][t], keep[3][t] = state, a[2]
+                a[2] *= zr[1]
+                n += a[2]
+                np.tanh(n, out=n)
+                if keep is not None:
+                    keep[2][t] = n
+                new = np.subtract(state, n, out=out[t])
+                new *= zr[0]
+                new += n
+                state = new
         return out, state
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target behind its state; with grads, the gradient of
         their negative sum by the state, and by the weights."""
-        cls = _CLASS[targets]
-        rows = np.arange(len(targets))
-        logits = h @ self.w["c"] + self.w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        out = logits[rows, cls] - np.log(total[:, 0])
-        dh = None
-        if grads is not None:
-            d = e / total
-            d[rows, cls] -= 1
-            grads["c"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            dh = d @ self.w["c"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
+        kind = self.w["o"].dtype
+        # biases as weights of an input that is always 1, less the greatest of the softmax
+        c = np.concatenate([self.w["c"], [self.w["bc"] - self.w["bc"].max()]]).astype(kind)
+        bo = self.w["bo"].reshape(CLASSES, PER_CLASS)
+        o = np.concatenate([self.w["o"], (bo - bo.max(1, keepdims=True)).reshape(-1, 1)], 1)
+        spreads = [float(np.abs(w).sum(axis).max()) for w, axis in ((c[:-1], 0), (o[:, :-1], 1))]
+        out, dh = np.empty(len(targets), kind), None if grads is None else np.empty(h.shape, kind)
+        for at in range(0, len(targets), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            cls = _CLASS[targets[part]]
+            order = np.argsort(cls, kind="stable")
+            cls, hs = cls[order], np.ones((len(order), HIDDEN + 1), kind)
+            hs[:, :-1] = h[part][order]
+            most = max(1.0, float(np.abs(hs).max()))
+            edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+            spans = [(slice(edges[k], edges[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)) for k in range(CLASSES) if edges[k] < edges[k + 1]]
+            lp, e, total = _softmax(hs @ c, cls, most * spreads[0])
+            inner = np.empty((edges[-1], PER_CLASS), kind)
+            for rows, span in spans:
+                np.matmul(hs[rows], o[span].T, out=inner[rows])
+            pick = targets[part][order[: edges[-1]]] - cls[: edges[-1]].astype(np.int64) * PER_CLASS
+            within, f, within_total = _softmax(inner, pick, most * spreads[1])
+            lp[: edges[-1]] += within
+            back = np.empty_like(lp)
+            back[order] = lp
+            out[part] = back
+            if grads is None:
                 continue
-            span = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            l = h[at] @ self.w["o"][span].T + self.w["bo"][span]  # noqa: E741
-            l -= l.max(1, keepdims=True)
-            e = np.exp(l)
-            total = e.sum(1, keepdims=True)
-            pick = targets[at] - c * PER_CLASS
-            out[at] += l[np.arange(len(at)), pick] - np.log(total[:, 0])
-            if grads is not None:
-                d = e / total
-                d[np.arange(len(at)), pick] -= 1
-                grads["o"][span] += d.T @ h[at]
-                grads["bo"][span] += d.sum(0)
-                dh[at] += d @ self.w["o"][span]
+            e /= total[:, None]
+            e[np.arange(len(cls)), cls] -= 1
+            by = hs.T @ e
+            grads["c"] += by[:-1]
+            grads["bc"] += by[-1]
+            d = e @ c[:-1].T
+            f /= within_total[:, None]
+            f[np.arange(len(pick)), pick] -= 1
+            for rows, span in spans:
+                by = f[rows].T @ hs[rows]
+                grads["o"][span] += by[:, :-1]
+                grads["bo"][span] += by[:, -1]
+                d[rows] += f[rows] @ o[span, :-1]
+            dh[part][order] = d
         return out, dh
 
     def _window(self, ids, targets, mask, state, carry=None) -> tuple[dict, np.ndarray, float, int]:
@@ -127,24 +166,31 @@ class Network:
         up = np.zeros_like(flat)
         up[on] = dh
         up = up.reshape(hs.shape)
-        h, back = HIDDEN, np.zeros_like(state)
-        dg, da = np.empty((2, *ids.shape, 3 * h), np.float32)
+        h, back, (prev, zr, n, an) = HIDDEN, np.zeros(state.shape, hs.dtype), keep
+        z, r = zr[:, 0], zr[:, 1]
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (prev - n) * z * (1 - z)
+        by_r = an * r * (1 - r)
+        u = np.ascontiguousarray(self.w["u"].reshape(h, 3, h).transpose(1, 2, 0))
+        dn, da, passed = np.empty_like(hs), np.empty((3, *hs.shape), hs.dtype), np.empty((3, *state.shape), hs.dtype)
         for t in range(len(ids) - 1, -1, -1):
-            prev, z, r, n, an = keep[t]
-            d = up[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (prev - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dg[t, :, :h] = da[t, :, :h] = dz
-            dg[t, :, h : 2 * h] = da[t, :, h : 2 * h] = dr
-            dg[t, :, 2 * h :], da[t, :, 2 * h :] = dn, dn * r
-            back = d * z + da[t] @ self.w["u"].T
+            back += up[t]
+            np.multiply(back, by_n[t], out=dn[t])
+            np.multiply(back, by_z[t], out=da[0, t])
+            np.multiply(dn[t], by_r[t], out=da[1, t])
+            np.multiply(dn[t], r[t], out=da[2, t])
+            np.matmul(da[:, t], u, out=passed)
+            back *= z[t]
+            for p in passed:
+                back += p
             if carry is not None:
                 back *= carry[t]
-        grads["u"] += np.concatenate([s[0] for s in keep]).T @ da.reshape(-1, 3 * h)
-        order = np.argsort(ids.ravel(), kind="stable")
+        before = prev.reshape(-1, h).T
+        grads["u"] += np.concatenate([before @ d.reshape(-1, h) for d in da], 1)
+        order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
         seen, first = np.unique(ids.ravel()[order], return_index=True)
-        grads["x"][seen] = np.add.reduceat(dg.reshape(-1, 3 * h)[order], first, axis=0)
+        for k, d in enumerate((da[0], da[1], dn)):
+            grads["x"][seen, k * h : (k + 1) * h] = np.add.reduceat(d.reshape(-1, h)[order], first, axis=0)
         return grads, last, float(lp.sum()), int(on.sum())
 
     def train(self, docs: list[np.ndarray], side: int = 32, steps: int = 24, epochs: int = 3, rates: tuple[float, float] = (0.01, 0.001)) -> int:
@@ -167,9 +213,16 @@ class Network:
                 for name, g in grads.items():
                     g *= np.float32(steps / n)
                     np.clip(g, -5, 5, out=g)
-                    m[name] += np.float32(0.1) * (g - m[name])
-                    v[name] += np.float32(0.01) * (g * g - v[name])
-                    self.w[name] -= lr * (m[name] / np.float32(1 - 0.9**k)) / (np.sqrt(v[name] / np.float32(1 - 0.99**k)) + np.float32(1e-6))
+                    m[name] *= np.float32(0.9)
+                    m[name] += np.float32(0.1) * g
+                    v[name] *= np.float32(0.99)
+                    v[name] += np.float32(0.01) * np.square(g, out=g)
+                    by = np.sqrt(v[name])
+                    by *= np.float32(1 / (1 - 0.99**k) ** 0.5)
+                    by += np.float32(1e-6)
+                    np.divide(m[name], by, out=by)
+                    by *= lr / np.float32(1 - 0.9**k)
+                    self.w[name] -= by
         return trained
 
     def flat(self) -> np.ndarray:
@@ -185,19 +238,21 @@ class Network:
         """Natural log probability of each document's symbols, whole."""
         out = np.zeros(len(docs))
         order = np.argsort([-len(d) for d in docs], kind="stable")
-        group = [docs[i] for i in order]
-        lengths = np.array([len(d) for d in group])
-        state = np.zeros((len(group), HIDDEN), np.float32)
-        for at in range(0, lengths[0] if len(group) else 0, STEPS):
-            live = int((lengths > at).sum())
-            ids, targets, mask = _lay(group[:live], at, STEPS)
-            hs, state = self.run(ids, state[:live])
-            on = mask.ravel()
-            lp, _ = self.log_probs(hs.reshape(-1, HIDDEN)[on], targets.ravel()[on])
-            out[:live] += np.bincount(np.tile(np.arange(live), len(ids))[on], lp, live)
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+        for first in range(0, len(docs), LANES):
+            places = order[first : first + LANES]
+            flat = np.concatenate([docs[i] for i in places])
+            lengths = np.array([len(docs[i]) for i in places])
+            starts = np.cumsum(lengths) - lengths
+            state, sums = np.zeros((len(places), HIDDEN), np.float32), np.zeros(len(places))
+            for at in range(0, lengths[0], STEPS):
+                live = int((lengths > at).sum())
+                ids, targets, mask = _cut(flat, starts[:live], lengths[:live], at, STEPS)
+                hs, state = self.run(ids, state[:live])
+                on = mask.ravel()
+                lp, _ = self.log_probs(hs.reshape(-1, HIDDEN)[on], targets.ravel()[on])
+                sums[:live] += np.bincount(np.tile(np.arange(live), len(ids))[on], lp, live)
+            out[places] = sums
+        return out
 
 
 def _lanes(docs: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,18 +277,17 @@ def _lanes(docs: list[np.ndarray], side: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _lay(group: list[np.ndarray], at: int, steps: int):
     """Inputs, targets and mask (steps, rows) of a window from ``at``."""
-    steps = min(steps, max(len(d) for d in group) - at)
-    targets = np.full((steps, len(group)), END, np.int64)
-    ids = np.full((steps, len(group)), START, np.int64)
-    mask = np.zeros((steps, len(group)), bool)
-    for j, d in enumerate(group):
-        part = d[at : at + steps]
-        n = len(part)
-        targets[:n, j], mask[:n, j] = part, True
-        if at and n:
-            ids[:n, j] = d[at - 1 : at - 1 + n]
-        elif n > 1:
-            ids[1:n, j] = part[:-1]
+    lengths = np.array([len(d) for d in group])
+    return _cut(np.concatenate(group), np.cumsum(lengths) - lengths, lengths, at, steps)
+
+
+def _cut(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: int, steps: int):
+    """The same, of documents that lie end to end."""
+    t = np.arange(at, at + min(steps, int(lengths.max()) - at))[:, None]
+    mask = t < lengths
+    place = np.where(mask, starts + t, 0)
+    targets = np.where(mask, flat[place], END)
+    ids = np.where(mask & (t > 0), flat[place - 1], START)
     return ids, targets, mask
 
 
@@ -406,13 +460,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in words.small_batches(batches, SIDE, SIDE_BYTES):
             rows = [codes.of(t.lower().split()) for t in words.texts(batch)]
             lm = m.network.score([symbols(r) for r in rows]) / np.log(10)
-            known, base, tails, times = [], [], [], []
-            for i, r in enumerate(rows):
-                at = r[r < HEAD].astype(np.int64)
-                h, c = np.unique(r[r >= HEAD], return_counts=True)
-                known.append(len(at) + (m.n_docs > 0))
-                base.append(float(m.base[at].sum()) + m.end_base)
-                lm[i] += m.inside[at].sum()
+            flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
+            of, head = np.repeat(np.arange(len(rows)), lengths), flat < HEAD
+            at, mine = flat[head].astype(np.int64), of[head]
+            known = np.bincount(mine, minlength=len(rows)) + (m.n_docs > 0)
+            base = np.bincount(mine, m.base[at], len(rows)) + m.end_base
+            lm += np.bincount(mine, m.inside[at], len(rows))
+            tails, times = [], []
+            for r in np.split(flat[~head], np.cumsum(lengths - np.bincount(mine, minlength=len(rows)))[:-1]):
+                h, c = np.unique(r, return_counts=True) if len(r) > 1 else (r, np.ones(len(r), np.int64))
                 tails.append(h)
                 times.append(c.astype(np.uint64))
             cols = [batch.column("rid"), *(batch.column(f"r{i}") for i in range(len(rest))), pa.array([len(r) + 1 for r in rows], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(lm), words.long_lists(tails), words.long_lists(times)]

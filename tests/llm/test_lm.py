@@ -128,3 +128,30 @@ def test_lanes_hold_every_token_once():
     targets, ids, lengths = lm._lanes(docs, 3)
     on = np.arange(len(targets))[:, None] < lengths
     assert on.sum() == sum(map(len, docs)) and (ids[on] == lm.START).sum() == len(docs) == (targets[on] == lm.END).sum()
+
+
+def test_softmax_of_far_logits():
+    """Rows that exponentials of 32 bits cannot hold are moved to their greatest logit."""
+    logits = np.array([[300.0, 299.0, -300.0], [-200.0, -201.0, -202.0]], np.float32)
+    lp, e, total = lm._softmax(logits.copy(), np.array([1, 2]), 300.0)
+    want = [logits[i].astype(float) - np.log(np.exp(logits[i].astype(float) - logits[i].max()).sum()) - logits[i].max() for i in (0, 1)]
+    assert np.allclose(lp, [want[0][1], want[1][2]], atol=1e-4) and np.isfinite(e / total[:, None]).all()
+
+
+def test_steps_and_softmax_take_few_calls(monkeypatch):
+    """What a window costs beside its numbers: one batch of exponentials a step, and two of the softmax."""
+    net, r, seen = lm.Network(), np.random.default_rng(3), []
+    for_real = np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda *a, **k: seen.append(1) or for_real(*a, **k))
+    ids = r.integers(0, lm.SHORTLIST, (24, 64))
+    net._window(ids, ids, np.ones(ids.shape, bool), np.zeros((64, lm.HIDDEN), np.float32))
+    assert len(seen) == 24 + 2
+
+
+def test_scores_do_not_depend_on_what_is_scored_beside(monkeypatch):
+    r, net = np.random.default_rng(8), lm.Network()
+    docs = [np.append(r.integers(0, lm.OTHER + 1, n), lm.END) for n in (0, 7, 130, 60, 49, 1, 300)]
+    whole = net.score(docs)
+    monkeypatch.setattr(lm, "LANES", 2)
+    monkeypatch.setattr(lm, "TOGETHER", 13)
+    assert np.allclose(net.score(docs), whole, rtol=1e-5) and np.allclose([net.score([d])[0] for d in docs], whole, rtol=1e-5)
