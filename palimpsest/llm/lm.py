@@ -24,6 +24,7 @@ training documents every count is 0 and the network is untrained. Repeated rows
 from __future__ import annotations
 
 import heapq
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -291,6 +292,60 @@ def _cut(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: int, ste
     return ids, targets, mask
 
 
+def hashed(words_: list[bytes]) -> np.ndarray:
+    """Hashes of words, without a memo: where most words are rare, looking one up takes longer."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words_), np.uint64, len(words_))
+
+
+class Codes(dict):
+    """Places of the words in a table of hashes; a memo of those of them that were met.
+
+    Hashes are found by levels of slots, each for those whose slot in the level before is another's."""
+
+    def __init__(self, rank: dict[int, int]):
+        super().__init__()
+        self.rank, self.levels = rank, []
+        hashes, places = np.fromiter(rank.keys(), np.uint64, len(rank)), np.fromiter(rank.values(), np.uint64, len(rank))
+        factor = words.BASE
+        while len(hashes):
+            odd, bits = np.uint64(factor), len(hashes).bit_length() + 2
+            slot = (hashes * odd) >> np.uint64(64 - bits)
+            _, first = np.unique(slot, return_index=True)
+            table = np.full(1 << bits, first[0], np.int32)
+            table[slot[first]] = first
+            self.levels.append((odd, np.uint64(64 - bits), table, hashes, places))
+            hashes, places = np.delete(hashes, first), np.delete(places, first)
+            factor = (factor * words.BASE + 2) % (1 << 64)  # odd
+
+    def of(self, words_: list[bytes]) -> np.ndarray:
+        """Places, or hashes (moved to HEAD or above)."""
+        h = hashed(words_)
+        out = np.where(h < HEAD, h + np.uint64(HEAD), h)
+        rest = np.arange(len(h))
+        for odd, shift, table, hashes, places in self.levels:
+            at = table[(h * odd) >> shift]
+            found = hashes[at] == h
+            out[rest[found]] = places[at[found]]
+            h, rest = h[~found], rest[~found]
+        return out
+
+    def of_texts(self, texts, together: int = 256) -> list[np.ndarray]:
+        """The same for each text, as many at once."""
+        out, texts = [], iter(texts)
+        while split := [t.lower().split() for t in islice(texts, together)]:
+            codes = self.of(list(chain.from_iterable(split)))
+            out += np.split(codes, np.cumsum([len(x) for x in split])[:-1])
+        return out
+
+    def among(self, words_: list[bytes], other: int) -> np.ndarray:
+        """Places (16-bit), and ``other`` for words outside the table: once all of it was met, without their hashes."""
+        if len(self) < len(self.rank):
+            places = self.of(words_)
+            self.update((words_[i], int(places[i])) for i in np.flatnonzero(places < HEAD).tolist())
+            return np.where(places < HEAD, places, np.uint64(other)).astype(np.int16)
+        return np.fromiter(map(self.get, words_, repeat(other)), np.int16, len(words_))
+
+
 class Model:
     """Counts of the head and totals, and the network."""
 
@@ -313,19 +368,9 @@ class Model:
             self.network.w["bo"] = np.log(w).astype(np.float32)
             self.network.w["bc"] = np.log([*w.reshape(CLASSES, PER_CLASS).sum(1), self.other_total, n_docs + 1]).astype(np.float32)
 
-    def codes(self, limit: int = 400_000) -> words.WordHashes:
+    def codes(self) -> Codes:
         """Words to their place in the head, or to their hash (never below HEAD)."""
-        rank = self.rank
-
-        class Codes(words.WordHashes):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= self.limit:
-                    self.clear()
-                h = xxhash.xxh3_64_intdigest(word)
-                value = self[word] = rank.get(h, h if h >= HEAD else h + HEAD)
-                return value
-
-        return Codes(limit)
+        return Codes(self.rank)
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
@@ -337,7 +382,7 @@ def count_words(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
     """hash and count of every word of the texts, combined by partition before the shuffle."""
 
     def run(batches):
-        hashes, held, n = words.WordHashes(), [], 0
+        held, n = [], 0
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -345,7 +390,7 @@ def count_words(docs: DataFrame, chunk: int = 4_000_000) -> DataFrame:
 
         for batch in words.small_batches(batches):
             for t in words.texts(batch):
-                h = hashes.of(t.lower().split())
+                h = hashed(t.lower().split())
                 held.append(h)
                 n += len(h)
             if n >= chunk:
@@ -390,18 +435,9 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast([h for h, i in model.rank.items() if i < SHORTLIST])
 
     def run(batches):
-        places = {h: i for i, h in enumerate(given.value)}
-
-        class Places(words.WordHashes):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= self.limit:
-                    self.clear()
-                value = self[word] = places.get(xxhash.xxh3_64_intdigest(word), OTHER)
-                return value
-
-        codes = Places()
+        codes = Codes({h: i for i, h in enumerate(given.value)})
         for batch in words.small_batches(batches):
-            rows = [np.append(codes.of(t.lower().split()).astype(np.int16), np.int16(END)) for t in words.texts(batch)]
+            rows = [np.append(codes.among(t.lower().split(), OTHER), np.int16(END)) for t in words.texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "n", "symbols"])
 
     ids = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("doc_id"), "text")
@@ -458,7 +494,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = given.value
         codes = m.codes()
         for batch in words.small_batches(batches, SIDE, SIDE_BYTES):
-            rows = [codes.of(t.lower().split()) for t in words.texts(batch)]
+            rows = codes.of_texts(words.texts(batch))
             lm = m.network.score([symbols(r) for r in rows]) / np.log(10)
             flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
             of, head = np.repeat(np.arange(len(rows)), lengths), flat < HEAD

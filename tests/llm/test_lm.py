@@ -155,3 +155,24 @@ def test_scores_do_not_depend_on_what_is_scored_beside(monkeypatch):
     monkeypatch.setattr(lm, "LANES", 2)
     monkeypatch.setattr(lm, "TOGETHER", 13)
     assert np.allclose(net.score(docs), whole, rtol=1e-5) and np.allclose([net.score([d])[0] for d in docs], whole, rtol=1e-5)
+
+
+def test_codes_hold_only_words_of_the_table():
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    table, text = [b"b", b"a", b"c"], b"a b x a y x a z".split()
+    codes = lm.Codes({digest(w): i for i, w in enumerate(table)})
+    want = [table.index(w) if w in table else digest(w) for w in text]
+    for _ in range(2):
+        assert codes.of(text).tolist() == want
+        assert codes.among(text, 1023).tolist() == [x if x < 3 else 1023 for x in want] and len(codes) == 2
+    assert codes.among([b"c", b"q"], 1023).tolist() == [2, 1023] and len(codes) == 3
+    assert codes.among(text, 1023).tolist() == [x if x < 3 else 1023 for x in want] and codes.of([]).tolist() == []
+    many = [b"%d" % i for i in range(5000)]
+    codes = lm.Codes({digest(w): i for i, w in enumerate(many[:3000])})
+    assert codes.of(many).tolist() == [*range(3000), *map(digest, many[3000:])] and len(codes.levels) > 1
+    assert lm.Codes({}).of(many[:2]).tolist() == [digest(w) for w in many[:2]]
+    texts = [b"A b", b"", b"c\tx", b"b"]
+    codes = lm.Codes({digest(w): i for i, w in enumerate(table)})
+    assert [x.tolist() for x in codes.of_texts(texts, 3)] == [codes.of(t.lower().split()).tolist() for t in texts]
