@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.parse import _struct
+from palimpsest.functions.parse import _struct, document, slices
 from palimpsest.functions.text import clean_text, slug_text, units, yaml_scalar
 
 _S, _I = T.StringType(), T.IntegerType()
@@ -216,6 +216,41 @@ def fragments(parsed: DataFrame, budget: Budget = Budget(), key: str = "page_id"
     return _run(parsed, budget, key).select(key, F.explode("fragments").alias("f")).select(key, "f.*")
 
 
+def of_pages(pages: DataFrame, budget: Budget = Budget(), key: str = "page_id", html: str = "html", url: str = "url", body: bool = False) -> DataFrame:
+    """``fragments`` of pages: parsed and cut in one Python step, a few pages at a time, without shuffle. With
+    ``body``, each fragment's own rendering stands beside it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([pages.schema[key], *FRAGMENT, *[T.StructField("body", _S)] * body])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, html):
+                at, rows = [], []
+                for i, (h, u) in enumerate(zip(batch.column(html).to_pylist(), batch.column(url).to_pylist(), strict=True)):
+                    found, _ = fragment([] if h is None else document(h, u, ["blocks"])["blocks"], budget)
+                    rows += _rendered(found) if body else found
+                    at += [i] * len(found)
+                keys = batch.column(key).cast(arrow.field(key).type).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[1:]]], schema=arrow)
+
+    return pages.select(*dict.fromkeys([key, html, url])).mapInArrow(run, schema)
+
+
+def _rendered(found: list[dict]) -> list[dict]:
+    """The fragments of a document, with their ``body``: what ``bodies`` gives."""
+    names, pointers = defaultdict(list), defaultdict(list)
+    for r in found:
+        names[r["id"]].append(r["file"].split("/")[-1])
+    for r in found:
+        pointers[r["id"]] += [(n, name) for n, c in enumerate(r["child_ids"]) for name in names[c]]
+    for r in found:
+        heading = f"{'#' * max(1, min(6, r['heading_level']))} {r['heading']}" if r["heading"] else ""
+        r["body"] = "\n\n".join(p for p in [heading, r["content"], *[f"![[{name}]]" for _, name in sorted(pointers[r["id"]])]] if p)
+    return found
+
+
 def statistics(parsed: DataFrame, budget: Budget = Budget(), key: str = "page_id") -> DataFrame:
     """The counters of each parsed page."""
     return _run(parsed, budget, key).select(key, "stats.*")
@@ -228,7 +263,7 @@ def _run(parsed: DataFrame, budget: Budget, key: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             done = [fragment(b or [], budget) for b in batch.column("blocks").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([d[0] for d in done], arrow.field("fragments").type), pa.array([d[1] for d in done], arrow.field("stats").type)], schema=arrow)
 
@@ -270,20 +305,28 @@ def front_matter(r: dict, capture_id: str | None, capture_date: str | None) -> s
 
 def exported(fragments_: DataFrame, capture_id: str, capture_date: str, key: str = "page_id") -> DataFrame:
     """key, id, file and the text of each fragment's file: front matter and body."""
-    fields = ["id", "kind", *dict.fromkeys(own for _, own, _ in FRONT_MATTER if own and own != "id"), "fragment_kind"]
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    @F.pandas_udf(_S)
-    def head(rows: pd.DataFrame) -> pd.Series:
-        plain = lambda v: v.tolist() if hasattr(v, "tolist") else None if v is None or v != v else v
-        whole = lambda v: int(v) if isinstance(v, float) else v
-        return pd.Series([front_matter({c: whole(plain(v)) for c, v in zip(fields, r, strict=True)}, capture_id, capture_date) for r in rows.itertuples(index=False)], dtype="object")
+    if "body" not in fragments_.columns:
+        fragments_ = fragments_.join(bodies(fragments_, key).select(key, "id", "body"), [key, "id"])
+    fields = ["kind", "fragment_kind", *[own for _, own, _ in FRONT_MATTER if own], "file", "body"]
+    schema = T.StructType([fragments_.schema[key], *[T.StructField(c, _S) for c in ("id", "file", "text")]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "body", 1024):
+                texts = [f"{front_matter(r, capture_id, capture_date)}{r['body']}\n" for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(arrow.field(c).type) for c in (key, "id", "file")], pa.array(texts, pa.string())], schema=arrow)
 
-    heads = fragments_.select(key, "id", head(F.struct(*fields)).alias("head"))
-    return bodies(fragments_, key).join(heads, [key, "id"]).select(key, "id", "file", F.concat("head", "body", F.lit("\n")).alias("text"))
+    return fragments_.select(*dict.fromkeys([key, *fields])).mapInArrow(run, schema)
 
 
 def bodies(fragments_: DataFrame, key: str = "page_id") -> DataFrame:
-    """Own rendering of each fragment: heading line, content, a pointer for each child."""
+    """Own rendering of each fragment: heading line, content, a pointer for each child. Fragments that come with
+    a ``body`` keep it."""
+    if "body" in fragments_.columns:
+        return fragments_.select(key, "id", "file", "source_order", "body")
     child = fragments_.select(key, F.col("id").alias("child"), F.element_at(F.split("file", "/"), -1).alias("name"))
     pointers = fragments_.select(key, "id", F.posexplode("child_ids").alias("n", "child")).join(child, [key, "child"]).groupBy(key, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda c: F.concat(F.lit("![["), c["name"], F.lit("]]"))).alias("pointers"))
     heading = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), "heading_level"))), F.lit(" "), "heading")).otherwise("")
@@ -327,4 +370,4 @@ def numbered_blocks(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     return b.withColumn("table_index", F.when(is_table, count(is_table))).withColumn("list_index", F.when(is_list, count(is_list)))
 
 
-__all__ = ["Budget", "FRAGMENT", "STATS", "bodies", "clean_text", "document_lines", "exported", "fragment", "fragments", "front_matter", "numbered_blocks", "packed_lines", "size_stats", "split_list", "split_table", "statistics", "title"]
+__all__ = ["Budget", "FRAGMENT", "STATS", "bodies", "clean_text", "document_lines", "exported", "fragment", "fragments", "front_matter", "numbered_blocks", "of_pages", "packed_lines", "size_stats", "split_list", "split_table", "statistics", "title"]

@@ -110,19 +110,23 @@ def page_blocks(spark, sf_dir):
 _TREE = fragments.Budget(target=600, maximum=1000, minimum=80)
 
 
+def _page_fragments(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
+    return fragments.of_pages(read(spark, sf_dir, "pages"), _TREE, body=body)
+
+
 @query()
 def page_fragments(spark, sf_dir):
-    return fragments.fragments(parsed(spark, sf_dir, "blocks"), _TREE)
+    return _page_fragments(spark, sf_dir)
 
 
 @query()
 def page_fragment_bodies(spark, sf_dir):
-    return fragments.bodies(fragments.fragments(parsed(spark, sf_dir, "blocks"), _TREE))
+    return fragments.bodies(_page_fragments(spark, sf_dir, body=True))
 
 
 @query()
 def page_fragment_stats(spark, sf_dir):
-    return fragments.size_stats(fragments.fragments(parsed(spark, sf_dir, "blocks"), _TREE))
+    return fragments.size_stats(_page_fragments(spark, sf_dir))
 
 
 # Packing and splitting ----------------------------------------------------------------------------
@@ -437,28 +441,28 @@ def bounds_filter(spark, sf_dir):
 # Storage -----------------------------------------------------------------------------------------
 
 
-def _places_of(spark, sf_dir):
+def _places_of(spark, sf_dir, body=False):
     p = read(spark, sf_dir, "pages")
-    first = fragments.fragments(parse_pages(p, fields=["blocks"]), _TREE)
+    first = fragments.of_pages(p, _TREE, body=body)
     edited = p.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<p>appended</p>"))).otherwise(F.col("html")))
-    second = fragments.fragments(parse_pages(edited, fields=["blocks"]), _TREE)
+    second = fragments.of_pages(edited, _TREE, body=body)
     empty = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
     old = sparse.materialize(first, empty, "page_id", "c1", "2025-01-01")
-    return first, second, old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
+    return old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
 
 
 @query()
 def merkle_reuse(spark, sf_dir):
     """Where each fragment of the second capture is stored."""
-    *_, new = _places_of(spark, sf_dir)
+    _, new = _places_of(spark, sf_dir)
     return new.select("page_id", "id", "materialized_capture", "materialized_path")
 
 
 @query()
 def current_view(spark, sf_dir):
     """All fragments of the second capture, from wherever they are stored."""
-    first, second, old, new = _places_of(spark, sf_dir)
-    store = sparse.written(old, fragments.bodies(first), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(second), "page_id", "c2"))
+    old, new = _places_of(spark, sf_dir, body=True)
+    store = sparse.written(old, fragments.bodies(old), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(new), "page_id", "c2"))
     return sparse.current_view(new, store)
 
 

@@ -163,17 +163,17 @@ def made_element_counts(spark, sf_dir):
 _SIZES = fragments.Budget(target=60, maximum=90, minimum=20)
 
 
-def _articles(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+def _article_pages(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
     """A heading and a paragraph for each part; in the edited version every fifth page has one more."""
     g = read(spark, sf_dir, "part").withColumn("page_id", F.floor(F.col("p_partkey") / PER_PAGE).cast("long")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_brand", "p_type"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: F.concat(F.lit("<p>"), x["p_name"], F.lit(" of "), x["p_brand"], F.lit(", "), x["p_type"], F.lit("</p>"))), "")
     more = F.when((F.col("page_id") % 5 == 0) & F.lit(edited), F.lit("<p>appended</p>")).otherwise("")
     html = F.concat(F.lit("<h1>Block "), "page_id", F.lit("</h1>"), text, more)
-    return parse_pages(g.select("page_id", F.lit("https://parts.example.com/").alias("url"), html.alias("html")), fields=["blocks"])
+    return g.select("page_id", F.lit("https://parts.example.com/").alias("url"), html.alias("html"))
 
 
-def _fragments(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
-    return fragments.fragments(_articles(spark, sf_dir, edited), _SIZES)
+def _fragments(spark: SparkSession, sf_dir: str, edited: bool = False, body: bool = False) -> DataFrame:
+    return fragments.of_pages(_article_pages(spark, sf_dir, edited), _SIZES, body=body)
 
 
 def _packed(v: int, edited: bool) -> str:
@@ -201,7 +201,7 @@ def made_fragments(spark, sf_dir):
 
 @query(f"{_ONE} SELECT page_id, id, file, CAST(source_order AS INTEGER) AS source_order, body FROM f1")
 def made_bodies(spark, sf_dir):
-    return fragments.bodies(_fragments(spark, sf_dir))
+    return fragments.bodies(_fragments(spark, sf_dir, body=True))
 
 
 @query(f"{_ONE} SELECT page_id, count(*) AS fragments, CAST(min(chars) AS INTEGER) AS min_characters, CAST(max(chars) AS INTEGER) AS max_characters, count(*) FILTER (kind = 'leaf') AS leaves FROM f1 GROUP BY 1")
@@ -211,7 +211,7 @@ def made_fragment_sizes(spark, sf_dir):
 
 @query(f"WITH {_P}, b AS (SELECT page_id, 1 AS block_index, 'h1' AS tag, 1 AS heading_level, 'Block ' || page_id AS heading_text, '# Block ' || page_id AS markdown FROM g UNION ALL SELECT page_id, CAST(i + 2 AS INTEGER), 'p', NULL, NULL, p_name || ' of ' || p_brand || ', ' || p_type FROM p) SELECT * FROM b")
 def made_blocks(spark, sf_dir):
-    return fragments.numbered_blocks(_articles(spark, sf_dir)).select("page_id", "block_index", "tag", "heading_level", "heading_text", "markdown")
+    return fragments.numbered_blocks(parse_pages(_article_pages(spark, sf_dir), fields=["blocks"])).select("page_id", "block_index", "tag", "heading_level", "heading_text", "markdown")
 
 
 @query(f"""{_ONE}, h AS (SELECT page_id, '["Block ' || page_id || '"' AS path FROM g),
@@ -222,33 +222,33 @@ SELECT f1.page_id, id, file, '---' || chr(10) || 'generated: true' || chr(10) ||
 FROM f1 JOIN h USING (page_id) JOIN whole ON whole.page_id = f1.page_id LEFT JOIN span ON span.page_id = f1.page_id AND f1.parent_id IS NOT NULL AND span.chunk = f1.source_order - 1""")
 def made_exported(spark, sf_dir):
     """Whole files of fragments, with their front matter."""
-    return fragments.exported(_fragments(spark, sf_dir), "c1", "2025-01-01")
+    return fragments.exported(_fragments(spark, sf_dir, body=True), "c1", "2025-01-01")
 
 
-def _stored(spark: SparkSession, sf_dir: str):
-    """Places and store behind two captures."""
-    first, second = (_fragments(spark, sf_dir, edited) for edited in (False, True))
+def _places(spark: SparkSession, sf_dir: str, body: bool = False):
+    """Places of two captures."""
+    first, second = (_fragments(spark, sf_dir, edited, body) for edited in (False, True))
     none = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
     old = sparse.materialize(first, none, "page_id", "c1", "2025-01-01")
-    new = sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
-    store = sparse.written(old, fragments.bodies(first), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(second), "page_id", "c2"))
-    return new, store
+    return old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
 
 
 @query(f"{_BOTH} SELECT page_id, id, capture AS materialized_capture, path AS materialized_path FROM places")
 def made_reuse(spark, sf_dir):
     """Where each fragment of the second capture is stored."""
-    new, _ = _stored(spark, sf_dir)
+    _, new = _places(spark, sf_dir)
     return new.select("page_id", "id", "materialized_capture", "materialized_path")
 
 
 @query(f"{_BOTH} SELECT page_id, id, path AS materialized_path, sha256(body) AS materialized_hash, body FROM places")
 def made_current_view(spark, sf_dir):
     """All fragments of the second capture, from wherever they are stored."""
-    return sparse.current_view(*_stored(spark, sf_dir)).select("page_id", "id", "materialized_path", "materialized_hash", "body")
+    old, new = _places(spark, sf_dir, body=True)
+    store = sparse.written(old, fragments.bodies(old), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(new), "page_id", "c2"))
+    return sparse.current_view(new, store).select("page_id", "id", "materialized_path", "materialized_hash", "body")
 
 
 @query(f"{_BOTH} SELECT page_id, '![[' || path || ']]' AS pointers FROM places WHERE parent_id IS NULL")
 def made_pointers(spark, sf_dir):
     """Pointers to the root fragments of every page."""
-    return sparse.composite(_stored(spark, sf_dir)[0]).select("page_id", F.array_join("pointers", "\n").alias("pointers"))
+    return sparse.composite(_places(spark, sf_dir)[1]).select("page_id", F.array_join("pointers", "\n").alias("pointers"))
