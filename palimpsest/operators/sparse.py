@@ -10,11 +10,11 @@ from __future__ import annotations
 import posixpath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.storage import cut
+from palimpsest.functions.storage import cut, release
 from palimpsest.operators.diff import effective_hash
 
 LOCATION = ["render_signature", "materialized_capture", "materialized_path"]
@@ -35,8 +35,7 @@ def signature(child_paths: Column) -> Column:
 def with_levels(fragments: DataFrame, key: str) -> DataFrame:
     """Add ``level``: 0 for fragments without children, else one above the highest child's."""
     depth = F.size("heading_path")  # a child's path is longer than its parent's
-    top = fragments.groupBy(key).agg(F.max(depth).alias("_d"))
-    return fragments.join(top, key).withColumn("level", F.col("_d") - depth).drop("_d")
+    return fragments.withColumn("level", F.max(depth).over(Window.partitionBy(key)) - depth)  # fragments are made once
 
 
 def materialize(fragments: DataFrame, previous: DataFrame, key: str = "page_id", capture_id: str = "", capture_date: str = "") -> DataFrame:
@@ -66,6 +65,7 @@ def materialize(fragments: DataFrame, previous: DataFrame, key: str = "page_id",
         placed = signed.withColumn("materialized_capture", F.when(same, F.col("_materialized_capture")).otherwise(F.lit(capture_id))).withColumn("materialized_path", F.when(same, F.col("_materialized_path")).otherwise(own)).drop("_paths", *[f"_{c}" for c in LOCATION])
         placed = cut(placed)
         done = placed if done is None else done.unionByName(placed)
+    release(leveled)  # every level is stored
     return done.drop("level")
 
 

@@ -4,9 +4,11 @@ import os
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.functions import parse
 from palimpsest.functions.parse import parse_pages
+from palimpsest.operators import sparse
 from palimpsest.operators import fragments as G
 from palimpsest.plans import catalogue
 
@@ -46,3 +48,19 @@ def test_one_step_gives_the_same_fragments(spark):
     assert rows(G.of_pages(pages(spark), BUDGET)) == rows(apart)
     together = G.of_pages(pages(spark), BUDGET, body=True)
     assert rows(G.bodies(together)) == rows(G.bodies(apart)) and rows(G.exported(together, "c", "d").filter("id <> 'a__2'")) == rows(G.exported(apart, "c", "d").filter("id <> 'a__2'"))
+
+
+def test_fragments_are_made_once(spark):
+    """However many steps of the storage read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    parts = G.of_pages(pages(spark).filter("page_id > 1"), BUDGET)
+    n = parts.count()
+    none = spark.createDataFrame([], "page_id long, id string, " + ", ".join(f"{c} string" for c in sparse.LOCATION))
+    places = sparse.materialize(parts.mapInArrow(counted, parts.schema), none, "page_id", "c1", "2025-01-01")
+    assert places.count() == n == made.value and places.filter(F.col("materialized_path").isNull()).isEmpty()
