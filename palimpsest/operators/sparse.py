@@ -69,10 +69,13 @@ def materialize(fragments: DataFrame, previous: DataFrame, key: str = "page_id",
     return done.drop("level")
 
 
-def written(materialized: DataFrame, bodies: DataFrame, key: str = "page_id", capture_id: str = "") -> DataFrame:
-    """The rows to append to the store: path, body and hash of what this capture materialised."""
-    mine = materialized.filter(F.col("materialized_capture") == capture_id).select(key, "id", "materialized_path", "materialized_capture")
-    return mine.join(bodies.select(key, "id", "body"), [key, "id"]).withColumn("materialized_hash", F.sha2("body", 256))
+def written(materialized: DataFrame, bodies: DataFrame | None = None, key: str = "page_id", capture_id: str = "") -> DataFrame:
+    """The rows to append to the store: path, body and hash of what this capture materialised. Without
+    ``bodies``, the fragments have theirs beside them."""
+    columns = [key, "id", "materialized_path", "materialized_capture"]
+    mine = materialized.filter(F.col("materialized_capture") == capture_id)
+    full = mine.select(*columns, "body") if bodies is None else mine.select(*columns).join(bodies.select(key, "id", "body"), [key, "id"])
+    return full.withColumn("materialized_hash", F.sha2("body", 256))
 
 
 def legacy(previous: DataFrame, capture_id: str, capture_date: str, key: str = "page_id") -> DataFrame:

@@ -442,10 +442,11 @@ def bounds_filter(spark, sf_dir):
 
 
 def _places_of(spark, sf_dir, body=False):
+    """Places of two captures, which need the hashes of contents but not the contents."""
     p = read(spark, sf_dir, "pages")
-    first = fragments.of_pages(p, _TREE, body=body)
+    first = fragments.of_pages(p, _TREE, body=body).drop("content")
     edited = p.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<p>appended</p>"))).otherwise(F.col("html")))
-    second = fragments.of_pages(edited, _TREE, body=body)
+    second = fragments.of_pages(edited, _TREE, body=body).drop("content")
     empty = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
     old = sparse.materialize(first, empty, "page_id", "c1", "2025-01-01")
     return old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
@@ -462,7 +463,7 @@ def merkle_reuse(spark, sf_dir):
 def current_view(spark, sf_dir):
     """All fragments of the second capture, from wherever they are stored."""
     old, new = _places_of(spark, sf_dir, body=True)
-    store = sparse.written(old, fragments.bodies(old), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(new), "page_id", "c2"))
+    store = sparse.written(old, key="page_id", capture_id="c1").unionByName(sparse.written(new, key="page_id", capture_id="c2"))
     return sparse.current_view(new, store)
 
 

@@ -226,8 +226,8 @@ def made_exported(spark, sf_dir):
 
 
 def _places(spark: SparkSession, sf_dir: str, body: bool = False):
-    """Places of two captures."""
-    first, second = (_fragments(spark, sf_dir, edited, body) for edited in (False, True))
+    """Places of two captures, which need the hashes of contents but not the contents."""
+    first, second = (_fragments(spark, sf_dir, edited, body).drop("content") for edited in (False, True))
     none = first.limit(0).select("page_id", "id", *[F.lit(None).cast("string").alias(c) for c in sparse.LOCATION])
     old = sparse.materialize(first, none, "page_id", "c1", "2025-01-01")
     return old, sparse.materialize(second, old, "page_id", "c2", "2025-01-02")
@@ -244,7 +244,7 @@ def made_reuse(spark, sf_dir):
 def made_current_view(spark, sf_dir):
     """All fragments of the second capture, from wherever they are stored."""
     old, new = _places(spark, sf_dir, body=True)
-    store = sparse.written(old, fragments.bodies(old), "page_id", "c1").unionByName(sparse.written(new, fragments.bodies(new), "page_id", "c2"))
+    store = sparse.written(old, key="page_id", capture_id="c1").unionByName(sparse.written(new, key="page_id", capture_id="c2"))
     return sparse.current_view(new, store).select("page_id", "id", "materialized_path", "materialized_hash", "body")
 
 
